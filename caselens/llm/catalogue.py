@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import secret_scan, token_binary
+from . import quality_qda, secret_scan, token_binary, toxicity
 
-MODULES = (secret_scan, token_binary)
+MODULES = (secret_scan, quality_qda, toxicity, token_binary)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
