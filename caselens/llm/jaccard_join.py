@@ -176,6 +176,8 @@ def _unplaned(blob: bytes, kind: type) -> np.ndarray:
 
 def _spanning(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct signatures with their least node, and links of all other nodes to it."""
+    if not len(sig):
+        return sig, node, node, node
     order = np.lexsort((node, sig))
     sig, node = sig[order], node[order]
     first = np.concatenate(([True], sig[1:] != sig[:-1]))

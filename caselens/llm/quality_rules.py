@@ -161,6 +161,11 @@ def _shards(spark: SparkSession) -> int:
     return 1 << max(0, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
 
 
+def _word_shards(shards: int) -> int:
+    """Fewer than those of the bigrams, as every bigram shard sends a part to each of them."""
+    return max(1, shards // 16)
+
+
 def _cut(keys: np.ndarray, shards: int, bits: int) -> np.ndarray:
     """Where each shard starts in sorted keys of so many bits."""
     edges = np.arange(1, shards, dtype=np.uint64) << _U(bits - shards.bit_length() + 1)
@@ -240,10 +245,10 @@ def _merge_task(shards: int):
                 first = np.flatnonzero(np.concatenate(([True], keys[1:] >> _U(32) != keys[:-1] >> _U(32))))
                 add = lambda v: np.add.reduceat(v.astype(np.int64), first)  # noqa: B023, E731
                 sums = [add(counts), add(np.where(kept, counts, 0)), add(kept & (counts == 1)), add(kept & (counts == 2)), add(kept & (counts > 2))]
-                yield _row(lang, shard, 2, (keys[first] >> _U(32)).astype(np.uint32), sums)
+                yield _row(lang, shard // (shards // _word_shards(shards)), 2, (keys[first] >> _U(32)).astype(np.uint32), sums)
                 words, followed = _summed(keys & _LOW, np.ones(len(keys), np.int64))
-                words, cut = words.astype(np.uint32), _cut(words, shards, 32)
-                for s in range(shards):
+                words, cut = words.astype(np.uint32), _cut(words, _word_shards(shards), 32)
+                for s in range(_word_shards(shards)):
                     if cut[s] < cut[s + 1]:
                         yield _row(lang, s, 3, words[cut[s] : cut[s + 1]], [followed[cut[s] : cut[s + 1]]])
                 yield _row(lang, shard, 4, np.arange(1, 5, dtype=np.uint32), [np.bincount(np.minimum(counts, 5), minlength=6)[1:5]])
@@ -313,7 +318,7 @@ def train(docs: DataFrame) -> Model:
     shards = _shards(spark)
     counted = docs.select("lang", "text").mapInArrow(_count_task(shards), _BLOB)
     merged = written(spark, counted.repartition(shards, "shard").mapInArrow(_merge_task(shards), _BLOB), "bigrams")
-    words = merged.where("kind in (2, 3)").repartition(shards, "shard").mapInArrow(_word_task(shards), _BLOB)
+    words = merged.where("kind in (2, 3)").repartition(_word_shards(shards), "shard").mapInArrow(_word_task(_word_shards(shards)), _BLOB)
     count_of: dict = {}
     table: dict = {}
     pairs: dict = {}
