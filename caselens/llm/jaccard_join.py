@@ -392,7 +392,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without those of documents that are not the least of their component."""
     gone = join(docs, n, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_copy"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_copy"], "left_anti")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -415,7 +415,7 @@ def assess(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document is kept; all rows of an id go if one of them is rejected."""
     bad = assess(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_rejected")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_rejected"]), "left_anti")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
