@@ -1,13 +1,15 @@
 """SentencePiece encoding and decoding by shared-prefix Viterbi.
 
 Text is cut into marked words: blanks (each a mark, with the one that the model
-puts before the text) and what follows them up to the next blank.  No piece has
-a mark after another character, so words are encoded by themselves, and the
-distinct words of a batch once each.  They are sorted, which lines up their
+puts before the text) and what follows them up to the next blank, or to a pair
+of characters that no piece has side by side.  No piece has a mark after
+another character either, so words are encoded by themselves, and the distinct
+words of a batch once each.  They are sorted, which lines up their
 trie depth-first, and each keeps the forward states of the prefix that it
 shares with the word before it; only its own end is worked out.
 
-The forward state of a prefix is, for a unigram model, the best score of a
+The pieces that end at a prefix come from an automaton of all pieces, whose
+state is part of the forward state.  The rest of it is, for a unigram model, the best score of a
 segmentation and its last piece.  For a BPE model it is the last piece of the
 prefix's own encoding: the one piece that ends there and stands beside the last
 piece of the prefix before it as merging the two would leave them.  (Maximal
@@ -107,7 +109,8 @@ class PieceModel:
                 self.prefix = bool(spec.get(3, 1))
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError(f"models of type {self.kind} are not supported")
-        self.longest = max(map(len, self.ids), default=1)
+        self._automaton()
+        self.cuts = self._never_inside()
         self.floor = min((self.scores[k] for k in self.ids.values()), default=0.0) - 10.0
         self.widths = np.array([len(x) for x in decoded], np.int64)
         self.starts = np.cumsum(self.widths) - self.widths
@@ -115,6 +118,61 @@ class PieceModel:
         self._beside: dict[tuple[int, int], bool] = {}
         self._text = {number: text for text, number in self.ids.items()}
 
+    def _automaton(self) -> None:
+        """States are prefixes of pieces; each lists the pieces that end there, the longest first."""
+        self.step: list[dict[str, int]] = [{}]
+        own: list[int] = [-1]
+        for text, number in self.ids.items():
+            at = 0
+            for char in text:
+                nxt = self.step[at].get(char)
+                if nxt is None:
+                    nxt = self.step[at][char] = len(self.step)
+                    self.step.append({})
+                    own.append(-1)
+                at = nxt
+            own[at] = number
+        self.fail = [0] * len(own)
+        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(own)
+        level, depth = [0], 0
+        while level:
+            following = []
+            for at in level:
+                if at:
+                    mine = ((own[at], depth),) if own[at] >= 0 else ()
+                    self.ends[at] = mine + self.ends[self.fail[at]]
+                for char, nxt in self.step[at].items():
+                    if at:
+                        back = self.fail[at]
+                        while back and char not in self.step[back]:
+                            back = self.fail[back]
+                        self.fail[nxt] = self.step[back].get(char, 0)
+                    following.append(nxt)
+            level, depth = following, depth + 1
+        self.jumps: list[dict[str, int]] = [dict(x) for x in self.step]
+
+    def _jump(self, at: int, char: str) -> int:
+        """The state after ``char``, by the fallback states; kept for the next time."""
+        back = at
+        while back and char not in self.step[back]:
+            back = self.fail[back]
+        nxt = self.step[back].get(char, 0)
+        if char.isascii():
+            self.jumps[at][char] = nxt
+        return nxt
+
+    def _never_inside(self) -> np.ndarray:
+        """Pairs of ASCII bytes (first * 256 + second, a blank for the mark) that no piece holds side by side: words are cut there."""
+        out = np.zeros((256, 256), bool)
+        out[:128, :128] = True
+        out[0x20, 0x20] = False
+        for text in self.ids:
+            raw = text.replace(MARK, " ").encode()
+            for a, b in zip(raw, raw[1:], strict=False):
+                out[a, b] = False
+        out[0x20, :] = False  # a mark stays with what follows it
+        return out.ravel()
+
     # a piece number below 0 is a character without a piece
 
     def merge(self, word: str) -> list[tuple[int, int, int]]:
@@ -156,43 +214,46 @@ class PieceModel:
     def encode_words(self, words: list[str]) -> dict[str, list[int]]:
         """Ids of distinct words, found in sorted order with the states of shared prefixes."""
         out: dict[str, list[int]] = {}
-        unigram, get, scores, longest = self.kind == UNIGRAM, self.ids.get, self.scores, self.longest
+        unigram, scores, ends, jumps = self.kind == UNIGRAM, self.scores, self.ends, self.jumps
         known, beside = self._beside.get, self.beside
-        last, back, best = [-1], [0], [0.0]  # of each prefix: last piece, where it starts, score
+        last, back, best, state = [-1], [0], [0.0], [0]  # of each prefix: last piece, where it starts, score, automaton
         previous = ""
         for word in sorted(words):
             if not unigram and word.startswith(MARK + MARK):
-                out[word] = self._ids(word, [(a, b, p) for a, b, p in self.merge(word)])
+                out[word] = self._ids(word, self.merge(word))
                 continue
             n, shared = len(word), 0
             for a, b in zip(word, previous, strict=False):
                 if a != b:
                     break
                 shared += 1
-            del last[shared + 1 :], back[shared + 1 :], best[shared + 1 :]
+            del last[shared + 1 :], back[shared + 1 :], best[shared + 1 :], state[shared + 1 :]
+            at = state[-1]
             for j in range(shared + 1, n + 1):
+                char = word[j - 1]
+                nxt = jumps[at].get(char)
+                at = self._jump(at, char) if nxt is None else nxt
+                state.append(at)
+                piece, start = -1, j - 1
                 if unigram:
-                    top, piece, start = best[j - 1] + self.floor, -1, j - 1
-                    for i in range(max(0, j - longest), j):
-                        number = get(word[i:j])
-                        if number is not None and (value := best[i] + scores[number]) > top:
-                            top, piece, start = value, number, i
+                    top = best[j - 1] + self.floor
+                    for number, length in ends[at]:
+                        if (value := best[j - length] + scores[number]) > top:
+                            top, piece, start = value, number, j - length
                     best.append(top)
                 else:
-                    piece, start = -1, j - 1
-                    for i in range(max(0, j - longest), j):
-                        number = get(word[i:j])
-                        if number is not None:
-                            if i == 0:
-                                ok = j == 1 or self._whole(number)
-                            else:
-                                before = last[i]
-                                ok = known((before, number))
-                                if ok is None:
-                                    ok = beside(before, number)
-                            if ok:
-                                piece, start = number, i
-                                break
+                    for number, length in ends[at]:
+                        i = j - length
+                        if i:
+                            before = last[i]
+                            ok = known((before, number))
+                            if ok is None:
+                                ok = beside(before, number)
+                        else:
+                            ok = j == 1 or self._whole(number)
+                        if ok:
+                            piece, start = number, i
+                            break
                     best.append(0.0)
                 last.append(piece)
                 back.append(start)
@@ -274,9 +335,8 @@ class WordEncoder:
         if self.model.prefix:
             data = np.insert(data, off[:-1][some], 0x20)
             off = off + np.concatenate(([0], np.cumsum(some)))
-        blank = data == 0x20
         cut = np.zeros(len(data) + 1, bool)
-        cut[1:-1] = blank[1:] & ~blank[:-1]
+        cut[1:-1] = self.model.cuts[data[:-1].astype(np.int32) << 8 | data[1:]] | (data[1:] == 0x20) & (data[:-1] != 0x20)
         cut[off] = True
         cut[-1] = True
         at = np.flatnonzero(cut)
