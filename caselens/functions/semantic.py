@@ -19,11 +19,12 @@ FILE_ENDINGS = (
 _Q = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 V4 = rf"{_Q}(?:\.{_Q}){{3}}"
 _H = "[0-9a-fA-F]{1,4}"
+_LEFT = [""] + [rf"{_H}(?::{_H}){{{k}}}" for k in range(7)]
 V6 = "|".join(
     [rf"(?:{_H}:){{7}}{_H}", rf"(?:{_H}:){{6}}{V4}"]
-    + [rf"(?:{_H}(?::{_H}){{0,{k}}})?::(?:{_H}:){{0,{4 - k}}}(?:{_H}|{V4})" for k in range(5)]
-    + [rf"(?:{_H}(?::{_H}){{0,{k - 1}}})?::(?:{_H}(?::{_H}){{0,{6 - k}}})?" for k in range(1, 7)]
-    + [rf"(?:{_H}:){{1,7}}:", rf"::(?:{_H}(?::{_H}){{0,6}})?"]
+    + [rf"{left}::(?:{_H}(?::{_H}){{0,{6 - k}}})?" for k, left in enumerate(_LEFT[:7])]
+    + [rf"{_LEFT[7]}::"]
+    + [rf"{left}::(?:{_H}:){{0,{5 - k}}}{V4}" for k, left in enumerate(_LEFT[:6])]
 )
 _LABEL = "[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
 DOMAIN = rf"(?:{_LABEL}\.)+(?!(?i:{'|'.join(FILE_ENDINGS)})\z)[A-Za-z]{{2,63}}"
