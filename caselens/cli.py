@@ -23,7 +23,7 @@ from .sources.evidence import Source
 
 
 def spark_session() -> SparkSession:
-    conf = {"spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.sql.python.filterPushdown.enabled": "true", "spark.ui.showConsoleProgress": "false"}
+    conf = {"spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.ui.showConsoleProgress": "false"}
     builder = SparkSession.builder.appName("caselens").config(map=conf)
     if not os.environ.get("MASTER"):
         builder = builder.master("local[*]").config("spark.sql.shuffle.partitions", str(os.cpu_count() or 8))

@@ -86,12 +86,17 @@ class Case:
     # -- rows
 
     def rows(self, start: int = 0, count: int = 20) -> Frame:
-        found = search.matches(self.frame, search.OrdinalRange(start, count))
+        found = self._between(start, start + count)
         return found.with_df(found.df.orderBy(ORDINAL))
 
     def scattered(self, ordinals: list[int]) -> Frame:
-        found = self.frame.where(self.frame.df[ORDINAL].isin(ordinals))
-        return found.with_df(found.df.orderBy(ORDINAL))
+        found = self._between(min(ordinals, default=0), max(ordinals, default=-1) + 1)
+        return found.with_df(found.df.where(found.df[ORDINAL].isin(ordinals)).orderBy(ORDINAL))
+
+    def _between(self, first: int, end: int) -> Frame:
+        """Records by number, read from their splits alone."""
+        df = reader.evidence(self.spark, self.source, self.dialect, self.index.splits, (first, end))
+        return reader.wide(df, self.columns, self.dialect)
 
     def go_to(self, record: int) -> int:
         """A record number within the known ones."""
@@ -148,7 +153,7 @@ class Case:
 
     def quick_profile(self) -> list[dict]:
         """The profile of the first rows, for a file that was just opened."""
-        return profile.profile(search.matches(self.frame, search.OrdinalRange(0, HEAD_ROWS)), whole=True)
+        return profile.profile(self._between(0, HEAD_ROWS), whole=True)
 
     def dashboard(self) -> list[tuple[counts.Panel, DataFrame]]:
         return [(p, counts.panel_data(self.analysed(), p)) for p in counts.panels(self.profile())]

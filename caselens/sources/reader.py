@@ -2,19 +2,23 @@
 
 Options: ``path``, ``delimiter``, ``quote`` (empty: none), ``scanStart``,
 ``splits`` (JSON rows of start, end, ordinal) and ``header``.  Every split
-begins at a record, so it is read by itself.  Bounds on ``_ordinal`` are pushed
-into the reader and drop splits; they are also applied to the rows.
+begins at a record, so it is read by itself.
+
+Records are found by number through the splits (``evidence`` with bounds), not
+by filter pushdown: a Python source keeps pushed filters with the loaded
+relation, so a frame used twice in a query would get one side's filter on both.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.frames import FIELDS, ORDINAL, RAW, Frame
 from . import index as indexes
@@ -50,30 +54,9 @@ class _Reader(DataSourceReader):
         self.delimiter = options.get("delimiter", ",").encode()
         self.quote = options.get("quote", '"').encode() or None
         self.splits = [_Split(*s) for s in json.loads(options["splits"])]
-        self.low, self.high = 0, None
-
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        for f in filters:
-            if getattr(f, "attribute", None) == (ORDINAL,):
-                if isinstance(f, (GreaterThan, GreaterThanOrEqual)):
-                    self.low = max(self.low, f.value + isinstance(f, GreaterThan))
-                elif isinstance(f, (LessThan, LessThanOrEqual)):
-                    self._below(f.value + isinstance(f, LessThanOrEqual))
-                elif isinstance(f, EqualTo):
-                    self.low = max(self.low, f.value)
-                    self._below(f.value + 1)
-                elif isinstance(f, In) and f.value:
-                    self.low = max(self.low, min(f.value))
-                    self._below(max(f.value) + 1)
-            yield f  # Spark applies all of them again
-
-    def _below(self, end: int) -> None:
-        self.high = end if self.high is None else min(self.high, end)
 
     def partitions(self) -> list[_Split]:
-        ends = [s.ordinal for s in self.splits[1:]] + [None]
-        kept = [s for s, end in zip(self.splits, ends, strict=True) if (end is None or end > self.low) and (self.high is None or s.ordinal < self.high)]
-        return kept or [_Split(0, 0, 0)]
+        return self.splits or [_Split(0, 0, 0)]
 
     def read(self, partition: _Split) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -92,9 +75,8 @@ class _Reader(DataSourceReader):
                     following = next(spans, None)
                     if following is None and not last:  # the block may have cut it
                         break
-                    if held.ordinal >= max(0, self.low) and (self.high is None or held.ordinal < self.high):
-                        raw = data[held.start : held.end]
-                        rows.append((held.ordinal, base + held.start, base + held.end, held.fields, held.unterminated, held.lenient, raw, records.split_fields(raw, self.delimiter, self.quote)))
+                    raw = data[held.start : held.end]
+                    rows.append((held.ordinal, base + held.start, base + held.end, held.fields, held.unterminated, held.lenient, raw, records.split_fields(raw, self.delimiter, self.quote)))
                     done, ordinal = held.end, held.ordinal + 1
                     held = following
                     if len(rows) >= BATCH_RECORDS:
@@ -116,14 +98,24 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], list(names))
 
 
-def evidence(spark: SparkSession, source: Source, dialect: Dialect, splits: list[indexes.Split]) -> DataFrame:
-    """The evidence frame: ordinals, places, raw bytes and fields of every record, the header left out."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+def covering(splits: list[indexes.Split], first: int, end: int) -> list[indexes.Split]:
+    """The splits that may hold records ``first`` to ``end`` (exclusive)."""
+    after = {s.start: following.ordinal for s, following in pairwise(splits)}
+    return [s for s in splits if after.get(s.start, first + 1) > first and s.ordinal < end]
+
+
+def evidence(spark: SparkSession, source: Source, dialect: Dialect, splits: list[indexes.Split], bounds: tuple[int, int] | None = None) -> DataFrame:
+    """The evidence frame: ordinals, places, raw bytes and fields of every record, the header left out.
+
+    With ``bounds`` (first record, end) only the splits that hold them are read.
+    """
     spark.dataSource.register(EvidenceSource)
-    rows = json.dumps([(s.start, s.end, s.ordinal) for s in splits])
+    rows = json.dumps([(s.start, s.end, s.ordinal) for s in (covering(splits, *bounds) if bounds else splits)])
     reader = spark.read.format("evidence_csv").option("path", str(source.path)).option("delimiter", dialect.delimiter).option("quote", dialect.quote or "")
     df = reader.option("splits", rows).load()
-    return df.where(F.col(ORDINAL) >= 0)
+    first, end = bounds or (0, None)
+    kept = F.col(ORDINAL) >= max(0, first)
+    return df.where(kept if end is None else kept & (F.col(ORDINAL) < end))
 
 
 def column_names(source: Source, dialect: Dialect, scan_start: int, width: int, names: list[str] | None = None) -> list[str]:

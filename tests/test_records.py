@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import random
 
 import pytest
@@ -115,17 +114,14 @@ def test_reader_with_tiny_splits(spark, tmp_path, monkeypatch):
         rows = df.orderBy(ORDINAL).collect()
         assert [(r._start, r._end, [bytes(f) for f in r[FIELDS]], r._lenient, r._unterminated) for r in rows] == want
         assert [bytes(r[RAW]) for r in rows] == [data[a:b] for a, b, *_ in want]
-        some = df.where("_ordinal >= 10 AND _ordinal < 15").collect()
+        some = reader.evidence(spark, source, dialect, splits, (10, 15)).orderBy(ORDINAL).collect()
         assert [r[ORDINAL] for r in some] == list(range(10, 15))
 
 
-def test_ordinal_bounds_drop_splits():
-    splits = json.dumps([(0, 10, 0), (10, 20, 5), (20, 30, 9)])
-    r = reader._Reader({"path": "x", "splits": splits})
-    from pyspark.sql.datasource import GreaterThanOrEqual, LessThan
-
-    list(r.pushFilters([GreaterThanOrEqual((ORDINAL,), 6), LessThan((ORDINAL,), 9)]))
-    assert [p.ordinal for p in r.partitions()] == [5]
+def test_bounds_drop_splits():
+    splits = [index.Split(0, 10, -1), index.Split(10, 20, 5), index.Split(20, 30, 9)]
+    at = lambda a, b: [s.ordinal for s in reader.covering(splits, a, b)]
+    assert at(6, 9) == [5] and at(0, 5) == [-1] and at(4, 10) == [-1, 5, 9] and at(50, 60) == [9] and at(0, 0) == [-1]
 
 
 @pytest.mark.parametrize(
