@@ -117,6 +117,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Weights:
     # every copy of a repeated id is learnt from, in an order that does not depend on the partitions
     one = found.repartition(1).sortWithinPartitions(order, "doc_id", "at")
     row = one.mapInArrow(train, "at array<int>, weight array<float>, bias double").first()
+    if row is None:  # nothing to learn from
+        return Weights(np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0)
     return Weights(np.array(row.at, np.int32), np.array(row.weight, np.float32), row.bias)
 
 
