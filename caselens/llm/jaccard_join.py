@@ -6,16 +6,17 @@ the same or in neighbouring bands and differ in at most ``k`` n-grams, ``k``
 being fixed by the band.  For each band the domain of n-grams is partitioned by
 a hash, partitions into sub-partitions, and every subset of sub-partitions that
 ``k`` differences must leave untouched somewhere gives one signature: the hash
-of the set's part in it.  Linked sets share a signature.  A set whose parts are
-empty more often than the partition allows for also gives the signatures of a
-second partition, and so on, so none are lost and no empty part is a key.
+of the set's part in it.  Linked sets share a signature.  Parts of few n-grams
+or none are no keys; a set that has more of them than the partition allows for
+also gives the signatures of a second partition, and so on, so none are lost.
 
 Equal sets are one node from the start.  Tasks link the nodes that share a
 signature among themselves and pass on one of them, so a frequent signature
 costs a row a task.  The links span groups of candidates; each group is then
 compared exactly: sizes first, a parity sketch (a lower bound of the
 difference) next, the sets last.  Groups of more than ``BLOCK_NODES`` nodes are
-compared block against block by several tasks.
+cut into overlapping size bands, as linked sets lie in neighbouring ones; bands
+that are still larger are compared block against block by several tasks.
 
 Defined cases: a text without words, null included, has an empty set and is
 linked with nothing; a text with fewer words than an n-gram has one n-gram, the
@@ -27,6 +28,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -87,14 +89,28 @@ def bands(percent: int, upto: int) -> tuple[tuple[int, int], ...]:
 
 
 @lru_cache(maxsize=4096)
-def scheme(percent: int, high: int) -> tuple[int, int, tuple[tuple[int, ...], ...], int]:
-    """For a band up to size ``high``: partitions, sub-partitions, subsets of them, empty parts allowed for."""
+def scheme(percent: int, low: int, high: int) -> tuple[int, int, tuple[tuple[int, ...], ...], int, int]:
+    """For sets of ``low`` to ``high`` n-grams: partitions, sub-partitions, subsets of them, weak parts allowed for, least n-grams of a part.
+
+    Parts with fewer n-grams are weak: unlike sets share them too often.  With
+    so many parts more than ``k + 1``, linked sets share that many more; unless
+    a set has more weak parts than that, one of the shared ones is not weak.
+    """
     k = 2 * high * (100 - percent) // (100 + percent)
     if k <= 2:  # one partition; any k of the k + 2 sub-partitions may differ
         parts = 1 if k == 0 else k + 2
-        return 1, parts, tuple(itertools.combinations(range(parts), parts - k)), 0
-    spare = max(2, k // 12)
-    return -(-(k + 1 + spare) // 2), 2, ((0,), (1,)), spare
+        return 1, parts, tuple(itertools.combinations(range(parts), parts - k)), 0, 1
+    spare = 2 + k // 6
+    outer = -(-(k + 1 + spare) // 2)
+    mean = low / (2 * outer)
+    least, weak, term = 1, 0.0, math.exp(-mean)
+    for n in range(4):  # the most n-grams a part may need for half the spare parts to be weak on average
+        weak += term
+        term *= mean / (n + 1)
+        if 2 * outer * weak > spare / 2:
+            break
+        least = n + 1
+    return outer, 2, ((0,), (1,)), 2 * outer - k - 1, least
 
 
 def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +123,7 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
     while work:
         flat = np.concatenate([sets[k] for k, _, _ in work])
         length = np.array([len(sets[k]) for k, _, _ in work])
-        schemes = [scheme(percent, edges[b][1] if b < len(edges) else max(edges[-1][1], 1)) for _, b, _ in work]
+        schemes = [scheme(percent, edges[max(0, b - 1)][0], edges[b][1]) for _, b, _ in work]
         seed = combine([np.array([b for _, b, _ in work], _U), np.array([level for _, _, level in work], _U)])
         spread = mix(flat ^ np.repeat(seed, length))
         outer = np.array([s[0] for s in schemes], _U)
@@ -126,21 +142,20 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
         simple = np.array([s[1] == 2 for s in schemes])
         if simple.any():  # each sub-partition is a signature of its own
             of = np.repeat(np.arange(len(work)), cells)
-            use = simple[of] & (count > 0)
+            use = simple[of] & (count >= np.array([s[4] for s in schemes])[of])
             at = np.flatnonzero(use)
             out.append(combine([sums[at], seed[of[at]], (at - base[of[at]]).astype(_U)]))
             owner.append(np.array([k for k, _, _ in work])[of[at]])
         for w in range(len(work)):
             k, b, level = work[w]
-            n1, n2, subsets, spare = schemes[w]
+            _, _, subsets, spare, least = schemes[w]
             mine = slice(base[w], base[w] + cells[w])
             if simple[w]:
-                empty = int((count[mine] == 0).sum())
-                lost = empty > spare
+                weak = np.flatnonzero(count[mine] < least)
+                lost = len(weak) > spare
                 if lost and level == LEVELS - 1:
-                    at = np.flatnonzero(count[mine] == 0)
-                    out.append(combine([np.zeros(len(at), _U), np.full(len(at), seed[w]), at.astype(_U)]))
-                    owner.append(np.full(len(at), k))
+                    out.append(combine([sums[mine][weak], np.full(len(weak), seed[w]), weak.astype(_U)]))
+                    owner.append(np.full(len(weak), k))
             else:
                 lost = False
                 for number, subset in enumerate(subsets):
@@ -344,6 +359,23 @@ def _filter_of(nodes: DataFrame) -> bytes:
     return out.tobytes()
 
 
+def _placed(groups: DataFrame, rows: DataFrame, percent: int) -> tuple[DataFrame, bool]:
+    """``node, part``: where each candidate is compared, and whether any group was cut into several parts."""
+    size = groups.groupBy("component").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK_NODES)
+    if size.isEmpty():
+        return groups.select("node", F.col("component").alias("part")), False
+    joined = groups.join(size, "component", "left")
+    whole = joined.where("m IS NULL").select("node", F.col("component").alias("part"))
+    sizes = rows.where("node IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("n"))
+    # sizes of linked sets differ by one band at most, the bands being a little wider than the similarity
+    band = F.floor(F.log("n") / (math.log(100 / percent) * 1.0001))
+    banded = joined.where("m IS NOT NULL").join(sizes, "node").select("node", "component", F.explode(F.array(band, band + 1)).alias("band"))
+    full = banded.groupBy("component", "band").agg(F.ceil(F.count("*") / BLOCK_NODES).alias("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.xxhash64("component", "band", F.least(j, block), F.greatest(j, block)))
+    return whole.unionByName(banded.join(full, ["component", "band"]).select("node", F.explode(F.array_distinct(pairs)).alias("part"))), True
+
+
 def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row: components of texts whose n-gram sets have that Jaccard similarity in per cent."""
     spark = docs.sparkSession
@@ -364,21 +396,12 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     parts = text.mapInArrow(_signature_task(n, percent, shards), _PART).repartition(shards, "shard")
     groups = written(spark, components(parts.mapInArrow(_link_task, "a long, b long")), "candidates")
 
-    # candidate groups, the large ones as pairs of blocks; every node's set goes where it is compared
-    size = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_NODES).alias("blocks"))
-    large = size.where("blocks > 1")
-    if large.isEmpty():
-        placed = groups.select("node", F.col("component").alias("part"))
-    else:
-        block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-        pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.xxhash64("component", F.least(j, block), F.greatest(j, block)))
-        single = F.when(F.col("blocks") == 1, F.array("component")).otherwise(pairs)
-        placed = groups.join(size, "component").select("node", F.explode(F.array_distinct(single)).alias("part"))
+    placed, cut = _placed(groups, rows, percent)
     shared = spark.sparkContext.broadcast(_filter_of(groups))
     sets = text.mapInArrow(_set_task(n, shared), "node long, grams binary")
     placed = sets.join(placed, "node").select("part", "node", "grams").repartition("part").sortWithinPartitions("part")
     found = placed.mapInArrow(_cluster_task(percent), "a long, b long")
-    same = found.select(F.col("a").alias("node"), F.col("b").alias("component")) if large.isEmpty() else components(found)
+    same = components(found) if cut else found.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
     # every set's least document, then every component's
     least = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
