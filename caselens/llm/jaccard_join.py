@@ -42,7 +42,7 @@ from .components import components
 from .textcore import LOWER, NOT_SPACE, Chunk, chunks, combine, mix, rolling_prefix, span_hash, written
 
 #: nodes of a candidate group that one task compares
-BLOCK_NODES = 8192
+BLOCK_NODES = 16_384
 #: signatures that a task gathers before it sends them on
 TASK_SIGNATURES = 2 << 20
 #: bits of the filter that picks candidates before their sets are shuffled; it only saves work
@@ -367,9 +367,11 @@ def _placed(groups: DataFrame, rows: DataFrame, percent: int) -> tuple[DataFrame
     joined = groups.join(size, "component", "left")
     whole = joined.where("m IS NULL").select("node", F.col("component").alias("part"))
     sizes = rows.where("node IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("n"))
-    # sizes of linked sets differ by one band at most, the bands being a little wider than the similarity
-    band = F.floor(F.log("n") / (math.log(100 / percent) * 1.0001))
-    banded = joined.where("m IS NOT NULL").join(sizes, "node").select("node", "component", F.explode(F.array(band, band + 1)).alias("band"))
+    # bands are four similarities wide; a set near a band's end could be linked with one in the next band, and goes there as well
+    apart = math.log(100 / percent) * 1.0001
+    band = F.floor(F.log("n") / (4 * apart))
+    near = F.when(F.log("n") >= 4 * apart * (band + 1) - apart, F.array(band, band + 1)).otherwise(F.array(band))
+    banded = joined.where("m IS NOT NULL").join(sizes, "node").select("node", "component", F.explode(near).alias("band"))
     full = banded.groupBy("component", "band").agg(F.ceil(F.count("*") / BLOCK_NODES).alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.xxhash64("component", "band", F.least(j, block), F.greatest(j, block)))
