@@ -62,7 +62,7 @@ def _search(p: argparse.ArgumentParser, columns: bool = True, flag: bool = True)
 
 
 def _enrichment(p: argparse.ArgumentParser) -> None:
-    p.add_argument("--geoip", action="append", default=[], metavar="COL=RANGES.csv")
+    p.add_argument("--geoip", action="append", default=[], metavar="COL=PATH", help="an .mmdb file, or a CSV of low, high and more columns")
     p.add_argument("--domain", action="append", default=[])
     p.add_argument("--lookup", action="append", default=[], metavar="COL=PATH:KEY[:VALUES]")
     p.add_argument("--psl", help="a public suffix list")
@@ -150,7 +150,12 @@ def _query(a: argparse.Namespace, pattern: str, columns: list[str] | None) -> se
 def _rules(case: Case, a: argparse.Namespace) -> list[enrich.Rule]:
     rules: list[enrich.Rule] = []
     for spec in a.geoip:
-        column, _, path = spec.partition("=")
+        column, found, path = spec.partition("=")
+        if not found:
+            raise ValueError(f"--geoip {spec!r} is not COL=PATH")
+        if path.lower().endswith(".mmdb"):
+            rules.append(enrich.GeoDatabase(column, path))
+            continue
         frame, told = lookup_table(case.spark, path, "0")
         rules.append(enrich.Geo(column, frame.df.select(*map(col, frame.names)), tuple(frame.names[2:]), told))
     suffixes = SuffixList.of(Path(a.psl).read_text().splitlines(), Path(a.psl).name) if a.psl else default_list()

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import ipaddress
+import os
 from dataclasses import dataclass, field
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import mmdb, timestamps
 from ..functions.domains import SuffixList, default_list, parts
 from ..functions.semantic import V4, trimmed
 from .frames import ORDINAL, Frame, col
@@ -166,7 +170,51 @@ def _v6_lookup(ranges: DataFrame, values: tuple[str, ...]):
     return find
 
 
-Rule = Lookup | Domain | Geo
+#: largest address database that is sent to the tasks
+DATABASE_BYTES = 512 << 20
+
+
+@dataclass(frozen=True)
+class GeoDatabase:
+    """Country, city or network operator of an address, from a MaxMind DB file of checked size."""
+
+    column: str
+    path: str
+    provider: str = "geoip"
+
+    def _raw(self) -> bytes:
+        if Path(self.path).stat().st_size > DATABASE_BYTES:
+            raise ValueError(f"{self.path} has more than {DATABASE_BYTES} bytes")
+        return Path(self.path).read_bytes()
+
+    def fields(self) -> list[str]:
+        return mmdb.FIELDS[mmdb.Database(self._raw()).kind]
+
+    @property
+    def dataset(self) -> dict:
+        raw = self._raw()
+        meta = mmdb.Database(raw).metadata
+        told = {"name": Path(self.path).name, "path": os.path.realpath(self.path), "kind": "mmdb", "size": len(raw), "sha256": hashlib.sha256(raw).hexdigest()}
+        return told | {"database_type": meta["database_type"], "built": timestamps.iso_text(meta.get("build_epoch", 0))}
+
+    def apply(self, frame: Frame) -> Frame:
+        column, names = frame.resolve(self.column), self.fields()
+        shared = frame.df.sparkSession.sparkContext.broadcast(self._raw())
+        opened: dict[str, mmdb.Database] = {}
+
+        @F.pandas_udf(", ".join(f"`{n}` string" for n in names))
+        def find(addresses: pd.Series) -> pd.DataFrame:
+            if not opened:
+                opened["it"] = mmdb.Database(shared.value)
+            database = opened["it"]
+            known = {a: mmdb.fields_of(database.kind, database.lookup(a)) for a in addresses.unique()}
+            return pd.DataFrame([known[a] for a in addresses], columns=names)
+
+        df = frame.df.withColumn("_geo", find(trimmed(F.coalesce(col(column).cast("string"), F.lit("")))))
+        return _attach(frame, df, column, [(n, F.col("_geo").getField(n)) for n in names], ("_geo",))
+
+
+Rule = Lookup | Domain | Geo | GeoDatabase
 
 
 def enrich(frame: Frame, rules: list[Rule]) -> Frame:
