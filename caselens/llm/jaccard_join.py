@@ -280,12 +280,18 @@ def cluster(sets: list[np.ndarray], percent: int) -> np.ndarray:
     order = np.argsort([len(s) for s in sets], kind="stable")
     sizes = np.array([len(sets[k]) for k in order])
     sketches = np.array([_sketch(sets[k]) for k in order]).reshape(-1, SKETCH_WORDS)
+    folded = {SKETCH_WORDS: sketches}  # halves folded onto each other are sketches of half the cells
+    for width in (16, 8, 4, 2):
+        folded[width] = np.ascontiguousarray(folded[2 * width][:, :width] ^ folded[2 * width][:, width:])
     group = np.arange(len(order))
     for x in range(1, len(order)):
         low = int(np.searchsorted(sizes, -(-percent * sizes[x] // 100)))
-        rivals = low + np.flatnonzero(group[low:x] != group[x])
-        if not len(rivals):
+        if (group[low:x] == group[x]).all():
             continue
+        most = 2 * sizes[x] * (100 - percent) // (100 + percent)
+        coarse = folded[next((w for w in (2, 4, 8, 16) if 64 * w >= 3 * most), SKETCH_WORDS)]
+        rivals = low + np.flatnonzero(np.bitwise_count(coarse[low:x] ^ coarse[x]).sum(axis=1, dtype=np.int64) <= most)
+        rivals = rivals[group[rivals] != group[x]]
         apart = np.bitwise_count(sketches[rivals] ^ sketches[x]).sum(axis=1, dtype=np.int64)
         near = apart <= (sizes[rivals] + sizes[x]) * (100 - percent) // (100 + percent)
         rivals = rivals[near][np.argsort(apart[near], kind="stable")]
