@@ -14,9 +14,12 @@ Equal sets are one node from the start.  Tasks link the nodes that share a
 signature among themselves and pass on one of them, so a frequent signature
 costs a row a task.  The links span groups of candidates; each group is then
 compared exactly: sizes first, a parity sketch (a lower bound of the
-difference) next, the sets last.  Groups of more than ``BLOCK_NODES`` nodes are
-cut into overlapping size bands, as linked sets lie in neighbouring ones; bands
-that are still larger are compared block against block by several tasks.
+difference) next, the sets last.  In groups of more than ``BLOCK_NODES`` nodes all
+sets are compared with a few pivots first, which links near copies of one text
+in one pass.  Such groups are cut into overlapping size bands, as linked sets
+lie in neighbouring ones.  Nodes of a band that the pivots linked need no
+comparison with each other, so each of them goes to one block and the rest to
+all; only where the rest is large are blocks compared in pairs.
 
 Defined cases: a text without words, null included, has an empty set and is
 linked with nothing; a text with fewer words than an n-gram has one n-gram, the
@@ -43,6 +46,8 @@ from .textcore import LOWER, NOT_SPACE, Chunk, chunks, combine, mix, rolling_pre
 
 #: nodes of a candidate group that one task compares
 BLOCK_NODES = 16_384
+#: nodes of a larger group that all others are compared with first, and bytes of all their sets
+PIVOTS, PIVOT_BYTES = 32, 64 << 20
 #: signatures that a task gathers before it sends them on
 TASK_SIGNATURES = 2 << 20
 #: bits of the filter that picks candidates before their sets are shuffled; it only saves work
@@ -275,8 +280,8 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return common > 0 and 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def cluster(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """For each set the number of the first set (by size) of its component.  Sets are distinct."""
+def cluster(sets: list[np.ndarray], percent: int, known: np.ndarray | None = None) -> np.ndarray:
+    """For each set the number of the first set (by size) of its component.  Sets are distinct; equal numbers in ``known`` are components already."""
     order = np.argsort([len(s) for s in sets], kind="stable")
     sizes = np.array([len(sets[k]) for k in order])
     sketches = np.array([_sketch(sets[k]) for k in order]).reshape(-1, SKETCH_WORDS)
@@ -284,6 +289,9 @@ def cluster(sets: list[np.ndarray], percent: int) -> np.ndarray:
     for width in (16, 8, 4, 2):
         folded[width] = np.ascontiguousarray(folded[2 * width][:, :width] ^ folded[2 * width][:, width:])
     group = np.arange(len(order))
+    if known is not None:
+        _, first, inverse = np.unique(known[order], return_index=True, return_inverse=True)
+        group = first[inverse]
     for x in range(1, len(order)):
         low = int(np.searchsorted(sizes, -(-percent * sizes[x] // 100)))
         if (group[low:x] == group[x]).all():
@@ -299,7 +307,7 @@ def cluster(sets: list[np.ndarray], percent: int) -> np.ndarray:
             y = rivals[0]
             if linked(sets[order[x]], sets[order[y]], percent):
                 to, old = sorted((group[x], group[y]))
-                group[: x + 1][group[: x + 1] == old] = to
+                group[group == old] = to
                 rivals = rivals[1:][group[rivals[1:]] != group[x]]
             else:
                 rivals = rivals[1:]
@@ -332,7 +340,7 @@ def _set_task(n: int, shared):
 
 
 def _cluster_task(percent: int):
-    """Rows of (part, node, grams), all of a part in one partition and together."""
+    """Rows of (part, node, label, grams), all of a part in one partition and together; nodes of one label are linked already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = None, {}
@@ -340,16 +348,17 @@ def _cluster_task(percent: int):
         def done() -> Iterator[pa.RecordBatch]:
             names = sorted(held)
             if len(names) > 1:
-                at = cluster([held[x] for x in names], percent)
+                at = cluster([held[x][1] for x in names], percent, np.array([held[x][0] for x in names], np.int64))
                 own = np.array(names, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(own[at])], ["a", "b"])
 
         for batch in batches:
-            for p, node, grams in zip(batch.column("part").to_pylist(), batch.column("node").to_pylist(), batch.column("grams").to_pylist(), strict=True):
+            columns = (batch.column(c).to_pylist() for c in ("part", "node", "label", "grams"))
+            for p, node, label, grams in zip(*columns, strict=True):
                 if p != part:
                     yield from done()
                     part, held = p, {}
-                held[node] = np.frombuffer(grams, _U)
+                held[node] = label, np.frombuffer(grams, _U)
         yield from done()
 
     return run
@@ -365,23 +374,82 @@ def _filter_of(nodes: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def _placed(groups: DataFrame, rows: DataFrame, percent: int) -> tuple[DataFrame, bool]:
-    """``node, part``: where each candidate is compared, and whether any group was cut into several parts."""
+def _pivot_task(n: int, percent: int, shared):
+    """Links of every set to the pivots that it is linked with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots = [(name, np.frombuffer(raw, _U)) for name, raw in shared.value]
+        sizes = np.array([len(g) for _, g in pivots])
+        sketches = np.array([_sketch(g) for _, g in pivots]).reshape(-1, SKETCH_WORDS)
+        for batch in batches:
+            for chunk in chunks(batch.column("text")):
+                a, b = [], []
+                for grams in shingles(chunk, n):
+                    near = np.flatnonzero((sizes * 100 >= percent * len(grams)) & (len(grams) * 100 >= percent * sizes)) if len(grams) else ()
+                    if not len(near):
+                        continue
+                    apart = np.bitwise_count(sketches[near] ^ _sketch(grams)).sum(axis=1, dtype=np.int64)
+                    hit = [pivots[k][0] for k in near[apart <= (sizes[near] + len(grams)) * (100 - percent) // (100 + percent)] if linked(grams, pivots[k][1], percent)]
+                    a += hit
+                    b += [node_of(grams)] * len(hit)
+                if a:
+                    pairs = np.unique(np.column_stack([a, b]), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return run
+
+
+def _labels(text: DataFrame, groups: DataFrame, size: DataFrame, n: int, percent: int) -> DataFrame:
+    """``node, label`` of nodes of large groups that are linked with a pivot: the same label for linked nodes.
+
+    A few nodes of each large group are its pivots, so a large group of near
+    copies is mostly linked in one pass, without comparing its nodes in pairs.
+    The pivots' sets are broadcast up to ``PIVOT_BYTES``; that only saves work.
+    """
+    spark = text.sparkSession
+    chosen = groups.join(size, "component").where(F.pmod(F.xxhash64("node"), F.col("m")) < PIVOTS).select("node")
+    bits = spark.sparkContext.broadcast(_filter_of(chosen))
+    found = text.mapInArrow(_set_task(n, bits), "node long, grams binary").join(chosen, "node").groupBy("node").agg(F.first("grams").alias("grams"))
+    kept, total = [], 0
+    for row in found.toLocalIterator():
+        if total + len(row.grams) > PIVOT_BYTES:
+            break
+        kept.append((row.node, bytes(row.grams)))
+        total += len(row.grams)
+    if not kept:
+        return spark.createDataFrame([], "node long, label long")
+    shared = spark.sparkContext.broadcast(kept)
+    links = text.mapInArrow(_pivot_task(n, percent, shared), "a long, b long")
+    return components(links).withColumnRenamed("component", "label")
+
+
+def _placed(text: DataFrame, groups: DataFrame, rows: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """``node, part, label``: where each candidate is compared; and the links that are known by then, if a group was cut into parts."""
     size = groups.groupBy("component").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK_NODES)
     if size.isEmpty():
-        return groups.select("node", F.col("component").alias("part")), False
-    joined = groups.join(size, "component", "left")
-    whole = joined.where("m IS NULL").select("node", F.col("component").alias("part"))
+        return groups.select("node", F.col("component").alias("part"), F.col("node").alias("label")), None
+    labels = written(text.sparkSession, _labels(text, groups, size, n, percent), "labels")
+    joined = groups.join(size, "component", "left").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    whole = joined.where("m IS NULL").select("node", F.col("component").alias("part"), "label")
     sizes = rows.where("node IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("n"))
     # bands are four similarities wide; a set near a band's end could be linked with one in the next band, and goes there as well
     apart = math.log(100 / percent) * 1.0001
     band = F.floor(F.log("n") / (4 * apart))
     near = F.when(F.log("n") >= 4 * apart * (band + 1) - apart, F.array(band, band + 1)).otherwise(F.array(band))
-    banded = joined.where("m IS NOT NULL").join(sizes, "node").select("node", "component", F.explode(near).alias("band"))
-    full = banded.groupBy("component", "band").agg(F.ceil(F.count("*") / BLOCK_NODES).alias("blocks"))
+    banded = joined.where("m IS NOT NULL").join(sizes, "node").select("node", "label", "component", F.explode(near).alias("band"))
+    # nodes of a band's most frequent label need no comparison with each other: each is in one block, the rest in all
+    by_label = banded.groupBy("component", "band", "label").agg(F.count("*").alias("c"))
+    full = by_label.groupBy("component", "band").agg(F.sum("c").alias("m"), F.max("c").alias("most"), F.max_by("label", F.struct("c", "label")).alias("main"))
+    rest = F.col("m") - F.col("most")
+    main_blocks = F.greatest(F.ceil(F.col("most") / BLOCK_NODES), F.lit(1))
+    placed = banded.join(full.withColumns({"few": rest <= BLOCK_NODES, "blocks": F.when(rest <= BLOCK_NODES, main_blocks).otherwise(F.ceil(F.col("m") / BLOCK_NODES))}), ["component", "band"])
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.xxhash64("component", "band", F.least(j, block), F.greatest(j, block)))
-    return whole.unionByName(banded.join(full, ["component", "band"]).select("node", F.explode(F.array_distinct(pairs)).alias("part"))), True
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    one = F.when(F.col("label") == F.col("main"), F.array(block)).otherwise(every)
+    to = lambda x, y: F.xxhash64("component", "band", x, y)
+    parts = F.when(F.col("few"), F.transform(one, lambda j: to(j, j))).otherwise(F.transform(every, lambda j: to(F.least(j, block), F.greatest(j, block))))
+    cut = placed.select("node", F.explode(F.array_distinct(parts)).alias("part"), "label")
+    return whole.unionByName(cut), labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -404,12 +472,12 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     parts = text.mapInArrow(_signature_task(n, percent, shards), _PART).repartition(shards, "shard")
     groups = written(spark, components(parts.mapInArrow(_link_task, "a long, b long")), "candidates")
 
-    placed, cut = _placed(groups, rows, percent)
+    placed, known = _placed(text, groups, rows, n, percent)
     shared = spark.sparkContext.broadcast(_filter_of(groups))
     sets = text.mapInArrow(_set_task(n, shared), "node long, grams binary")
-    placed = sets.join(placed, "node").select("part", "node", "grams").repartition("part").sortWithinPartitions("part")
+    placed = sets.join(placed, "node").select("part", "node", "label", "grams").repartition("part").sortWithinPartitions("part")
     found = placed.mapInArrow(_cluster_task(percent), "a long, b long")
-    same = components(found) if cut else found.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    same = found.select(F.col("a").alias("node"), F.col("b").alias("component")) if known is None else components(found.unionByName(known))
 
     # every set's least document, then every component's
     least = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))

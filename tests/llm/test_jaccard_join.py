@@ -124,3 +124,27 @@ def test_components(spark):
 def test_shingles_of_short_texts():
     sets = [s for c in chunks(pa.array(["a b", "a  B", "a", None, "a b c", "a b c d"]), 3) for s in j.shingles(c, 3)]
     assert [len(s) for s in sets] == [1, 1, 1, 0, 1, 2] and sets[0][0] == sets[1][0] and sets[4][0] in sets[5]
+
+
+def test_large_groups_with_pivots(spark, monkeypatch):
+    """Near copies of one text, a drifting chain, and texts that only share a passage: in groups above the block size."""
+    monkeypatch.setattr(j, "BLOCK_NODES", 8)
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(100_000)}"
+    base = [word() for _ in range(120)]
+    rows = []
+    for k in range(70):  # all linked with each other
+        copy = list(base)
+        copy[rng.randrange(120)] = word()
+        rows.append((k, " ".join(copy)))
+    chain = [word() for _ in range(90)]
+    for k in range(40):  # linked with the next ones only, and growing
+        chain = [*chain, word(), word()]
+        chain[(k * 7) % 80] = word()
+        rows.append((100 + k, " ".join(chain)))
+    passage = " ".join(word() for _ in range(40))
+    rows += [(200 + k, f"{passage} {' '.join(word() for _ in range(8 + k % 9))}") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for n, percent in ((3, 90), (5, 80)):
+        got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in j.join(df, n, percent).collect()), key=str)
+        assert got == brute(rows, n, percent)
