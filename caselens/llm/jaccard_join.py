@@ -269,9 +269,9 @@ def _link_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # -- exact comparison -----------------------------------------------------
 
 
-def _sketch(grams: np.ndarray) -> np.ndarray:
-    """Parities of the set's members in 64 * SKETCH_WORDS cells: two sketches differ in no more cells than the sets do."""
-    odd = np.bincount((mix(grams) % _U(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+def _sketch(grams: np.ndarray, width: int = SKETCH_WORDS) -> np.ndarray:
+    """Parities of the set's members in 64 * ``width`` cells: two sketches differ in no more cells than the sets do."""
+    odd = np.bincount((mix(grams) % _U(64 * width)).astype(np.int64), minlength=64 * width) & 1
     return np.packbits(odd.astype(bool)).view(_U)
 
 
@@ -284,23 +284,26 @@ def cluster(sets: list[np.ndarray], percent: int, known: np.ndarray | None = Non
     """For each set the number of the first set (by size) of its component.  Sets are distinct; equal numbers in ``known`` are components already."""
     order = np.argsort([len(s) for s in sets], kind="stable")
     sizes = np.array([len(sets[k]) for k in order])
-    sketches = np.array([_sketch(sets[k]) for k in order]).reshape(-1, SKETCH_WORDS)
-    folded = {SKETCH_WORDS: sketches}  # halves folded onto each other are sketches of half the cells
-    for width in (16, 8, 4, 2):
-        folded[width] = np.ascontiguousarray(folded[2 * width][:, :width] ^ folded[2 * width][:, width:])
     group = np.arange(len(order))
     if known is not None:
         _, first, inverse = np.unique(known[order], return_index=True, return_inverse=True)
         group = first[inverse]
+    lows = np.searchsorted(sizes, -(-percent * sizes // 100))
+    most = 2 * sizes * (100 - percent) // (100 + percent)
+    # sketches have a few cells for each difference that is allowed; wide sets need wide ones
+    width = 1 << np.ceil(np.log2(np.maximum(3 * most, 128) / 64)).astype(np.int64)
+    at, coarse, fine = 0, np.zeros((0, 1), _U), np.zeros((0, 1), _U)
     for x in range(1, len(order)):
-        low = int(np.searchsorted(sizes, -(-percent * sizes[x] // 100)))
+        low = lows[x]
         if (group[low:x] == group[x]).all():
             continue
-        most = 2 * sizes[x] * (100 - percent) // (100 + percent)
-        coarse = folded[next((w for w in (2, 4, 8, 16) if 64 * w >= 3 * most), SKETCH_WORDS)]
-        rivals = low + np.flatnonzero(np.bitwise_count(coarse[low:x] ^ coarse[x]).sum(axis=1, dtype=np.int64) <= most)
+        if coarse.shape[1] != width[x]:
+            at, end = low, int(np.searchsorted(width, width[x], "right"))
+            fine = np.array([_sketch(sets[k], 8 * width[x]) for k in order[at:end]])
+            coarse = np.bitwise_xor.reduce(fine.reshape(len(fine), 8, width[x]), axis=1)  # parts folded onto each other make a smaller sketch
+        rivals = low + np.flatnonzero(np.bitwise_count(coarse[low - at : x - at] ^ coarse[x - at]).sum(axis=1, dtype=np.int64) <= most[x])
         rivals = rivals[group[rivals] != group[x]]
-        apart = np.bitwise_count(sketches[rivals] ^ sketches[x]).sum(axis=1, dtype=np.int64)
+        apart = np.bitwise_count(fine[rivals - at] ^ fine[x - at]).sum(axis=1, dtype=np.int64)
         near = apart <= (sizes[rivals] + sizes[x]) * (100 - percent) // (100 + percent)
         rivals = rivals[near][np.argsort(apart[near], kind="stable")]
         while len(rivals):
