@@ -3,15 +3,17 @@
 The language model is an interpolated modified Kneser-Ney bigram model, with
 words kept apart by language.  Spark counts it over all rows: each task sorts
 and counts the bigrams of its documents and sends them, delta-coded, to the
-shard of their first word; a shard adds the counts up, and what a word follows
-is added up in the shard of that word.  The model is stored in sorted arrays of
-hashes (a 32-bit hash a word, the pair of them a bigram) and looked up by
-binary search.
-
-Counts, discounts and normalisation cover everything.  The arrays that are
-broadcast hold at most ``MAX_BIGRAMS`` bigrams and ``MAX_WORDS`` words, the
-most frequent ones: the mass of the others goes to the back-off weight of
-their first word and to the unknown word, so the model stays a distribution.
+shard of their first word.  A shard adds the counts up and asks the shards of
+the second words what number of words each of them follows.  Every bigram is
+held, in sorted arrays of hashes (a 32-bit hash a word, the pair of them a
+bigram), by its shard alone: nothing is cut and nothing is broadcast.  To be
+scored, documents go in numbered batches: the distinct bigrams of a batch, with
+the documents that have them, travel to their shards, and the sums of bits by
+document (whole numbers of ``1 / UNIT`` bit, so their order doesn't matter)
+travel back to the batch.
+
+``train`` collects the model on the driver instead, cut to ``MAX_BIGRAMS`` and
+``MAX_WORDS``.  No query uses it; it is the plain form that the tests compare.
 
 A document is kept if it passes the base rule and its perplexity lies inside
 the band of its language: the median of log2 perplexity over the documents that
@@ -33,6 +35,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +45,10 @@ MAX_BIGRAMS = 1 << 21
 MAX_WORDS = 1 << 20
 #: bigrams that a task gathers before it sends them on
 TASK_BIGRAMS = 3 << 20
+#: words after which a batch of documents is sent to be scored
+BATCH_WORDS = 2 << 20
+#: bits are summed in whole numbers of 1 / UNIT
+UNIT = 1 << 20
 LOWER_SPREADS, UPPER_SPREADS, LEAST_SPREAD = 22.0, 5.5, 0.25
 #: log2 perplexity is compared in steps of 1/64
 STEPS = 64
@@ -217,7 +224,7 @@ def _count_task(shards: int):
 def _read_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         for r in batch.to_pylist():
-            kind = _U if r["kind"] == 0 else np.uint32
+            kind = _U if r["kind"] in (0, 10) else np.uint32
             keys = np.cumsum(_unpacked(r["keys"], kind), dtype=kind)
             yield r["lang"], r["shard"], r["kind"], keys, [_unpacked(r[x], np.uint32).astype(np.int64) for x in "abcde" if r[x] is not None]
 
@@ -229,8 +236,16 @@ def _most(counts: np.ndarray, most: int) -> int:
     return int(np.partition(counts, len(counts) - most - 1)[len(counts) - most - 1]) + 1
 
 
-def _merge_task(shards: int):
-    """Counts of whole shards: kept bigrams (kind 1), context sums (2), followed words (3), counts of counts (4)."""
+def _first_words(keys: np.ndarray) -> np.ndarray:
+    """Where each first word starts in sorted bigrams."""
+    return np.flatnonzero(np.concatenate(([True], keys[1:] >> _U(32) != keys[:-1] >> _U(32))))
+
+
+def _merge_task(shards: int, cut_at: int | None = MAX_BIGRAMS):
+    """Counts of whole shards: kept bigrams (kind 1), context sums (2), followed words (3), counts of counts (4).
+
+    With ``cut_at`` None all bigrams are kept, kind 2 is left out, and kind 3 names the shard that asks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, dict[str | None, _Gather]] = {}
@@ -238,20 +253,22 @@ def _merge_task(shards: int):
             held.setdefault(shard, {}).setdefault(lang, _Gather(1)).add(keys, *values)
         for shard in sorted(held):
             whole = {lang: gather.take() for lang, gather in held.pop(shard).items()}
-            least = _most(np.concatenate([c for _, c in whole.values()]), max(1, MAX_BIGRAMS // shards))
+            least = 1 if cut_at is None else _most(np.concatenate([c for _, c in whole.values()]), max(1, cut_at // shards))
             for lang, (keys, counts) in whole.items():
                 kept = counts >= least
                 yield _row(lang, shard, 1, (keys[kept] >> _U(32)).astype(np.uint32), [(keys[kept] & _LOW), counts[kept]])
-                first = np.flatnonzero(np.concatenate(([True], keys[1:] >> _U(32) != keys[:-1] >> _U(32))))
-                add = lambda v: np.add.reduceat(v.astype(np.int64), first)  # noqa: B023, E731
-                sums = [add(counts), add(np.where(kept, counts, 0)), add(kept & (counts == 1)), add(kept & (counts == 2)), add(kept & (counts > 2))]
-                yield _row(lang, shard // (shards // _word_shards(shards)), 2, (keys[first] >> _U(32)).astype(np.uint32), sums)
+                if cut_at is not None:
+                    first = _first_words(keys)
+                    add = lambda v: np.add.reduceat(v.astype(np.int64), first)  # noqa: B023, E731
+                    sums = [add(counts), add(np.where(kept, counts, 0)), add(kept & (counts == 1)), add(kept & (counts == 2)), add(kept & (counts > 2))]
+                    yield _row(lang, shard // (shards // _word_shards(shards)), 2, (keys[first] >> _U(32)).astype(np.uint32), sums)
                 words, followed = _summed(keys & _LOW, np.ones(len(keys), np.int64))
                 words, cut = words.astype(np.uint32), _cut(words, _word_shards(shards), 32)
                 for s in range(_word_shards(shards)):
                     if cut[s] < cut[s + 1]:
-                        yield _row(lang, s, 3, words[cut[s] : cut[s + 1]], [followed[cut[s] : cut[s + 1]]])
-                yield _row(lang, shard, 4, np.arange(1, 5, dtype=np.uint32), [np.bincount(np.minimum(counts, 5), minlength=6)[1:5]])
+                        asks = [np.array([shard])] if cut_at is None else []
+                        yield _row(lang, s, 3, words[cut[s] : cut[s + 1]], [followed[cut[s] : cut[s + 1]], *asks])
+                yield _row(lang, shard, 4, np.arange(1, 5, dtype=np.uint32), [np.bincount(np.minimum(counts, 5), minlength=6)[1:5], np.array([len(keys)])])
 
     return run
 
@@ -312,6 +329,14 @@ class Model:
         return np.log2(direct + back * lower)[inverse]
 
 
+def _discounts(counts_of_counts: np.ndarray) -> np.ndarray:
+    """What is taken from a count of 0, 1, 2 and more."""
+    n1, n2, n3, n4 = (float(x) for x in counts_of_counts)
+    y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    discount = np.array([0, 1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 and n3 else 1.0, 3 - 4 * y * n4 / n3 if n3 and n4 else 1.5])
+    return np.clip(discount, [0, 0.05, 0.05, 0.05], [0, 0.95, 1.9, 2.85])
+
+
 def train(docs: DataFrame) -> Model:
     """Counts ``lang, text`` of all rows.  What comes to the driver is bounded by MAX_BIGRAMS and MAX_WORDS."""
     spark = docs.sparkSession
@@ -335,10 +360,7 @@ def train(docs: DataFrame) -> Model:
             table.setdefault(lang, {}).setdefault(shard, {})[kind] = (keys, values)
     bigram, direct, word, lower, back, unknown = [], [], [], [], [], {}
     for lang, n in count_of.items():
-        n1, n2, n3, n4 = (float(x) for x in n)
-        y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        discount = np.array([0, 1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 and n3 else 1.0, 3 - 4 * y * n4 / n3 if n3 and n4 else 1.5])
-        discount = np.clip(discount, [0, 0.05, 0.05, 0.05], [0, 0.95, 1.9, 2.85])
+        discount = _discounts(n)
         parts = [(x[5][0], *x[5][1], *x[7][1]) for x in table[lang].values()]
         h, followed, total, inside, k1, k2, k3 = (np.concatenate(x) for x in zip(*parts, strict=True))
         others, kinds = rest.get(lang, (0, 0))
@@ -366,42 +388,202 @@ def train(docs: DataFrame) -> Model:
     return Model(bigram[b], f(direct, b), word[w], f(lower, w), f(back, w), unknown)
 
 
-# -- the rule -------------------------------------------------------------
+# -- scores by shard ------------------------------------------------------
 
-_ASSESSED = "lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log2_ppl double"
 
+def _answer_task():
+    """What number of words each word follows, to every shard that asked (kind 8); how many words there are, by language (9)."""
 
-def _assess_task(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
+        asked: dict[int, dict[str | None, list[tuple]]] = {}
+        for lang, shard, _, words, values in _read_blobs(batches):
+            asked.setdefault(shard, {}).setdefault(lang, []).append((words, *values))
+        for shard in sorted(asked):
+            for lang, parts in asked.pop(shard).items():
+                words, followed = _summed(*(np.concatenate(x) for x in list(zip(*parts, strict=True))[:2]))
+                for own, _, asks in parts:
+                    yield _row(lang, int(asks[0]), 8, own, [followed[np.searchsorted(words, own)]])
+                yield _row(lang, shard, 9, np.zeros(1, np.uint32), [np.array([len(words)])])
+
+    return run
+
+
+_SENT = f"{_BLOB}, batch long"
+_BASE_NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def _with_batch(row: pa.RecordBatch, batch: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*row.columns, pa.array([batch], pa.int64())], [*row.schema.names, "batch"])
+
+
+def _share_task(shards: int):
+    """The distinct bigrams of a batch with the documents that have them, by shard (kind 10), and the documents' base counts (11)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        number = (context.partitionId() if context else 0) << 32
+        tables: list[pa.RecordBatch] = []
+        held: dict[str | None, list[tuple[np.ndarray, np.ndarray]]] = {}
+        n_docs = n_words = 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for lang in list(held):
+                keys, docs = (np.concatenate(x) for x in zip(*held.pop(lang), strict=True))
+                if not len(keys):
+                    continue
+                order = np.argsort(keys, kind="stable")  # documents stay in order
+                keys, docs = keys[order], docs[order]
+                new = np.concatenate(([True], keys[1:] != keys[:-1]))
+                at = np.flatnonzero(new | np.concatenate(([True], docs[1:] != docs[:-1])))
+                times, docs, start = np.diff(np.append(at, len(keys))), docs[at], np.flatnonzero(new[at])
+                keys, start = keys[at[start]], np.append(start, len(at))
+                n, cut = np.diff(start), _cut(keys, shards, 64)
+                for s in range(shards):
+                    a, b = cut[s], cut[s + 1]
+                    if a < b:
+                        own = slice(start[a], start[b])
+                        yield _with_batch(_row(lang, s, 10, keys[a:b], [n[a:b], docs[own], times[own]]), number)
+            out = pa.BufferOutputStream()
+            table = pa.Table.from_batches(tables)
+            with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_table(table)
+            row = [None, number % shards, 11, out.getvalue().to_pybytes(), *[None] * 5, number]
+            kinds = [pa.string(), pa.int32(), pa.int32(), *[pa.binary()] * 6, pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], ["lang", "shard", "kind", "keys", *"abcde", "batch"])
+
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             for chunk in chunks(batch.column("text")):
                 own = langs[chunk.first : chunk.first + len(chunk)]
                 counts = base_counts(chunk, chunk.words(NOT_SPACE))
                 keys, at = bigrams(chunk, own)
-                floor = np.repeat(np.array([model.unknown.get(x, 1e-9) for x in own]), np.diff(at))
-                bits = np.concatenate(([0], np.cumsum(model.log2(keys, floor))))
-                ppl = -(bits[at[1:]] - bits[at[:-1]]) / np.maximum(np.diff(at), 1)
+                doc = np.repeat(np.arange(n_docs, n_docs + len(chunk)), np.diff(at))
+                code = {lang: k for k, lang in enumerate(dict.fromkeys(own))}
+                which = np.repeat(np.array([code[x] for x in own]), np.diff(at))
+                for lang, k in code.items():
+                    held.setdefault(lang, []).append((keys[which == k], doc[which == k].astype(np.uint32)))
                 part = batch.slice(chunk.first, len(chunk))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("lang"), *(pa.array(c) for c in counts.T.astype(np.int64)), pa.array(ppl, mask=np.diff(at) == 0)],
-                    ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log2_ppl"],
-                )
+                tables.append(pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), *(pa.array(c) for c in counts.T.astype(np.int64))], ["doc_id", "lang", *_BASE_NAMES]))
+                n_docs, n_words = n_docs + len(chunk), n_words + len(keys)
+                if n_words > BATCH_WORDS:
+                    yield from sent()
+                    tables, n_docs, n_words, number = [], 0, 0, number + 1
+        if tables:
+            yield from sent()
+
+    return run
+
+
+def _bits(keys: np.ndarray, counts: np.ndarray, followed: np.ndarray, of: tuple[np.ndarray, int, int]) -> np.ndarray:
+    """-log2 probability, in 1 / UNIT, of the sorted bigrams of a shard; ``of``: discounts, bigrams and words of the language."""
+    discount, types, kinds = of
+    first = _first_words(keys)
+    taken = discount[np.minimum(counts, 3)]
+    total = np.add.reduceat(counts, first)
+    back = np.maximum(np.add.reduceat(taken, first) / total, 1e-6)
+    each = np.diff(np.append(first, len(keys)))
+    unknown = kinds * discount[1] / types / (kinds + 1)
+    lower = np.maximum((followed - discount[1]) / types + unknown, 1e-12)
+    p = (counts - taken) / np.repeat(total, each) + np.repeat(back, each) * lower
+    return np.rint(-np.log2(np.minimum(p, 1)) * UNIT).astype(np.int64)
+
+
+def _score_task(of: dict[str | None, tuple[np.ndarray, int, int]]):
+    """Sums of bits by document of a batch, from rows sorted by shard and kind; base counts pass through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, table, answers, scores = None, {}, {}, {}
+        for batch in batches:
+            for k in range(len(batch)):
+                row = batch.slice(k, 1)
+                number, shard, kind = (row.column(x)[0].as_py() for x in ("batch", "shard", "kind"))
+                if shard != at:
+                    at, table, answers, scores = shard, {}, {}, {}
+                if kind == 11:
+                    yield pa.RecordBatch.from_arrays([row.column("batch"), row.column("keys"), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())], ["batch", "docs", "doc", "bits"])
+                    continue
+                lang, _, _, keys, values = next(_read_blobs(iter([row])))
+                if kind == 1:
+                    table[lang] = (keys.astype(_U) << _U(32) | values[0].astype(_U), values[1])
+                elif kind == 8:
+                    answers.setdefault(lang, []).append((keys, *values))
+                else:
+                    if lang not in scores:
+                        words, followed = (np.concatenate(x) for x in zip(*answers.pop(lang), strict=True))
+                        order = np.argsort(words)
+                        known, counts = table.pop(lang)
+                        followed = followed[order][np.searchsorted(words[order], (known & _LOW).astype(np.uint32))]
+                        scores[lang] = known, _bits(known, counts, followed, of[lang])
+                    known, bits = scores[lang]
+                    n, docs, times = values
+                    each = np.repeat(bits[np.searchsorted(known, keys)], n) * times
+                    order = np.argsort(docs, kind="stable")
+                    docs, sums = _summed(docs.astype(np.uint32)[order], each[order])
+                    blobs = [_packed(np.diff(docs, prepend=np.uint32(0))), _packed(sums.astype(_U))]
+                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.nulls(1, pa.binary()), *(pa.array([x], pa.binary()) for x in blobs)], ["batch", "docs", "doc", "bits"])
 
     return run
 
 
+def _total_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of each batch with their perplexity; rows are sorted by batch, base counts first."""
+    table = sums = None
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if table is not None:
+            n = table.column("n_words").to_numpy()
+            ppl = pa.array(sums / UNIT / np.maximum(n, 1), mask=n == 0)
+            yield from table.append_column("log2_ppl", ppl).to_batches()
+
+    for batch in batches:
+        for docs, doc, bits in zip(*(batch.column(x) for x in ("docs", "doc", "bits")), strict=True):
+            if docs.is_valid:
+                yield from done()
+                table = pa.ipc.open_stream(docs.as_buffer()).read_all().combine_chunks()
+                sums = np.zeros(len(table), np.int64)
+            else:
+                sums[np.cumsum(_unpacked(doc.as_py(), np.uint32), dtype=np.uint32)] += _unpacked(bits.as_py(), _U).astype(np.int64)
+    yield from done()
+
+
+def scored(docs: DataFrame) -> DataFrame:
+    """Base counts and ``log2_ppl`` of every row of ``doc_id, lang, text``, under the model of all rows."""
+    spark = docs.sparkSession
+    shards = _shards(spark)
+    counted = docs.select("lang", "text").mapInArrow(_count_task(shards), _BLOB)
+    model = written(spark, counted.repartition(shards, "shard").mapInArrow(_merge_task(shards, None), _BLOB), "bigrams")
+    asked = model.where("kind = 3").repartition(_word_shards(shards), "shard")
+    answers = written(spark, asked.mapInArrow(_answer_task(), _BLOB), "followed")
+    count_of: dict = {}
+    types: dict = {}
+    kinds: dict = {}
+    few = model.where("kind = 4").unionByName(answers.where("kind = 9")).toArrow()
+    for lang, _, kind, _, values in _read_blobs(few.to_batches()):
+        if kind == 4:
+            count_of[lang] = count_of.get(lang, 0) + values[0]
+            types[lang] = types.get(lang, 0) + int(values[1][0])
+        else:
+            kinds[lang] = kinds.get(lang, 0) + int(values[0][0])
+    of = {lang: (_discounts(n), types[lang], kinds[lang]) for lang, n in count_of.items()}
+    shared = docs.mapInArrow(_share_task(shards), _SENT)
+    held = model.where("kind = 1").unionByName(answers.where("kind = 8")).withColumn("batch", F.lit(None).cast("long"))
+    sums = held.unionByName(shared).repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_score_task(of), "batch long, docs binary, doc binary, bits binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return sums.repartition("batch").sortWithinPartitions("batch", F.col("docs").isNull()).mapInArrow(_total_task, f"doc_id {kind}, {_ASSESSED}")
+
+
+# -- the rule -------------------------------------------------------------
+
+_ASSESSED = "lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log2_ppl double"
+
+
 def assess(docs: DataFrame) -> DataFrame:
     """Counts, ``base_failed``, ``log2_ppl``, its band (``low``, ``high``) and ``kept`` of every row of ``doc_id, lang, text``."""
     spark = docs.sparkSession
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     docs = docs.select("doc_id", lang.alias("lang"), F.col("text").cast("string").alias("text"))
-    shared = spark.sparkContext.broadcast(train(docs))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.mapInArrow(_assess_task(shared), f"doc_id {kind}, {_ASSESSED}")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    found = written(spark, found.withColumn("base_failed", failed), "perplexity")
+    found = written(spark, scored(docs).withColumn("base_failed", failed), "perplexity")
     step = F.round(F.col("log2_ppl") * STEPS) / STEPS
     quartiles = F.percentile(step, F.array(F.lit(0.5), F.lit(0.75)))
     bands = found.where("NOT base_failed").groupBy(F.col("lang").alias("band_lang")).agg(quartiles.alias("q"))

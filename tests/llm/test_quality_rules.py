@@ -92,3 +92,44 @@ def test_assess_and_keep(spark):
     assert kept.columns == df.columns and kept.count() == 32
     assert q.assess(df.drop("lang")).where("kept").count() == 32
     assert q.assess(df.limit(0)).count() == 0 and q.keep_good(df.limit(0)).count() == 0
+
+
+def test_scores_by_shard_match_the_collected_model(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k % 50, ["en", "fr", None][k % 3], " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 70) % 500)) for k in range(90)]
+    df = spark.createDataFrame([*rows, (None, "en", None)], "doc_id long, lang string, text string")
+    model = q.train(df)  # far below its limits here, so it is whole
+    want = []
+    for doc_id, lang, text in rows:
+        keys, _ = q.bigrams(next(chunks(pa.array([text]))), [lang])
+        want.append((doc_id, -float(np.mean(model.log2(keys, np.full(len(keys), model.unknown[lang]))))))
+    got = [(r.doc_id, r.log2_ppl) for r in q.assess(df).collect() if r.n_words]
+    got, want = sorted(got), sorted(want)
+    assert [d for d, _ in got] == [d for d, _ in want]
+    assert np.allclose([x for _, x in got], [x for _, x in want], atol=1e-4)
+
+
+def test_batches_and_shards_give_equal_scores(spark):
+    rows = [(k, "en", " ".join(f"w{(k * j) % 53}" for j in range(90))) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    one = {r.doc_id: r.log2_ppl for r in q.assess(df.coalesce(1)).collect()}
+    assert one == {r.doc_id: r.log2_ppl for r in q.assess(df.repartition(7)).collect()}
+
+
+def test_scores_use_every_bigram_of_a_large_table(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(map(str, rng.integers(0, 1_000_000, 10_000))) for _ in range(300)]
+    keys = [q.bigrams(next(chunks(pa.array([t]))), ["en"])[0] for t in texts]
+    known, counts = np.unique(np.concatenate(keys), return_counts=True)
+    assert len(known) > 1 << 21
+    discount = q._discounts(np.bincount(np.minimum(counts, 5), minlength=6)[1:5])
+    words, followed = np.unique(known & np.uint64(0xFFFFFFFF), return_counts=True)
+    lower = (followed - discount[1] + len(words) * discount[1] / (len(words) + 1)) / len(known)
+    context, which = np.unique(known >> np.uint64(32), return_inverse=True)
+    taken = discount[np.minimum(counts, 3)]
+    total, left = np.bincount(which, counts), np.bincount(which, taken)
+    p = (counts - taken + left[which] * lower[np.searchsorted(words, known & np.uint64(0xFFFFFFFF))]) / total[which]
+    want = [-np.log2(p[np.searchsorted(known, k)]).mean() for k in keys]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "'en' AS lang", "text")
+    got = [r.log2_ppl for r in q.assess(df).orderBy("doc_id").collect()]
+    assert np.allclose(got, want, atol=1e-4)
