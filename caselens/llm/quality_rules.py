@@ -10,7 +10,9 @@ bigram), by its shard alone: nothing is cut and nothing is broadcast.  To be
 scored, documents go in numbered batches: the distinct bigrams of a batch, with
 the documents that have them, travel to their shards, and the sums of bits by
 document (whole numbers of ``1 / UNIT`` bit, so their order doesn't matter)
-travel back to the batch.
+travel back to the batch.  Shards take turns, so the documents are read several
+times: they have to come in the same partitions and order each time, as from
+files (batches that differ are refused).
 
 ``train`` collects the model on the driver instead, cut to ``MAX_BIGRAMS`` and
 ``MAX_WORDS``.  No query uses it; it is the plain form that the tests compare.
@@ -29,8 +31,10 @@ rows are counted and returned each; other columns are ignored by ``assess``.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +53,8 @@ TASK_BIGRAMS = 3 << 20
 BATCH_WORDS = 2 << 20
 #: bits are summed in whole numbers of 1 / UNIT
 UNIT = 1 << 20
+#: shards are scored in so many turns, as the shuffled bigrams of all would take more disk
+ROUNDS = 3
 LOWER_SPREADS, UPPER_SPREADS, LEAST_SPREAD = 22.0, 5.5, 0.25
 #: log2 perplexity is compared in steps of 1/64
 STEPS = 64
@@ -408,25 +414,31 @@ def _answer_task():
     return run
 
 
-_SENT = f"{_BLOB}, batch long"
+_SENT = f"{_BLOB}, batch string"
+_SUM_NAMES = ["batch", "docs", "doc", "bits", "words"]
 _BASE_NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def _with_batch(row: pa.RecordBatch, batch: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*row.columns, pa.array([batch], pa.int64())], [*row.schema.names, "batch"])
+def _with_batch(row: pa.RecordBatch, batch: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*row.columns, pa.array([batch])], [*row.schema.names, "batch"])
 
 
-def _share_task(shards: int):
-    """The distinct bigrams of a batch with the documents that have them, by shard (kind 10), and the documents' base counts (11)."""
+def _share_task(shards: int, turn: int):
+    """The distinct bigrams of a batch with the documents that have them, by shard (kind 10); on the first turn, the documents' base counts (11)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        number = (context.partitionId() if context else 0) << 32
+        task, number = context.partitionId() if context else 0, 0
         tables: list[pa.RecordBatch] = []
         held: dict[str | None, list[tuple[np.ndarray, np.ndarray]]] = {}
         n_docs = n_words = 0
 
         def sent() -> Iterator[pa.RecordBatch]:
+            check = 0
+            for parts in held.values():
+                for part in parts:
+                    check = zlib.crc32(part[1], zlib.crc32(part[0], check))
+            name = f"{task}-{number}-{check}"
             for lang in list(held):
                 keys, docs = (np.concatenate(x) for x in zip(*held.pop(lang), strict=True))
                 if not len(keys):
@@ -438,24 +450,26 @@ def _share_task(shards: int):
                 times, docs, start = np.diff(np.append(at, len(keys))), docs[at], np.flatnonzero(new[at])
                 keys, start = keys[at[start]], np.append(start, len(at))
                 n, cut = np.diff(start), _cut(keys, shards, 64)
-                for s in range(shards):
+                for s in range(turn, shards, ROUNDS):
                     a, b = cut[s], cut[s + 1]
                     if a < b:
                         own = slice(start[a], start[b])
-                        yield _with_batch(_row(lang, s, 10, keys[a:b], [n[a:b], docs[own], times[own]]), number)
+                        yield _with_batch(_row(lang, s, 10, keys[a:b], [n[a:b], docs[own], times[own]]), name)
+            if turn:
+                return
             out = pa.BufferOutputStream()
             table = pa.Table.from_batches(tables)
             with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                 writer.write_table(table)
-            row = [None, number % shards, 11, out.getvalue().to_pybytes(), *[None] * 5, number]
-            kinds = [pa.string(), pa.int32(), pa.int32(), *[pa.binary()] * 6, pa.int64()]
+            row = [None, (task + number) % shards, 11, out.getvalue().to_pybytes(), *[None] * 5, name]
+            kinds = [pa.string(), pa.int32(), pa.int32(), *[pa.binary()] * 6, pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], ["lang", "shard", "kind", "keys", *"abcde", "batch"])
 
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             for chunk in chunks(batch.column("text")):
                 own = langs[chunk.first : chunk.first + len(chunk)]
-                counts = base_counts(chunk, chunk.words(NOT_SPACE))
+                counts = np.zeros((len(chunk), len(_BASE_NAMES)), np.int64) if turn else base_counts(chunk, chunk.words(NOT_SPACE))
                 keys, at = bigrams(chunk, own)
                 doc = np.repeat(np.arange(n_docs, n_docs + len(chunk)), np.diff(at))
                 code = {lang: k for k, lang in enumerate(dict.fromkeys(own))}
@@ -463,8 +477,8 @@ def _share_task(shards: int):
                 for lang, k in code.items():
                     held.setdefault(lang, []).append((keys[which == k], doc[which == k].astype(np.uint32)))
                 part = batch.slice(chunk.first, len(chunk))
-                tables.append(pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), *(pa.array(c) for c in counts.T.astype(np.int64))], ["doc_id", "lang", *_BASE_NAMES]))
                 n_docs, n_words = n_docs + len(chunk), n_words + len(keys)
+                tables.append(pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), *(pa.array(c) for c in counts.T.astype(np.int64))], ["doc_id", "lang", *_BASE_NAMES]))
                 if n_words > BATCH_WORDS:
                     yield from sent()
                     tables, n_docs, n_words, number = [], 0, 0, number + 1
@@ -496,11 +510,11 @@ def _score_task(of: dict[str | None, tuple[np.ndarray, int, int]]):
         for batch in batches:
             for k in range(len(batch)):
                 row = batch.slice(k, 1)
-                number, shard, kind = (row.column(x)[0].as_py() for x in ("batch", "shard", "kind"))
+                shard, kind = (row.column(x)[0].as_py() for x in ("shard", "kind"))
                 if shard != at:
                     at, table, answers, scores = shard, {}, {}, {}
                 if kind == 11:
-                    yield pa.RecordBatch.from_arrays([row.column("batch"), row.column("keys"), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())], ["batch", "docs", "doc", "bits"])
+                    yield pa.RecordBatch.from_arrays([row.column("batch"), row.column("keys"), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([0])], _SUM_NAMES)
                     continue
                 lang, _, _, keys, values = next(_read_blobs(iter([row])))
                 if kind == 1:
@@ -520,28 +534,35 @@ def _score_task(of: dict[str | None, tuple[np.ndarray, int, int]]):
                     order = np.argsort(docs, kind="stable")
                     docs, sums = _summed(docs.astype(np.uint32)[order], each[order])
                     blobs = [_packed(np.diff(docs, prepend=np.uint32(0))), _packed(sums.astype(_U))]
-                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.nulls(1, pa.binary()), *(pa.array([x], pa.binary()) for x in blobs)], ["batch", "docs", "doc", "bits"])
+                    yield pa.RecordBatch.from_arrays([row.column("batch"), pa.nulls(1, pa.binary()), *(pa.array([x], pa.binary()) for x in blobs), pa.array([int(times.sum())])], _SUM_NAMES)
 
     return run
 
 
 def _total_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The documents of each batch with their perplexity; rows are sorted by batch, base counts first."""
-    table = sums = None
+    table = sums = name = None
+    left = 0
 
     def done() -> Iterator[pa.RecordBatch]:
+        if left:
+            raise RuntimeError(f"the documents of batch {name} were not the same each time they were read")
         if table is not None:
             n = table.column("n_words").to_numpy()
             ppl = pa.array(sums / UNIT / np.maximum(n, 1), mask=n == 0)
             yield from table.append_column("log2_ppl", ppl).to_batches()
 
     for batch in batches:
-        for docs, doc, bits in zip(*(batch.column(x) for x in ("docs", "doc", "bits")), strict=True):
+        for own, docs, doc, bits, words in zip(*(batch.column(x) for x in _SUM_NAMES), strict=True):
+            if own.as_py() != name and not docs.is_valid:
+                raise RuntimeError(f"the documents of batch {own} were not the same each time they were read")
             if docs.is_valid:
                 yield from done()
+                name = own.as_py()
                 table = pa.ipc.open_stream(docs.as_buffer()).read_all().combine_chunks()
-                sums = np.zeros(len(table), np.int64)
+                sums, left = np.zeros(len(table), np.int64), int(table.column("n_words").to_numpy().sum())
             else:
+                left -= words.as_py()
                 sums[np.cumsum(_unpacked(doc.as_py(), np.uint32), dtype=np.uint32)] += _unpacked(bits.as_py(), _U).astype(np.int64)
     yield from done()
 
@@ -565,11 +586,22 @@ def scored(docs: DataFrame) -> DataFrame:
         else:
             kinds[lang] = kinds.get(lang, 0) + int(values[0][0])
     of = {lang: (_discounts(n), types[lang], kinds[lang]) for lang, n in count_of.items()}
-    shared = docs.mapInArrow(_share_task(shards), _SENT)
-    held = model.where("kind = 1").unionByName(answers.where("kind = 8")).withColumn("batch", F.lit(None).cast("long"))
-    sums = held.unionByName(shared).repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_score_task(of), "batch long, docs binary, doc binary, bits binary")
+    held = model.where("kind = 1").unionByName(answers.where("kind = 8")).withColumn("batch", F.lit(None).cast("string"))
+    parts = []
+    for turn in range(min(ROUNDS, shards)):
+        _free_shuffles(spark)
+        sent = held.where(F.col("shard") % ROUNDS == turn).unionByName(docs.mapInArrow(_share_task(shards, turn), _SENT))
+        dealt = sent.repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+        parts.append(written(spark, dealt.mapInArrow(_score_task(of), "batch string, docs binary, doc binary, bits binary, words long"), "bits"))
+    _free_shuffles(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return sums.repartition("batch").sortWithinPartitions("batch", F.col("docs").isNull()).mapInArrow(_total_task, f"doc_id {kind}, {_ASSESSED}")
+    sums = reduce(DataFrame.unionByName, parts).repartition("batch").sortWithinPartitions("batch", F.col("docs").isNull())
+    return sums.mapInArrow(_total_task, f"doc_id {kind}, {_ASSESSED}")
+
+
+def _free_shuffles(spark: SparkSession) -> None:
+    """Spark drops the files of a finished shuffle once the driver's collector has found it unused."""
+    spark.sparkContext._jvm.System.gc()
 
 
 # -- the rule -------------------------------------------------------------
