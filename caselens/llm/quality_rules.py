@@ -18,11 +18,12 @@ files (batches that differ are refused).
 ``MAX_WORDS``.  No query uses it; it is the plain form that the tests compare.
 
 A document is kept if it passes the base rule and its perplexity lies inside
-the band of its language: the median of log2 perplexity over the documents that
-pass the base rule, less ``LOWER_SPREADS`` and plus ``UPPER_SPREADS`` times its
-spread (upper quartile less median, / 0.6745, at least ``LEAST_SPREAD``; the
-lower half is no measure, as texts with many copies fill it).  The lower bound
-is far out: it is meant for texts made of a few formulas, not for copies.
+the band of its language.  Over the documents that pass the base rule, the upper
+bound is the median of log2 perplexity plus ``UPPER_SPREADS`` times its spread
+(upper quartile less median, / 0.6745).  The lower bound is the median of the
+*distinct* texts, so copies don't move it, less ``LOWER_SPREADS`` times their
+spread (median less lower quartile, / 0.6745).  Spreads are ``LEAST_SPREAD`` at
+least.
 
 Defined cases: a null or empty text has no words and fails the base rule; a
 null ``lang``, or a table without that column, is a language of its own; equal
@@ -55,7 +56,7 @@ BATCH_WORDS = 2 << 20
 UNIT = 1 << 20
 #: shards are scored in so many turns, as the shuffled bigrams of all would take more disk
 ROUNDS = 3
-LOWER_SPREADS, UPPER_SPREADS, LEAST_SPREAD = 22.0, 5.5, 0.25
+LOWER_SPREADS, UPPER_SPREADS, LEAST_SPREAD = 8.0, 5.5, 0.25
 #: log2 perplexity is compared in steps of 1/64
 STEPS = 64
 MIN_WORDS = 50
@@ -416,13 +417,19 @@ def _answer_task():
 
 _SENT = f"{_BLOB}, batch string"
 _SUM_NAMES = ["batch", "docs", "doc", "bits", "words"]
-_BASE_NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+_BASE_NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "text_hash"]
 
 
 def _with_batch(row: pa.RecordBatch, batch: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*row.columns, pa.array([batch])], [*row.schema.names, "batch"])
 
 
+def _described(chunk: Chunk) -> np.ndarray:
+    """The base counts and a hash of each text."""
+    hashes = span_hash(rolling_prefix(chunk.data), chunk.off[:-1], chunk.off[1:])
+    return np.column_stack([base_counts(chunk, chunk.words(NOT_SPACE)), hashes.view(np.int64)])
+
+
 def _share_task(shards: int, turn: int):
     """The distinct bigrams of a batch with the documents that have them, by shard (kind 10); on the first turn, the documents' base counts (11)."""
 
@@ -469,7 +476,7 @@ def _share_task(shards: int, turn: int):
             langs = batch.column("lang").to_pylist()
             for chunk in chunks(batch.column("text")):
                 own = langs[chunk.first : chunk.first + len(chunk)]
-                counts = np.zeros((len(chunk), len(_BASE_NAMES)), np.int64) if turn else base_counts(chunk, chunk.words(NOT_SPACE))
+                counts = np.zeros((len(chunk), len(_BASE_NAMES)), np.int64) if turn else _described(chunk)
                 keys, at = bigrams(chunk, own)
                 doc = np.repeat(np.arange(n_docs, n_docs + len(chunk)), np.diff(at))
                 code = {lang: k for k, lang in enumerate(dict.fromkeys(own))}
@@ -606,7 +613,7 @@ def _free_shuffles(spark: SparkSession) -> None:
 
 # -- the rule -------------------------------------------------------------
 
-_ASSESSED = "lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log2_ppl double"
+_ASSESSED = "lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, text_hash long, log2_ppl double"
 
 
 def assess(docs: DataFrame) -> DataFrame:
@@ -617,11 +624,14 @@ def assess(docs: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     found = written(spark, scored(docs).withColumn("base_failed", failed), "perplexity")
     step = F.round(F.col("log2_ppl") * STEPS) / STEPS
-    quartiles = F.percentile(step, F.array(F.lit(0.5), F.lit(0.75)))
-    bands = found.where("NOT base_failed").groupBy(F.col("lang").alias("band_lang")).agg(quartiles.alias("q"))
-    spread = F.greatest((F.col("q")[1] - F.col("q")[0]) / 0.6745, F.lit(LEAST_SPREAD))
-    bands = bands.select("band_lang", (F.col("q")[0] - LOWER_SPREADS * spread).alias("low"), (F.col("q")[0] + UPPER_SPREADS * spread).alias("high"))
-    joined = found.join(bands, F.col("lang").eqNullSafe(F.col("band_lang")), "left").drop("band_lang")
+    texts = found.where("NOT base_failed").groupBy("lang", "text_hash", step.alias("step")).agg(F.count("*").alias("n"))
+    upper = F.percentile("step", F.array(F.lit(0.5), F.lit(0.75)), F.col("n"))
+    lower = F.percentile("step", F.array(F.lit(0.5), F.lit(0.25)))
+    bands = texts.groupBy(F.col("lang").alias("band_lang")).agg(lower.alias("lower"), upper.alias("upper"))
+    spread = lambda q: F.greatest(F.abs(q[1] - q[0]) / 0.6745, F.lit(LEAST_SPREAD))
+    low = F.col("lower")[0] - LOWER_SPREADS * spread(F.col("lower"))
+    bands = bands.select("band_lang", low.alias("low"), (F.col("upper")[0] + UPPER_SPREADS * spread(F.col("upper"))).alias("high"))
+    joined = found.join(bands, F.col("lang").eqNullSafe(F.col("band_lang")), "left").drop("band_lang", "text_hash")
     inside = F.coalesce((step >= F.col("low")) & (step <= F.col("high")), F.lit(True))
     return joined.withColumn("kept", ~F.col("base_failed") & inside)
 

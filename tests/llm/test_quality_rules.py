@@ -133,3 +133,29 @@ def test_scores_use_every_bigram_of_a_large_table(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "'en' AS lang", "text")
     got = [r.log2_ppl for r in q.assess(df).orderBy("doc_id").collect()]
     assert np.allclose(got, want, atol=1e-4)
+
+
+def test_both_bands_reject(spark):
+    rng = np.random.default_rng(2)
+    follow = rng.integers(0, 400, (400, 30))
+
+    def walk() -> str:
+        at = [int(rng.integers(400))]
+        for _ in range(119):
+            at.append(int(follow[at[-1], rng.integers(30)]))
+        return " ".join(f"w{x}" for x in at)
+
+    threes = set()
+    formula = ["a", "a"]
+    while len(formula) < 66:  # every three of four words once: no repeats for the base rule
+        formula.append(next(x for x in "dcba" if (*formula[-2:], x) not in threes))
+        threes.add(tuple(formula[-3:]))
+    texts = [*(walk() for _ in range(600)), " ".join(formula), " ".join(f"w{x}" for x in rng.integers(0, 400, 120))]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "'en' AS lang", "text")
+    got = q.assess(df)
+    assert not got.where("base_failed").count()
+    out = {r.doc_id: (r.log2_ppl < r.low, r.log2_ppl > r.high) for r in got.where("NOT kept").collect()}
+    assert out == {600: (True, False), 601: (False, True)}
+    copies = q.assess(df.union(df.where("doc_id = 600").crossJoin(spark.range(1, 41)).selectExpr("doc_id + id * 1000", "lang", "text")))
+    assert not copies.where("doc_id % 1000 = 600 AND kept").count()
