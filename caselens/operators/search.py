@@ -6,12 +6,12 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import timestamps
-from .frames import FIELDS, ORDINAL, RAW, Frame, col
+from .frames import FIELDS, ORDINAL, RAW, Frame, col, with_ordinal
 
 KINDS = ("literal", "regex", "exact")
 
@@ -181,6 +181,14 @@ def neighbours(frame: Frame, ordinal: int) -> dict:
     return row.asDict()
 
 
+def beside(df: DataFrame, key: str) -> DataFrame:
+    """``key, before, after``: the previous and next key of every row, by dense numbers, so no task sorts all rows."""
+    numbered = with_ordinal(df.select(key), key, "_n")
+    before = numbered.select((F.col("_n") + 1).alias("_n"), col(key).alias("before"))
+    after = numbered.select((F.col("_n") - 1).alias("_n"), col(key).alias("after"))
+    return numbered.join(before, "_n", "left").join(after, "_n", "left").select(key, "before", "after")
+
+
 def select(frame: Frame, k: int) -> int | None:
     """Ordinal of the ``k``-th record of a frame, from 0: ranges are counted first, so no task sorts all."""
     o = F.col(ORDINAL)

@@ -383,6 +383,13 @@ def q42_next_prev_match(spark, sf):
     return found.select("event_id", F.lag("event_id").over(order).alias("before"), F.lead("event_id").over(order).alias("after"))
 
 
+@query("""SELECT event_id, lag(event_id) OVER (ORDER BY event_id) AS before, lead(event_id) OVER (ORDER BY event_id) AS after
+FROM events WHERE event_type = 'error'""")
+def q49_next_prev_of_all_matches(spark, sf):
+    found = lineage.Selection.all(events(spark, sf)).pivot("event_type", "error").frame.df
+    return search.beside(found.select("event_id"), "event_id")
+
+
 @query("SELECT count(*) FILTER (contains(raw, 'error')) AS n, count(*) FILTER (contains(raw, 'error') AND {ordinal} <= 500) AS rank, max({ordinal}) FILTER (contains(raw, 'error') AND {ordinal} < 500)::BIGINT AS before, min({ordinal}) FILTER (contains(raw, 'error') AND {ordinal} > 500)::BIGINT AS after FROM {events}")
 def q43_match_navigation(spark, sf):
     r = search.neighbours(search.matches(events(spark, sf, ordinal=True), search.SearchQuery("error")), 500)
