@@ -32,6 +32,7 @@ rows are counted and returned each; other columns are ignored by ``assess``.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -109,7 +110,8 @@ def base_counts(chunk: Chunk, words: tuple[np.ndarray, np.ndarray, np.ndarray])
 
 
 def _seed(lang: str | None) -> int:
-    return int.from_bytes(b"?" if lang is None else lang.encode()[:64], "little") * 2 + 1 & (1 << 64) - 1
+    name = b"" if lang is None else b"=" + lang.encode()
+    return int.from_bytes(hashlib.blake2b(name, digest_size=8).digest(), "little")
 
 
 def bigrams(chunk: Chunk, langs: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

@@ -159,3 +159,9 @@ def test_both_bands_reject(spark):
     assert out == {600: (True, False), 601: (False, True)}
     copies = q.assess(df.union(df.where("doc_id = 600").crossJoin(spark.range(1, 41)).selectExpr("doc_id + id * 1000", "lang", "text")))
     assert not copies.where("doc_id % 1000 = 600 AND kept").count()
+
+
+def test_languages_with_a_common_prefix_are_kept_apart():
+    chunk = next(chunks(pa.array(["a b c"])))
+    keys = [q.bigrams(chunk, [lang])[0] for lang in ("zh-Hans-CN", "zh-Hans-TW", "?", None)]
+    assert len(set(np.concatenate(keys).tolist())) == 12
