@@ -4,20 +4,24 @@ Pattern matches (assignments, access keys, hex runs) are found in whole texts.
 On top of them, candidates for encoded keys and signed tokens are decoded and
 reported only if what they hold parses:
 
-* ``pem``  - a BEGIN/END block whose base64 body is a DER key, an encrypted
-  key, an OpenSSH key, or (with encapsulated headers) any base64;
+* ``pem``  - a BEGIN mark and the next END mark of its label, with a base64 body
+  that is a DER key, an encrypted key, an OpenSSH key, or (with encapsulated
+  headers) any base64; or a base64 run that decodes to such a block;
 * ``der``  - a base64 or hex run that decodes to a DER private key: nested
   lengths must add up exactly and the members must be those of PKCS#1, PKCS#8,
-  SEC1, DSA or an encrypted PKCS#8 key;
-* ``openssh`` - a base64 run that decodes to the OpenSSH private key container
-  with nested lengths that add up;
+  SEC1, DSA or an encrypted PKCS#8 key.  Base64 may be broken into lines of one
+  length, and in a longer run a key may follow one of ``/+-_``, its own length
+  (``MAX_DER`` bytes at most) telling its end;
+* ``openssh`` - a base64 run, in lines or not, that decodes to the OpenSSH
+  private key container with nested lengths that add up;
 * ``jwt``  - a signed-token triple whose header and payload decode to JSON
   objects, with an algorithm named in the header and a signature.
 
 Defined cases: a null text is empty and has no spans; a null id is returned as
 null; repeated rows are scanned and returned each; other columns are ignored
 by ``scan`` and kept as they are by ``redact``.  Offsets are code points, ends
-exclusive.
+exclusive.  Time is linear in the text; items nested deeper than ``MAX_DEPTH``
+are no key.
 """
 
 from __future__ import annotations
@@ -42,11 +46,13 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
 #: shortest base64 and hex runs that can hold a private key
 MIN_BASE64, MIN_HEX_KEY = 40, 60
-PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(.*?)-----END \1-----", re.S)
-JWT = re.compile(rb"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+#: longest key that is looked for inside a run, and deepest nesting of its items
+MAX_DER, MAX_DEPTH = 16_384, 32
+PEM_MARK = re.compile(rb"-----(BEGIN|END) ([A-Z0-9 ]{0,64}PRIVATE KEY)-----")
 _HEX = byte_table((0x30, 0x39), (0x61, 0x66))
 _HEX_ANY = byte_table((0x30, 0x39), (0x61, 0x66), (0x41, 0x46))
 _BASE64 = byte_table((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), "+/-_")
+_TOKEN = byte_table((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), "-_")
 
 Span = tuple[int, int, int]  # start, number of the kind, end
 
@@ -107,11 +113,16 @@ def is_der_key(data: bytes) -> bool:
 
 def _nested(tag: int, content: bytes) -> bool:
     """Integers are not empty; constructed items hold items that fill them."""
-    if tag == 0x02:
-        return len(content) > 0
-    if tag & 0x20:
-        items = der_items(content)
-        return items is not None and all(_nested(t, c) for t, c in items)
+    work = [(tag, content, 0)]
+    while work:
+        tag, content, depth = work.pop()
+        if tag == 0x02 and not content:
+            return False
+        if tag & 0x20:
+            items = der_items(content) if depth < MAX_DEPTH else None
+            if items is None:
+                return False
+            work += [(t, c, depth + 1) for t, c in items]
     return True
 
 
@@ -168,6 +179,54 @@ def pem_holds_key(label: bytes, body: bytes) -> bool:
     return is_openssh_key(data) if b"OPENSSH" in label else is_der_key(data)
 
 
+def der_chars(run: bytes, i: int) -> int:
+    """Base64 characters of a DER key that might start at ``i``, as its first items and its length tell; 0 if none can."""
+    head = unbase64(run[i : i + 24])
+    if not head or len(head) < 12 or head[0] != 0x30:
+        return 0
+    width = head[1] & 0x7F if head[1] & 0x80 else 0
+    if width > 2:
+        return 0
+    size = 2 + width + (int.from_bytes(head[2 : 2 + width], "big") if width else head[1])
+    inner = head[2 + width :]
+    versioned = inner[:3] in (b"\x02\x01\x00", b"\x02\x01\x01") and inner[3] in (0x02, 0x04, 0x30)
+    if size > MAX_DER or not (versioned or inner[0] == 0x30):
+        return 0
+    chars = -(-size * 4 // 3)
+    return chars if i + chars <= len(run) else 0
+
+
+def pem_blocks(text: bytes) -> list[tuple[int, int]]:
+    """Places of the blocks that hold a key: each BEGIN mark with the END mark that follows it."""
+    out, begin = [], None
+    for m in PEM_MARK.finditer(text):
+        if m[1] == b"BEGIN":
+            begin = m
+        elif begin and begin[2] == m[2]:
+            if pem_holds_key(m[2], text[begin.end() : m.start()]):
+                out.append((begin.start(), m.end()))
+            begin = None
+    return out
+
+
+def key_spans(run: bytes) -> list[tuple[str, int, int]]:
+    """Kind, start and end of the keys in a base64 run."""
+    if run[:4] == b"b3Bl" and (data := unbase64(run)) and is_openssh_key(data):
+        return [("openssh", 0, len(run))]
+    if run[:10] == b"LS0tLS1CRU" and (data := unbase64(run)) and pem_blocks(data):  # the base64 of a BEGIN mark
+        return [("pem", 0, len(run))]
+    if run[:1] == b"M" and (data := unbase64(run)) and is_der_key(data):  # a SEQUENCE begins so
+        return [("der", 0, len(run))]
+    out, upto = [], 0
+    for m in re.finditer(rb"(?:^|(?<=[/+_-]))M", run):
+        if m.start() >= upto and (n := der_chars(run, m.start())):
+            data = unbase64(run[m.start() : m.start() + n])
+            if data and is_der_key(data):
+                upto = m.start() + n
+                out.append(("der", m.start(), upto))
+    return out
+
+
 # -- spans ----------------------------------------------------------------
 
 
@@ -194,6 +253,22 @@ def _runs(chunk: Chunk, table: np.ndarray, least: int) -> Iterator[tuple[int, in
         yield d, int(starts[k]) - base, int(ends[k]) - base
 
 
+def _tokens(chunk: Chunk, raw: bytes) -> Iterator[tuple[int, int, int]]:
+    """Signed tokens: three runs with one dot between, the first from its first ``eyJ`` on."""
+    starts, ends, at = chunk.words(_TOKEN)
+    joined = np.flatnonzero((starts[1:] - ends[:-1] == 1) & (chunk.data[ends[:-1]] == 0x2E)) if len(starts) > 1 else starts[:0]
+    twice = joined[:-1][np.diff(joined) == 1]
+    upto = 0
+    for k in twice.tolist():
+        d = int(np.searchsorted(chunk.off, starts[k], "right")) - 1
+        if starts[k] < upto or ends[k + 2] > chunk.off[d + 1] or raw[starts[k + 1] : starts[k + 1] + 3] != b"eyJ":
+            continue
+        start = raw.find(b"eyJ", starts[k], ends[k])
+        if start >= 0 and is_signed_token(raw[start : ends[k + 2]]):
+            upto = int(ends[k + 2])
+            yield d, start - int(chunk.off[d]), upto - int(chunk.off[d])
+
+
 def chunk_spans(chunk: Chunk) -> dict[int, list[Span]]:
     """Byte spans of each document of the chunk that has any, in order."""
     raw = chunk.data.tobytes()
@@ -211,19 +286,32 @@ def chunk_spans(chunk: Chunk) -> dict[int, list[Span]]:
     for d, start, end in _runs(chunk, _HEX, MIN_HEX):
         add(d, "hex", start, end)
     for d in _documents_with(chunk, raw, (b"PRIVATE KEY-----",)):
-        for m in PEM.finditer(text(d)):
-            if pem_holds_key(m[1], m[2]):
-                add(d, "pem", *m.span())
-    for d in _documents_with(chunk, raw, (b"eyJ",)):
-        for m in JWT.finditer(text(d)):
-            if is_signed_token(m[0]):
-                add(d, "jwt", *m.span())
-    for d, start, end in _runs(chunk, _BASE64, MIN_BASE64):
-        run = text(d)[start:end]
-        if run[:1] == b"M" and (data := unbase64(run)) and is_der_key(data):  # a SEQUENCE begins so
-            add(d, "der", start, end)
-        elif run[:4] == b"b3Bl" and (data := unbase64(run)) and is_openssh_key(data):
-            add(d, "openssh", start, end)
+        for start, end in pem_blocks(text(d)):
+            add(d, "pem", start, end)
+    if b"eyJ" in raw:
+        for d, start, end in _tokens(chunk, raw):
+            add(d, "jwt", start, end)
+    lines: list[tuple[int, int]] = []  # consecutive runs, a line break between any two, all but the last of one length
+    before = -1
+    for d, start, end in [*_runs(chunk, _BASE64, 4), (-1, 0, 0)]:
+        if lines:
+            first, last = lines[0], lines[-1]
+            length = first[1] - first[0]
+            gap = text(before)[last[1] : start] if d == before and start - last[1] <= 2 else b""
+            if gap in (b"\n", b"\r\n") and last[1] - last[0] == length >= MIN_BASE64 and end - start <= length:
+                lines.append((start, end))
+                continue
+            if length >= MIN_BASE64:
+                own = text(before)
+                parts = [own[x:y] for x, y in lines]
+                found = key_spans(b"".join(parts)) if len(lines) > 1 else []
+                if found and found[0][1] == 0 and found[0][2] == sum(map(len, parts)):
+                    add(before, found[0][0], first[0], last[1])
+                else:
+                    for (x, _), part in zip(lines, parts, strict=True):
+                        for kind, a, b in key_spans(part) if len(part) >= MIN_BASE64 else ():
+                            add(before, kind, x + a, x + b)
+        lines, before = [(start, end)], d
     for d, start, end in _runs(chunk, _HEX_ANY, MIN_HEX_KEY):
         run = text(d)[start:end]
         if run[:2] == b"30" and len(run) % 2 == 0 and is_der_key(bytes.fromhex(run.decode())):

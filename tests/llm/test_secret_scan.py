@@ -4,8 +4,13 @@ import base64
 import hashlib
 import json
 import re
+import time
+
+import pyarrow as pa
+import pytest
 
 from caselens.llm import secret_scan as s
+from caselens.llm.textcore import chunks
 
 
 def tlv(tag: int, content: bytes) -> bytes:
@@ -71,3 +76,37 @@ def test_redact(spark):
     assert got == {1: "é [SECRET] end", 2: None, 3: "clean"}
     assert s.redact(df).schema == df.schema
     assert s.scan(df.limit(0)).count() == 0
+
+
+def spans(text: str) -> list[tuple[str, int, int]]:
+    chunk = next(chunks(pa.array([text])))
+    return [(s.KINDS[k], a, b) for a, k, b in s.chunk_spans(chunk).get(0, []) if k > 2]
+
+
+def test_deep_nesting_is_no_key():
+    data = b"\x04\x01x"
+    for _ in range(1500):
+        data = tlv(0x30, data)
+    for wrapped in (data, tlv(0x30, tlv(2, b"\0") + tlv(0x30, tlv(6, b"\x2b\x65\x70")) + tlv(4, b"k" * 32) + data)):
+        assert not s.is_der_key(wrapped)
+        assert spans(base64.b64encode(wrapped).decode()) == []
+
+
+@pytest.mark.parametrize("text", ["eyJ" * 300_000, "-----BEGIN PRIVATE KEY-----\n" * 30_000, "eyJa.eyJb." * 80_000, "/MIIEvQIBADAN" * 60_000, "MIIE\n" * 100_000, ("A" * 64 + "\n") * 12_000])
+def test_time_is_linear(text):
+    began = time.monotonic()
+    assert spans(text) == []
+    assert time.monotonic() - began < 5
+
+
+def test_keys_in_other_dress():
+    key = base64.b64encode(PKCS1).decode()
+    lines = "\n".join(key[k : k + 64] for k in range(0, len(key), 64))
+    size = len(key.rstrip("="))
+    assert spans(f"é\n{lines}\nend") == [("der", 3, 3 + size + size // 64)]
+    assert spans(f"path/{key.rstrip('=')}/more") == [("der", 5, 5 + size)]
+    frame = f"-----BEGIN PRIVATE KEY-----\n{base64.encodebytes(PKCS8).decode()}-----END PRIVATE KEY-----\n"
+    hidden = base64.b64encode(frame.encode()).decode()
+    assert spans(hidden) == [("pem", 0, len(hidden.rstrip("=")))]
+    assert [k for k, *_ in spans(f"-----BEGIN PRIVATE KEY-----\n{frame}")] == ["pem", "der"]
+    assert spans(f"x.{JWT}.y") == [("jwt", 2, 2 + len(JWT))] and spans(f"eyJx.eyJy.{JWT}") == [("jwt", 10, 10 + len(JWT))]
