@@ -103,6 +103,14 @@ def features(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, x array<double>")
 
 
+def _forward(factor: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Solves a lower triangular system by forward substitution."""
+    out = np.empty_like(b)
+    for k in range(len(factor)):
+        out[k] = (b[k] - factor[k, :k] @ out[:k]) / factor[k, k]
+    return out
+
+
 @dataclass
 class Discriminant:
     """Means and Cholesky factors of both classes; ``factors`` is None where a class is missing."""
@@ -117,7 +125,7 @@ class Discriminant:
             return np.full(len(x), bias)
         density = []
         for mean, factor in zip(self.means, self.factors, strict=True):
-            z = np.linalg.solve(factor, (x - mean).T)
+            z = _forward(factor, (x - mean).T)
             density.append(-0.5 * (z * z).sum(axis=0) - np.log(np.diag(factor)).sum())
         return density[1] - density[0] + bias
 

@@ -10,8 +10,9 @@ FTRL is sequential, so it learns in one task, from a bounded sample: the
 else covers all rows.
 
 Defined cases: a null or empty text has no features and is scored by the bias;
-several labels of one document count as their maximum; without labels every
-score is 0.5.  Only ``doc_id`` and ``text`` of the documents are read.
+several labels of one document count as their maximum; of several texts of one
+id the one with the least hash is learnt from; without labels every score is
+0.5, and ids of any type do.  Only ``doc_id`` and ``text`` of the documents are read.
 """
 
 from __future__ import annotations
@@ -113,9 +114,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Weights:
         w = learn(examples)
         yield pa.RecordBatch.from_arrays([pa.array([w.at], pa.list_(pa.int32())), pa.array([w.weight], pa.list_(pa.float32())), pa.array([w.bias])], ["at", "weight", "bias"])
 
-    found = chosen.mapInArrow(_per_document_features, "doc_id long, label int, at array<int>")
-    # every copy of a repeated id is learnt from, in an order that does not depend on the partitions
-    one = found.repartition(1).sortWithinPartitions(order, "doc_id", "at")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    # of the texts of a repeated id, the one of the least hash; so no more than ``rows`` rows meet in the task
+    chosen = chosen.groupBy("doc_id").agg(F.min_by(F.struct("label", "text"), F.struct(F.xxhash64("text"), "text")).alias("of")).select("doc_id", "of.*")
+    found = chosen.mapInArrow(_per_document_features, f"doc_id {kind}, label int, at array<int>")
+    one = found.repartition(1).sortWithinPartitions(order, "doc_id")
     row = one.mapInArrow(train, "at array<int>, weight array<float>, bias double").first()
     if row is None:  # nothing to learn from
         return Weights(np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0)

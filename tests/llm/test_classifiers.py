@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -10,6 +12,7 @@ import pytest
 from caselens.llm import quality_qda, toxicity
 from caselens.llm.textcore import chunks
 
+LOWER = {c: c + 32 for c in range(65, 91)}
 rng = random.Random(11)
 WORDS = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
 
@@ -98,3 +101,80 @@ def test_strong_l1_keeps_few_weights():
         examples.append((np.unique(np.append(at, 7) if label else at).astype(np.int32), int(label)))
     w = toxicity.learn(examples)
     assert 7 in w.at and len(w.at) < 2000 and w.weight[w.at.tolist().index(7)] > 2
+
+
+def test_weights_are_those_of_plain_ftrl():
+    """The published per-coordinate rule, written out over a dictionary."""
+    g = np.random.default_rng(3)
+    examples = [(np.unique(g.integers(0, 300, 12)).astype(np.int32), int(g.random() < 0.4)) for _ in range(300)]
+    z, n, bias = {}, {}, 1 << toxicity.BITS
+
+    def weight(i: int) -> float:
+        if abs(z.get(i, 0.0)) <= toxicity.L1:
+            return 0.0
+        sign = 1 if z[i] > 0 else -1
+        return -(z[i] - sign * toxicity.L1) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for at, label in examples:
+            own = [*at.tolist(), bias]
+            w = {i: weight(i) for i in own}
+            gradient = 1 / (1 + np.exp(-sum(w.values()))) - label
+            for i in own:
+                before = n.get(i, 0.0)
+                n[i] = before + gradient**2
+                z[i] = z.get(i, 0.0) + gradient - (n[i] ** 0.5 - before**0.5) / toxicity.ALPHA * w[i]
+    got = toxicity.learn(examples)
+    want = {i: weight(i) for i in sorted(z) if i != bias and weight(i)}
+    assert got.at.tolist() == list(want) and np.allclose(got.weight, list(want.values()), atol=1e-5) and abs(got.bias - weight(bias)) < 1e-9
+
+
+def test_toxicity_of_string_ids_and_repeated_ids(spark):
+    docs = [(f"d{k % 60}", f"{'horridword' if k % 60 % 2 else 'kind'} {prose(20)}") for k in range(180)] + [(None, None)]
+    df = spark.createDataFrame(docs, "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{k}", k % 2) for k in range(60)], "doc_id string, label int")
+    weights = [toxicity.fit(x, labels) for x in (df, df.repartition(7))]
+    assert weights[0].at.tolist() == weights[1].at.tolist() and weights[0].weight.tolist() == weights[1].weight.tolist()
+    got = toxicity.score(df, weights[0]).collect()
+    assert len(got) == len(docs) and all((r.score >= 0.5) == (int(r.doc_id[1:]) % 2 == 1) for r in got if r.doc_id)
+
+
+def test_one_class_of_labels(spark, tmp_path):
+    tables(spark, tmp_path, 30)
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    one = spark.range(10).selectExpr("id doc_id", "1 label")
+    x = quality_qda.features(df)
+    model = quality_qda.fit(x.join(one, "doc_id").select("x", "label"))
+    assert len({r.score for r in quality_qda.score(x, model).collect()}) == 1 and model.factors is None
+    assert all(0 <= r.score <= 1 for r in toxicity.score(df, toxicity.fit(df, one)).collect())
+    for query in (quality_qda.op5_quality_classifier, toxicity.op6_toxicity):
+        empty = tmp_path / query.__name__
+        df.limit(0).write.parquet(f"{empty}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{empty}/labels.parquet")
+        assert query(spark, str(empty)).count() == 0
+
+
+def test_statistics_against_plain_counts():
+    """Every feature from its definition, over the text itself."""
+    symbols, stops, plain_end = "#*$%&|<>@^~=+_/\\{}[]", ".,;:!?", ".,;:?)'\""
+
+    def plain(text: str) -> list[float]:
+        words = [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+        low = [w.lower() for w in words]
+        data = text.encode()
+        n, chars = len(words), sum(map(len, words))
+        logit = lambda part, whole: np.log((part + 0.5) / (max(whole - part, 0) + 0.5))
+        count = lambda f: logit(sum(map(f, data)), chars)
+        lines = [x for x in text.split("\n") if x] if n else []
+        mean, m = (chars / n if n else 0), max(1, len(lines))
+        spread = np.sqrt(sum((len(w) - mean) ** 2 for w in words) / max(n, 1))
+        odd = sum(not (chr(w[-1]).isalnum() and w[-1] < 128 or w[-1] > 127 or chr(w[-1]) in plain_end) for w in words)
+        return [
+            np.log1p(n), mean, np.log1p(spread), count(lambda c: chr(c) in symbols), count(lambda c: 65 <= c <= 90), count(lambda c: 48 <= c <= 57),
+            count(lambda c: chr(c) in stops), count(lambda c: c > 127), np.log(max(n, 1) / max(len(set(low)), 1)), np.log(max(n - 1, 1) / max(len(set(itertools.pairwise(low))), 1)),
+            np.log(m / max(1, len({x.translate(LOWER) for x in lines}))), np.log1p(len(data) / m), logit(max((low.count(w) for w in low), default=1) - 1, max(n, 1)), logit(odd, n),
+        ]
+
+    texts = [None, "", " \n ", "word", "Ünï Çö 12,5% a a A!", "one line\n\none line\nOne Line\nx", prose(200), f"{prose(30)}\n{prose(30)} @@ #1 {prose(4)}\n"]
+    got = np.concatenate([quality_qda.statistics(c) for c in chunks(pa.array(texts), 64)])
+    assert np.allclose(got, [plain(t or "") for t in texts])
