@@ -198,7 +198,7 @@ class Phrases:
 def word_hashes(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     low = LOWER[chunk.data]
     starts, ends, at = Chunk(low, chunk.off, chunk.first).words(ALNUM)
-    return span_hash(rolling_prefix(low), starts, ends), at
+    return span_hash(rolling_prefix(low), starts, ends, low), at
 
 
 def occurrences(words: np.ndarray, at: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -285,7 +285,7 @@ def _hits(chunk: Chunk, blocks: _Blocks) -> tuple[np.ndarray, np.ndarray, np.nda
     """Word starts, whether each word is hit, document offsets in them, and the items of each document."""
     low = LOWER[chunk.data]
     starts, ends, at = Chunk(low, chunk.off, chunk.first).words(ALNUM)
-    words = span_hash(rolling_prefix(low), starts, ends)
+    words = span_hash(rolling_prefix(low), starts, ends, low)
     change = np.zeros(len(words) + 1, np.int64)
     items: dict[int, set[str]] = {}
     for phrases in blocks:

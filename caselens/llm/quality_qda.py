@@ -59,8 +59,9 @@ def statistics(chunk: Chunk) -> np.ndarray:
     spread = np.sqrt(np.maximum((squares[at[1:]] - squares[at[:-1]]) / some - mean * mean, 0))
     count = lambda table: per_document(table[data], off)
     in_words = per_document(length.astype(np.int64), at)
-    prefix = rolling_prefix(LOWER[data])
-    words = span_hash(prefix, starts, ends)
+    low = LOWER[data]
+    prefix = rolling_prefix(low)
+    words = span_hash(prefix, starts, ends, low)
     pairs = combine([words[:-1], words[1:]]) if len(words) > 1 else words[:0]
     newline = np.flatnonzero(data == 0x0A)
     line_at = np.searchsorted(newline, off)
@@ -78,7 +79,7 @@ def statistics(chunk: Chunk) -> np.ndarray:
         until = np.concatenate((breaks, [off[d + 1]]))
         full = until > begin
         lines[d] = max(1, full.sum())
-        distinct_lines[d] = max(1, len(np.unique(span_hash(prefix, begin[full], until[full]))))
+        distinct_lines[d] = max(1, len(np.unique(span_hash(prefix, begin[full], until[full], low))))
     odd = per_document(~_PLAIN_END[data[ends - 1]], at) if len(ends) else np.zeros(len(n))
     return np.column_stack(
         [

@@ -93,7 +93,7 @@ def runs(chunk: Chunk, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 def fingerprints(chunk: Chunk, prefix: np.ndarray) -> np.ndarray:
     """64-bit hash of each document's text, as signed longs."""
-    return span_hash(prefix, chunk.off[:-1], chunk.off[1:]).view(np.int64)
+    return span_hash(prefix, chunk.off[:-1], chunk.off[1:], chunk.data).view(np.int64)
 
 
 def _low(values: np.ndarray) -> np.ndarray:
@@ -201,7 +201,7 @@ def _run_task(length: int, shared, splitters: np.ndarray):
                 token, first, last, doc = token[keep], first[keep], last[keep], doc[keep]
                 if not len(token):
                     continue
-                same = span_hash(prefix, first, last + length)
+                same = span_hash(prefix, first, last + length, chunk.data)
                 order = np.lexsort((same, token))
                 fresh = np.flatnonzero(np.concatenate(([True], (token[order][1:] != token[order][:-1]) | (same[order][1:] != same[order][:-1]))))
                 lead = order[fresh]

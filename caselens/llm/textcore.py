@@ -9,12 +9,14 @@ than a chunk is a chunk of its own.
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -80,10 +82,23 @@ def rolling_prefix(data: np.ndarray) -> np.ndarray:
     return prefix
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of byte spans; equal bytes give equal hashes wherever they stand."""
+#: spans from which on bytes are hashed by a cryptographic hash: long ones with equal polynomials can be made on purpose
+LONG_SPAN = 512
+
+
+def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of byte spans; equal bytes give equal hashes wherever they stand.
+
+    ``data``, the bytes of ``prefix``, must be given where spans of ``LONG_SPAN``
+    bytes or more may occur and hashes stand for the bytes.
+    """
     _, down = _power_tables(len(prefix))
-    return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    size = ends - starts
+    out = mix((prefix[ends] - prefix[starts]) * down[starts] + size.astype(np.uint64))
+    if data is not None:
+        for k in np.flatnonzero(size >= LONG_SPAN).tolist():
+            out[k] = int.from_bytes(hashlib.blake2b(np.ascontiguousarray(data[starts[k] : ends[k]]), digest_size=8).digest(), "little")
+    return out
 
 
 def combine(parts: list[np.ndarray], seed: int = 0) -> np.ndarray:
@@ -151,6 +166,18 @@ def per_document(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
+def released(task):
+    """``task`` for mapInArrow, giving freed memory back to the system at its end, as workers are used again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return run
+
+
 def shared_folder(spark, name: str) -> str:
     """A fresh folder (not made yet) below the folder that the whole cluster shares.
 

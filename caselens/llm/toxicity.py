@@ -39,7 +39,7 @@ def hashed(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     """Document (by its number in the chunk) and coordinate of every feature, repeats included."""
     low = LOWER[chunk.data]
     starts, ends, at = Chunk(low, chunk.off, chunk.first).words(ALNUM)
-    words = span_hash(rolling_prefix(low), starts, ends)
+    words = span_hash(rolling_prefix(low), starts, ends, low)
     of = np.repeat(np.arange(len(chunk)), np.diff(at))
     docs, values = [of], [words]
     for gap in (1, 2):
