@@ -269,6 +269,22 @@ def _tokens(chunk: Chunk, raw: bytes) -> Iterator[tuple[int, int, int]]:
             yield d, start - int(chunk.off[d]), upto - int(chunk.off[d])
 
 
+def _lines(chunk: Chunk, raw: bytes) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """Document and places of each long base64 run, with the runs of its length on the next lines and a last one that may be shorter."""
+    starts, ends, _ = chunk.words(_BASE64)
+    size = ends - starts
+    long = np.flatnonzero(size >= MIN_BASE64)
+    docs = np.searchsorted(chunk.off, starts[long], "right") - 1
+    upto = 0
+    for k, d in zip(long.tolist(), docs.tolist(), strict=True):
+        if k < upto:
+            continue
+        upto = k + 1
+        while upto < len(starts) and starts[upto] < chunk.off[d + 1] and size[upto - 1] == size[k] >= size[upto] and raw[ends[upto - 1] : starts[upto]] in (b"\n", b"\r\n"):
+            upto += 1
+        yield d, list(zip(starts[k:upto].tolist(), ends[k:upto].tolist(), strict=True))
+
+
 def chunk_spans(chunk: Chunk) -> dict[int, list[Span]]:
     """Byte spans of each document of the chunk that has any, in order."""
     raw = chunk.data.tobytes()
@@ -291,27 +307,16 @@ def chunk_spans(chunk: Chunk) -> dict[int, list[Span]]:
     if b"eyJ" in raw:
         for d, start, end in _tokens(chunk, raw):
             add(d, "jwt", start, end)
-    lines: list[tuple[int, int]] = []  # consecutive runs, a line break between any two, all but the last of one length
-    before = -1
-    for d, start, end in [*_runs(chunk, _BASE64, 4), (-1, 0, 0)]:
-        if lines:
-            first, last = lines[0], lines[-1]
-            length = first[1] - first[0]
-            gap = text(before)[last[1] : start] if d == before and start - last[1] <= 2 else b""
-            if gap in (b"\n", b"\r\n") and last[1] - last[0] == length >= MIN_BASE64 and end - start <= length:
-                lines.append((start, end))
-                continue
-            if length >= MIN_BASE64:
-                own = text(before)
-                parts = [own[x:y] for x, y in lines]
-                found = key_spans(b"".join(parts)) if len(lines) > 1 else []
-                if found and found[0][1] == 0 and found[0][2] == sum(map(len, parts)):
-                    add(before, found[0][0], first[0], last[1])
-                else:
-                    for (x, _), part in zip(lines, parts, strict=True):
-                        for kind, a, b in key_spans(part) if len(part) >= MIN_BASE64 else ():
-                            add(before, kind, x + a, x + b)
-        lines, before = [(start, end)], d
+    for d, lines in _lines(chunk, raw):
+        parts = [raw[x:y] for x, y in lines]
+        base = int(chunk.off[d])
+        found = key_spans(b"".join(parts)) if len(lines) > 1 else []
+        if found and found[0][1] == 0 and found[0][2] == sum(map(len, parts)):
+            add(d, found[0][0], lines[0][0] - base, lines[-1][1] - base)
+        else:
+            for (x, _), part in zip(lines, parts, strict=True):
+                for kind, a, b in key_spans(part) if len(part) >= MIN_BASE64 else ():
+                    add(d, kind, x - base + a, x - base + b)
     for d, start, end in _runs(chunk, _HEX_ANY, MIN_HEX_KEY):
         run = text(d)[start:end]
         if run[:2] == b"30" and len(run) % 2 == 0 and is_der_key(bytes.fromhex(run.decode())):
