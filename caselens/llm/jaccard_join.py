@@ -10,13 +10,18 @@ of the set's part in it.  Linked sets share a signature.  Parts of few n-grams
 or none are no keys; a set that has more of them than the partition allows for
 also gives the signatures of a second partition, and so on, so none are lost.
 
-Equal sets are one node from the start.  Tasks link the nodes that share a
-signature among themselves and pass on one of them, so a frequent signature
-costs a row a task.  The links span groups of candidates; each group is then
-compared exactly: sizes first, a parity sketch (a lower bound of the
-difference) next, the sets last.  In groups of more than ``BLOCK_NODES`` nodes all
+Equal sets are one node from the start.  The nodes of a signature are a group of
+candidates; groups of the same nodes are one.  A group travels with parity
+sketches (a lower bound of the difference of two sets, about a fiftieth of the
+sets' bytes), and its nodes are compared by them; only pairs that the sketches
+can't part are links.  The links' components are then compared exactly: sizes
+first, wide sketches next, the sets last.  So sets travel for near copies alone,
+and texts that merely share a passage meet by sketch in the groups of their
+signatures.  Groups of more than ``GROUP_NODES`` nodes are cut into pairs of blocks.
+
+In components of more than ``BLOCK_NODES`` nodes (or their weight in n-grams) all
 sets are compared with a few pivots first, which links near copies of one text
-in one pass.  Such groups are cut into overlapping size bands, as linked sets
+in one pass.  Such components are cut into overlapping size bands, as linked sets
 lie in neighbouring ones.  Nodes of a band that the pivots linked need no
 comparison with each other, so each of them goes to one block and the rest to
 all; only where the rest is large are blocks compared in pairs.
@@ -42,16 +47,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .textcore import LOWER, NOT_SPACE, Chunk, chunks, combine, mix, rolling_prefix, span_hash, written
+from .textcore import LOWER, NOT_SPACE, Chunk, chunks, combine, mix, released, rolling_prefix, span_hash, written
 
-#: nodes of a candidate group that one task compares
-BLOCK_NODES = 16_384
-#: nodes of a larger group that all others are compared with first, and bytes of all their sets
+#: nodes of one signature that are compared in one place
+GROUP_NODES = 4_096
+#: nodes of a component that one task compares; so many n-grams weigh as much as a node
+BLOCK_NODES, NODE_GRAMS = 16_384, 512
+#: nodes of a larger component that all others are compared with first, and bytes of all their sets
 PIVOTS, PIVOT_BYTES = 32, 64 << 20
 #: signatures that a task gathers before it sends them on
-TASK_SIGNATURES = 2 << 20
-#: bits of the filter that picks candidates before their sets are shuffled; it only saves work
-FILTER_BITS = 25
+TASK_SIGNATURES = 1 << 20
+#: bits for each node of the filter that picks nodes before their sets are shuffled, and its bits at most; it only saves work
+NODE_BITS, MOST_BITS = 16, 27
 LEVELS = 4
 SKETCH_WORDS = 32
 _U = np.uint64
@@ -60,7 +67,8 @@ _U = np.uint64
 def shingles(chunk: Chunk, n: int) -> list[np.ndarray]:
     """The sorted set of word n-gram hashes of each document."""
     starts, ends, at = chunk.words(NOT_SPACE)
-    hashes = span_hash(rolling_prefix(LOWER[chunk.data]), starts, ends)
+    low = LOWER[chunk.data]
+    hashes = span_hash(rolling_prefix(low), starts, ends, low)
     grams = combine([hashes[k : len(hashes) - n + 1 + k] for k in range(n)]) if len(hashes) >= n else hashes[:0]
     out = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
@@ -178,9 +186,9 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
     return np.concatenate(out), np.concatenate(owner)
 
 
-# -- candidate links ------------------------------------------------------
+# -- candidate groups -----------------------------------------------------
 
-_PART = "shard int, signatures binary, index binary, nodes binary, a binary, b binary"
+_PART = "shard int, signatures binary, index binary, nodes binary"
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -194,41 +202,33 @@ def _unplaned(blob: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel()
 
 
-def _spanning(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct signatures with their least node, and links of all other nodes to it."""
-    if not len(sig):
-        return sig, node, node, node
+def _distinct(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs by signature, then node."""
     order = np.lexsort((node, sig))
     sig, node = sig[order], node[order]
-    first = np.concatenate(([True], sig[1:] != sig[:-1]))
-    least = node[np.flatnonzero(first)][np.cumsum(first) - 1]
-    other = least != node
-    pairs = np.unique(np.column_stack([least[other], node[other]]), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-    return sig[first], node[first], pairs[:, 0], pairs[:, 1]
+    new = np.ones(len(sig), bool)
+    new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+    return sig[new], node[new]
 
 
 def _signature_task(n: int, percent: int, shards: int):
+    """The signatures of all sets, each with its nodes, by shard."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        size, turn = 0, 0
+        size = 0
 
         def sent() -> Iterator[pa.RecordBatch]:
-            nonlocal turn
-            sig, node, a, b = _spanning(np.concatenate([s for s, _ in held]), np.concatenate([x for _, x in held]))
+            sig, node = _distinct(np.concatenate([s for s, _ in held]), np.concatenate([x for _, x in held]))
+            held.clear()
             edges = np.arange(1, shards, dtype=np.uint64) << _U(64 - shards.bit_length() + 1)
             cut = np.concatenate(([0], np.searchsorted(sig, edges), [len(sig)]))
-            rows: list[tuple] = []
             for s in range(shards):
                 part = slice(cut[s], cut[s + 1])
                 if cut[s] < cut[s + 1]:
                     names, index = np.unique(node[part], return_inverse=True)
-                    rows.append((s, _planes(np.diff(sig[part], prepend=_U(0))), _planes(index.astype(np.uint32)), names.tobytes(), None, None))
-            if len(a):
-                turn += 1
-                rows.append((turn % shards, None, None, None, a.tobytes(), b.tobytes()))
-            held.clear()
-            for row in rows:
-                yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), *(pa.array([x], pa.binary()) for x in row[1:])], ["shard", "signatures", "index", "nodes", "a", "b"])
+                    blobs = (_planes(np.diff(sig[part], prepend=_U(0))), _planes(index.astype(np.uint32)), names.tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], ["shard", "signatures", "index", "nodes"])
 
         for batch in batches:
             for chunk in chunks(batch.column("text")):
@@ -247,26 +247,39 @@ def _signature_task(n: int, percent: int, shards: int):
     return run
 
 
-def _link_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sig, node, a, b = [], [], [], []
+def _group_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole shards to ``group, nodes``: each set of two or more nodes that share a signature, once a task, large ones as pairs of blocks."""
+    sig, node = [], []
     for batch in batches:
         for r in batch.to_pylist():
-            if r["signatures"] is not None:
-                sig.append(np.cumsum(_unplaned(r["signatures"], _U), dtype=_U))
-                node.append(np.frombuffer(r["nodes"], np.int64)[_unplaned(r["index"], np.uint32)])
-            else:
-                a.append(np.frombuffer(r["a"], np.int64))
-                b.append(np.frombuffer(r["b"], np.int64))
-    if sig:
-        _, _, x, y = _spanning(np.concatenate(sig), np.concatenate(node))
-        a.append(x)
-        b.append(y)
-    if a:
-        pairs = np.unique(np.column_stack([np.concatenate(a), np.concatenate(b)]), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-
-# -- exact comparison -----------------------------------------------------
+            sig.append(np.cumsum(_unplaned(r["signatures"], _U), dtype=_U))
+            node.append(np.frombuffer(r["nodes"], np.int64)[_unplaned(r["index"], np.uint32)])
+    if not sig:
+        return
+    found, nodes = _distinct(np.concatenate(sig), np.concatenate(node))
+    sig.clear()
+    node.clear()
+    first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+    end = np.append(first[1:], len(found))
+    name = np.add.reduceat(mix(nodes.view(_U)), first)
+    several = np.flatnonzero(end - first > 1)
+    _, one = np.unique(name[several], return_index=True)
+    several = several[one]
+    small = several[(end - first)[several] <= GROUP_NODES]
+    for k in range(0, len(small), 4096):
+        own = small[k : k + 4096]
+        size = (end - first)[own]
+        at = np.arange(size.sum()) + np.repeat(first[own] - (np.cumsum(size) - size), size)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(nodes[at]))
+        yield pa.RecordBatch.from_arrays([pa.array(name[own].view(np.int64)), lists], ["group", "nodes"])
+    for k in several[(end - first)[several] > GROUP_NODES]:
+        blocks = np.array_split(nodes[first[k] : end[k]], -(-2 * (end[k] - first[k]) // GROUP_NODES))
+        for i, j in itertools.combinations(range(len(blocks)), 2):
+            own = combine([np.array([x], _U) for x in (name[k], i, j)])
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array([np.concatenate([blocks[i], blocks[j]])], pa.list_(pa.int64()))], ["group", "nodes"])
+
+
+# -- sketches -------------------------------------------------------------
 
 
 def _sketch(grams: np.ndarray, width: int = SKETCH_WORDS) -> np.ndarray:
@@ -275,6 +288,77 @@ def _sketch(grams: np.ndarray, width: int = SKETCH_WORDS) -> np.ndarray:
     return np.packbits(odd.astype(bool)).view(_U)
 
 
+def sketch_words(size: int, percent: int) -> int:
+    """Words of a travelling sketch: a few cells for each difference that a set of that size is allowed."""
+    cells = 6 * 2 * size * (100 - percent) // (100 + percent)
+    return 1 << max(1, (-(-cells // 64) - 1).bit_length())
+
+
+def near(sizes: np.ndarray, sketches: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets that size and sketch can't part."""
+    width = min(map(len, sketches))
+    order = np.argsort(sizes, kind="stable")
+    sizes = sizes[order]
+    table = np.array([np.bitwise_xor.reduce(sketches[k].reshape(-1, width), axis=0) for k in order])  # halves folded onto each other make a smaller sketch
+    low, high = -(-percent * sizes // 100), 100 * sizes // percent
+    out, rest = [], np.arange(len(order))
+    while len(rest) > 1:
+        work, rest = [int(rest[0])], rest[1:]
+        while work and len(rest):
+            x = work.pop()
+            a, b = np.searchsorted(sizes[rest], [low[x], high[x] + 1])
+            if a == b:
+                continue
+            own = rest[a:b]
+            apart = np.bitwise_count(table[own] ^ table[x]).sum(axis=1, dtype=np.int64)
+            hit = apart <= (sizes[own] + sizes[x]) * (100 - percent) // (100 + percent)
+            if hit.any():
+                found = own[hit].tolist()
+                out += [(int(order[x]), int(order[y])) for y in found]
+                work += found
+                rest = np.concatenate([rest[:a], own[~hit], rest[b:]])
+    return out
+
+
+def _near_task(percent: int):
+    """Rows of (group, node, n, sketch), all of a group in one partition and together, to links of nodes that may be linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, nodes, sizes, sketches = None, [], [], []
+        a: list[int] = []
+        b: list[int] = []
+
+        def done() -> None:
+            for x, y in near(np.array(sizes, np.int64), sketches, percent):
+                a.append(nodes[x])
+                b.append(nodes[y])
+
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("group", "node", "n", "sketch"))
+            for g, node, size, sketch in zip(*columns, strict=True):
+                if g != group:
+                    if len(nodes) > 1:
+                        done()
+                    group, nodes, sizes, sketches = g, [], [], []
+                nodes.append(node)
+                sizes.append(size)
+                sketches.append(np.frombuffer(sketch, _U))
+            if len(a) > 1 << 16:
+                pairs = np.unique(np.column_stack([a, b]), axis=0)
+                a, b = [], []
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        if len(nodes) > 1:
+            done()
+        if a:
+            pairs = np.unique(np.column_stack([a, b]), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return run
+
+
+# -- exact comparison -----------------------------------------------------
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     common = len(np.intersect1d(a, b, assume_unique=True))
     return common > 0 and 100 * common >= percent * (len(a) + len(b) - common)
@@ -320,6 +404,8 @@ def cluster(sets: list[np.ndarray], percent: int, known: np.ndarray | None = Non
 
 
 def _set_task(n: int, shared):
+    """``node, grams`` of the sets whose node is in the filter, each once a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         present = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little").astype(bool)
         sent: set[int] = set()
@@ -330,7 +416,7 @@ def _set_task(n: int, shared):
                     if not len(grams):
                         continue
                     node = node_of(grams)
-                    if node not in sent and present[node & ((1 << FILTER_BITS) - 1)]:
+                    if node not in sent and present[node & (len(present) - 1)]:
                         if len(sent) > 1 << 20:
                             sent.clear()
                         sent.add(node)
@@ -368,10 +454,11 @@ def _cluster_task(percent: int):
 
 
 def _filter_of(nodes: DataFrame) -> bytes:
-    """Which low bits of a node occur: 2**FILTER_BITS bits, whatever the number of nodes."""
-    low = F.col("node").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    """Which low bits of a node occur, with ``NODE_BITS`` bits for each node, 2**MOST_BITS at most."""
+    bits = min(MOST_BITS, max(10, (NODE_BITS * nodes.count()).bit_length()))
+    low = F.col("node").bitwiseAND(F.lit((1 << bits) - 1))
     words = nodes.select(F.shiftright(low, 6).alias("w"), F.expr("shiftleft(1L, cast(node & 63 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
-    out = np.zeros(1 << FILTER_BITS - 6, np.int64)
+    out = np.zeros(1 << bits - 6, np.int64)
     found = words.toArrow()
     out[found.column("w").to_numpy()] = found.column("bits").to_numpy()
     return out.tobytes()
@@ -412,7 +499,7 @@ def _labels(text: DataFrame, groups: DataFrame, size: DataFrame, n: int, percent
     spark = text.sparkSession
     chosen = groups.join(size, "component").where(F.pmod(F.xxhash64("node"), F.col("m")) < PIVOTS).select("node")
     bits = spark.sparkContext.broadcast(_filter_of(chosen))
-    found = text.mapInArrow(_set_task(n, bits), "node long, grams binary").join(chosen, "node").groupBy("node").agg(F.first("grams").alias("grams"))
+    found = text.mapInArrow(released(_set_task(n, bits)), "node long, grams binary").join(chosen, "node").groupBy("node").agg(F.first("grams").alias("grams"))
     kept, total = [], 0
     for row in found.toLocalIterator():
         if total + len(row.grams) > PIVOT_BYTES:
@@ -422,26 +509,26 @@ def _labels(text: DataFrame, groups: DataFrame, size: DataFrame, n: int, percent
     if not kept:
         return spark.createDataFrame([], "node long, label long")
     shared = spark.sparkContext.broadcast(kept)
-    links = text.mapInArrow(_pivot_task(n, percent, shared), "a long, b long")
+    links = text.mapInArrow(released(_pivot_task(n, percent, shared)), "a long, b long")
     return components(links).withColumnRenamed("component", "label")
 
 
-def _placed(text: DataFrame, groups: DataFrame, rows: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+def _placed(text: DataFrame, groups: DataFrame, sizes: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
     """``node, part, label``: where each candidate is compared; and the links that are known by then, if a group was cut into parts."""
-    size = groups.groupBy("component").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK_NODES)
+    weight = F.greatest(F.count("*"), F.floor(F.sum("n") / NODE_GRAMS))
+    size = groups.join(sizes, "node").groupBy("component").agg(weight.alias("m")).where(F.col("m") > BLOCK_NODES)
     if size.isEmpty():
         return groups.select("node", F.col("component").alias("part"), F.col("node").alias("label")), None
     labels = written(text.sparkSession, _labels(text, groups, size, n, percent), "labels")
     joined = groups.join(size, "component", "left").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     whole = joined.where("m IS NULL").select("node", F.col("component").alias("part"), "label")
-    sizes = rows.where("node IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("n"))
     # bands are four similarities wide; a set near a band's end could be linked with one in the next band, and goes there as well
     apart = math.log(100 / percent) * 1.0001
     band = F.floor(F.log("n") / (4 * apart))
     near = F.when(F.log("n") >= 4 * apart * (band + 1) - apart, F.array(band, band + 1)).otherwise(F.array(band))
-    banded = joined.where("m IS NOT NULL").join(sizes, "node").select("node", "label", "component", F.explode(near).alias("band"))
+    banded = joined.where("m IS NOT NULL").join(sizes, "node").select("node", "label", "component", "n", F.explode(near).alias("band"))
     # nodes of a band's most frequent label need no comparison with each other: each is in one block, the rest in all
-    by_label = banded.groupBy("component", "band", "label").agg(F.count("*").alias("c"))
+    by_label = banded.groupBy("component", "band", "label").agg(weight.alias("c"))
     full = by_label.groupBy("component", "band").agg(F.sum("c").alias("m"), F.max("c").alias("most"), F.max_by("label", F.struct("c", "label")).alias("main"))
     rest = F.col("m") - F.col("most")
     main_blocks = F.greatest(F.ceil(F.col("most") / BLOCK_NODES), F.lit(1))
@@ -455,10 +542,11 @@ def _placed(text: DataFrame, groups: DataFrame, rows: DataFrame, n: int, percent
     return whole.unionByName(cut), labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
 
 
-def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row: components of texts whose n-gram sets have that Jaccard similarity in per cent."""
+def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """``doc_id, print, n_shingles, name`` of every row: ``print`` hashes the text, ``name`` is the least (id is null, id, print) of the row's component."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    docs = docs.select("doc_id", F.xxhash64(text).alias("print"), text.alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     shards = 1 << max(0, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
 
@@ -468,33 +556,62 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
                 sets = shingles(chunk, n)
                 sizes = [len(s) for s in sets]
                 nodes = [node_of(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(chunk.first, len(chunk)), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], ["doc_id", "n_shingles", "node"])
+                sketches = [_sketch(s, sketch_words(len(s), percent)).tobytes() if len(s) else None for s in sets]
+                own = [batch.column(c).slice(chunk.first, len(chunk)) for c in ("doc_id", "print")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "print", "n_shingles", "node", "sketch"])
 
-    rows = written(spark, docs.mapInArrow(describe, f"doc_id {kind}, n_shingles long, node long"), "sets")
+    rows = written(spark, docs.mapInArrow(released(describe), f"doc_id {kind}, print long, n_shingles long, node long, sketch binary"), "sets")
+    some = rows.where("node IS NOT NULL")
     text = docs.select("text")
-    parts = text.mapInArrow(_signature_task(n, percent, shards), _PART).repartition(shards, "shard")
-    groups = written(spark, components(parts.mapInArrow(_link_task, "a long, b long")), "candidates")
-
-    placed, known = _placed(text, groups, rows, n, percent)
+    parts = text.mapInArrow(released(_signature_task(n, percent, shards)), _PART).repartition(shards, "shard")
+    same = parts.mapInArrow(released(_group_task), "group long, nodes array<long>").dropDuplicates(["group"])
+    sketches = some.select("node", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["node"])
+    met = same.select("group", F.explode("nodes").alias("node")).join(sketches, "node").repartition("group").sortWithinPartitions("group")
+    groups = written(spark, components(met.select("group", "node", "n", "sketch").mapInArrow(released(_near_task(percent)), "a long, b long")), "candidates")
+
+    sizes = some.groupBy("node").agg(F.first("n_shingles").alias("n"))
+    placed, known = _placed(text, groups, sizes, n, percent)
     shared = spark.sparkContext.broadcast(_filter_of(groups))
-    sets = text.mapInArrow(_set_task(n, shared), "node long, grams binary")
+    sets = text.mapInArrow(released(_set_task(n, shared)), "node long, grams binary")
     placed = sets.join(placed, "node").select("part", "node", "label", "grams").repartition("part").sortWithinPartitions("part")
-    found = placed.mapInArrow(_cluster_task(percent), "a long, b long")
+    found = placed.mapInArrow(released(_cluster_task(percent)), "a long, b long")
     same = found.select(F.col("a").alias("node"), F.col("b").alias("component")) if known is None else components(found.unionByName(known))
 
-    # every set's least document, then every component's
-    least = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
+    # every set's least row, then every component's
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "print")
+    least = some.groupBy("node").agg(F.min(row).alias("least"))
     named = least.join(same, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = written(spark, named, "members")
-    name = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(name, "component").select("node", "component_id")
-    return rows.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    name = named.groupBy("component").agg(F.min("least").alias("name"))
+    named = named.join(name, "component").select("node", "name")
+    alone = rows.where("node IS NULL").select("doc_id", "print", "n_shingles", row.alias("name"))
+    return some.join(named, "node").select("doc_id", "print", "n_shingles", "name").unionByName(alone)
+
+
+def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row: components of texts whose n-gram sets have that Jaccard similarity in per cent."""
+    return _components(docs, n, percent).select("doc_id", "n_shingles", F.col("name.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` without those of documents that are not the least of their component."""
-    gone = join(docs, n, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_copy"], "left_anti")
+    """The rows of ``docs`` without those of documents that are not the least of their component.
+
+    Rows are told apart by id and text.  Of repeated rows (equal id and text)
+    with words any one stays; rows without words all stay.
+    """
+    spark = docs.sparkSession
+    mark = "_" * (1 + max(map(len, docs.columns)))  # longer than any name of ``docs``
+    own_id, own_print = f"{mark}id", f"{mark}print"
+    found = _components(docs, n, percent).where("n_shingles > 0").groupBy("doc_id", "print", "name").agg(F.count("*").alias("times"))
+    first = F.col("doc_id").eqNullSafe(F.col("name.doc_id")) & (F.col("print") == F.col("name.print"))
+    found = written(spark, found.select(F.col("doc_id").alias(own_id), F.col("print").alias(own_print), first.alias("first"), "times"), "verdicts")
+    own = F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.xxhash64(F.col("text").cast("string")) == F.col(own_print))
+    kept = docs.join(found.where("NOT first").select(own_id, own_print), own, "left_anti")
+    twice = found.where("first AND times > 1").select(own_id, own_print)
+    if twice.isEmpty():
+        return kept
+    again = kept.join(twice, own).dropDuplicates([own_id, own_print]).drop(own_id, own_print)
+    return kept.join(twice, own, "left_anti").unionByName(again)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

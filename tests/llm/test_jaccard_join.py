@@ -100,6 +100,28 @@ def test_empty_table_and_keep_one(spark):
     df = spark.createDataFrame([(2, "a b c d e f g h", "x"), (1, "A b c d e f g h", "y"), (3, None, "z"), (4, None, "z"), (5, "other words", None)], "doc_id long, text string, _copy string")
     assert {r.doc_id for r in j.keep_one(df).collect()} == {1, 3, 4, 5}
     assert j.keep_one(df).columns == df.columns
+
+
+def test_keep_one_goes_by_rows(spark):
+    """Repeated rows of the least id, null ids and an id with two texts."""
+    text, other = "a b c d e f g h", "some quite other words than those"
+    rows = [(1, text, 1), (1, text, 2), (2, text, 3), (None, text, 4), (None, other, 5), (None, other, 6), (3, text, 7), (3, "words of an id with two texts", 8), (4, None, 9), (4, None, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id int")
+    kept = j.keep_one(df).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, other), (1, text), (3, rows[7][1]), (4, ""), (4, "")]
+    assert j.keep_one(df).columns == df.columns
+
+
+def test_blocks_of_a_frequent_signature(spark, monkeypatch):
+    monkeypatch.setattr(j, "GROUP_NODES", 6)
+    rows = near_copies(2) + [(2000 + k, " ".join(["one", "very", "common", "passage", "of", "ten", "words", "stands", "here", "too", f"x{k % 40}", f"y{k}"])) for k in range(80)]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in j.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()), key=str)
+    assert got == brute(rows, 3, 90)
+
+
+def test_empty_tables(spark):
+    df = spark.createDataFrame([], "doc_id long, text string, _copy string")
+    assert j.keep_one(df).count() == 0
     assert j.join(df.limit(0)).count() == 0
 
 
