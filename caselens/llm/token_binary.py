@@ -34,7 +34,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textcore import byte_table, chunks, shared_folder
+from .textcore import byte_table, chunks, released, shared_folder
 
 MAGIC = b"S8BSHARD"
 VERSION = 1
@@ -269,8 +269,11 @@ class ShardReader:
 
 _LETTER = byte_table((0x41, 0x5A), (0x61, 0x7A))
 _PUNCTUATION = byte_table((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
-#: pieces kept with their ids in a worker
-CACHE_PIECES = 600_000
+#: pieces of one generation; a worker keeps two generations with their ids
+CACHE_PIECES = 250_000
+#: bytes of text that are encoded at once, as fewer distinct pieces are looked up in longer stretches
+STRETCH_BYTES = 2 << 20
+_JOINABLE = re.compile(rb" [!-~\xc3-\xdf][!-~\x80-\xff]*(?<=[!-~])", re.S).fullmatch
 
 
 class PieceEncoder:
@@ -293,22 +296,44 @@ class PieceEncoder:
         self.known: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.at = np.zeros(1, np.int64)
+        self.used = np.zeros(0, bool)  # found or learnt in this generation
+        self.old = 0  # pieces of the last generation
+
+    def _age(self) -> None:
+        """Starts a generation: pieces that the last one neither found nor learnt are forgotten."""
+        kept = [(p, k) for p, k in self.known.items() if self.used[k]]
+        number = np.fromiter((k for _, k in kept), np.int64, len(kept))
+        flat, lengths = self._gather(number)
+        self.flat = flat
+        self.at = np.concatenate(([0], np.cumsum(lengths)))
+        self.known = {p: k for k, (p, _) in enumerate(kept)}
+        self.used = np.zeros(len(kept), bool)
+        self.old = len(kept)
+
+    def _gather(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces in a row, and how many each has."""
+        begin = self.at[number]
+        lengths = self.at[number + 1] - begin
+        upto = np.cumsum(lengths) - lengths
+        return self.flat[np.arange(lengths.sum()) + np.repeat(begin - upto, lengths)], lengths
 
     def _joined(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces that start with one blank and end in visible ASCII: their concatenation is cut between them again."""
-        ids = np.array(self.tokenizer.encode(b"".join(pieces).decode(), add_special_tokens=False).ids, np.uint32)
+        texts = [b"".join(pieces[i : i + 256]).decode() for i in range(0, len(pieces), 256)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
         ends = np.cumsum(self.width[ids])
         upto = np.searchsorted(ends, np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))) + 1
         return ids, np.diff(upto, prepend=0)
 
-    def _learn(self, pieces: list[bytes]) -> None:
-        plain = re.compile(rb" [!-~\xc3-\xdf][!-~\x80-\xff]*(?<=[!-~])", re.S).fullmatch
-        joinable = [p for p in pieces if plain(p)]
-        others = [p for p in pieces if not plain(p)]
-        pieces = joinable + others
-        parts = [self._joined(joinable[i : i + 8192]) for i in range(0, len(joinable), 8192)]
-        for i in range(0, len(others), 4096):
-            batch = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in others[i : i + 4096]], add_special_tokens=False)]
+    def _learn(self, pieces: list[bytes]) -> np.ndarray:
+        """Numbers of pieces that were not known."""
+        split: tuple[list[int], list[int]] = ([], [])
+        for k, piece in enumerate(pieces):
+            split[_JOINABLE(piece) is None].append(k)
+        order = np.array(split[0] + split[1], np.int64)
+        parts = [self._joined([pieces[k] for k in split[0]])] if split[0] else []
+        for i in range(0, len(split[1]), 4096):
+            batch = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[k].decode() for k in split[1][i : i + 4096]], add_special_tokens=False)]
             parts.append((np.fromiter((i for ids in batch for i in ids), np.uint32), np.fromiter(map(len, batch), np.int64, len(batch))))
         lengths = np.concatenate([n for _, n in parts])
         total = int(lengths.sum())
@@ -316,9 +341,12 @@ class PieceEncoder:
         if used + total > len(self.flat):
             self.flat = np.concatenate([self.flat[:used], np.zeros(max(total, used), np.uint32)])
         self.flat[used : used + total] = np.concatenate([ids for ids, _ in parts])
-        base = len(self.at) - 1
+        number = np.empty(len(pieces), np.int64)
+        number[order] = np.arange(len(self.at) - 1, len(self.at) - 1 + len(pieces))
         self.at = np.concatenate([self.at, used + np.cumsum(lengths)])
-        self.known.update(zip(pieces, range(base, base + len(pieces)), strict=True))
+        self.used = np.concatenate([self.used, np.zeros(len(pieces), bool)])
+        self.known.update(zip(pieces, number.tolist(), strict=True))
+        return number
 
     def cuts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Offsets at which pieces start, each document's start among them, and the end of the data."""
@@ -354,18 +382,18 @@ class PieceEncoder:
         pieces = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
         coded = pieces.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.known) + len(distinct) > CACHE_PIECES:
-            self._reset()
-        known = self.known
-        if missing := [p for p in distinct if p not in known]:
-            self._learn(missing)
-        number = np.fromiter((known[p] for p in distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
-        begin = self.at[number]
-        lengths = self.at[number + 1] - begin
+        if len(self.known) - self.old + len(distinct) > CACHE_PIECES:
+            self._age()
+        find = self.known.get
+        number = np.fromiter((find(p, -1) for p in distinct), np.int64, len(distinct))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            number[new] = self._learn([distinct[k] for k in new.tolist()])
+        self.used[number] = True
+        ids, lengths = self._gather(number[coded.indices.to_numpy()])
         upto = np.concatenate(([0], np.cumsum(lengths)))
-        gather = np.arange(upto[-1]) + np.repeat(begin - upto[:-1], lengths)
         of = np.searchsorted(at[:-1], off)
-        return self.flat[gather], upto[of[1:]] - upto[of[:-1]]
+        return ids, upto[of[1:]] - upto[of[:-1]]
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -395,7 +423,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer_file: str, end_id
         try:
             for batch in batches:
                 doc = batch.column("doc_id")
-                for chunk in chunks(batch.column("text")):
+                for chunk in chunks(batch.column("text"), STRETCH_BYTES):
                     writer = writer or ShardWriter(folder)
                     ids, lengths = encoder.encode(chunk.data, chunk.off)
                     ends = np.cumsum(lengths)
@@ -416,7 +444,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer_file: str, end_id
             raise
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    done = ordered.mapInArrow(write, "name string, first long, null_first boolean, n_docs long, n_ids long")
+    done = ordered.mapInArrow(released(write), "name string, first long, null_first boolean, n_docs long, n_ids long")
     manifest = sorted((r.asDict() for r in done.collect()), key=lambda r: (not r["null_first"], r["first"]))
     start = 0
     for entry in manifest:
@@ -448,7 +476,7 @@ def read_token_shards(spark: SparkSession, folder: str, manifest: list[dict], di
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
-    return spark.range(0, len(shards), 1, max(1, len(shards))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spark.range(0, len(shards), 1, max(1, len(shards))).mapInArrow(released(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,3 +64,17 @@ def test_damaged_shard(tmp_path):
     (tmp_path / "x.s8b").write_bytes(b"x" * 200)
     with pytest.raises(ValueError):
         t.ShardReader(f"file://{tmp_path}/x.s8b")
+
+
+def test_generations_of_the_piece_cache(monkeypatch):
+    monkeypatch.setattr(t, "CACHE_PIECES", 40)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 60) % 500) for _ in range(80)]
+    encoder = t.PieceEncoder(FILE)
+    most = 0
+    for chunk in chunks(pa.array(texts), 300):
+        ids, lengths = encoder.encode(chunk.data, chunk.off)
+        want = [encoder.tokenizer.encode(x, add_special_tokens=False).ids for x in texts[chunk.first : chunk.first + len(chunk)]]
+        assert ids.tolist() == [i for w in want for i in w] and lengths.tolist() == list(map(len, want))
+        most = max(most, len(encoder.known))
+    assert encoder.old and most < 200
