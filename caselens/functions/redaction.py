@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import ipaddress
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,29 +84,53 @@ def partial(column: Column, keep: int = 3) -> Column:
     return F.concat(F.substring(column, 1, keep), F.repeat(F.lit("*"), F.greatest(F.length(column) - keep, F.lit(0))))
 
 
+def _octets(value: Column) -> Column:
+    """Dotted quad of an unsigned 32-bit number."""
+    return F.concat_ws(".", *(F.shiftright(value, 8 * (3 - k)).bitwiseAND(F.lit(255).cast("bigint")).cast("string") for k in range(4)))
+
+
+def _quad(text: Column) -> Column:
+    """Number of a dotted quad."""
+    parts = F.split(text, r"\.")
+    return sum((F.coalesce(parts[k].try_cast("bigint"), F.lit(0)) * (1 << 8 * (3 - k)) for k in range(4)), F.lit(0).cast("bigint"))
+
+
+def _groups(text: Column) -> Column:
+    """The eight numbers of an IPv6 address; null for other texts."""
+    tail = F.substring_index(text, ":", -1)
+    quad, ending = _quad(tail), tail.rlike(rf"\A{V4}\z")
+    low = F.lit(65535).cast("bigint")
+    words = F.concat_ws(":", F.lower(F.hex(F.shiftright(quad, 16))), F.lower(F.hex(quad.bitwiseAND(low))))
+    plain = F.when(ending, F.concat(F.substring(text, F.lit(1), F.length(text) - F.length(tail)), words)).otherwise(text)
+    some = r"(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?"
+    left, right = (F.filter(F.split(F.substring_index(plain, "::", side), ":"), lambda x: x != "") for side in (1, -1))
+    gap = F.concat(left, F.array_repeat(F.lit("0"), F.lit(8) - F.size(left) - F.size(right)), right)
+    parts = F.when(plain.rlike(r"\A(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\z"), F.split(plain, ":"))
+    parts = F.coalesce(parts, F.when(plain.rlike(rf"\A{some}::{some}\z") & (F.size(left) + F.size(right) <= 7), gap))
+    return F.transform(parts, lambda x: F.conv(x, 16, 10).cast("bigint"))
+
+
+def _six(groups: Column) -> Column:
+    """An IPv6 address as text: lower case, the first longest run of zero groups cut out, mapped IPv4 as a quad."""
+    text = F.concat_ws(":", F.transform(groups, lambda x: F.lower(F.hex(x))))
+    short = text
+    for n in range(2, 9):  # the longest run is tried first
+        run = rf"\A((?:[0-9a-f]+:)*?)0(?::0){{{n - 1}}}((?::[0-9a-f]+)*)\z"
+        cut = F.concat(F.regexp_replace(F.regexp_extract(text, run, 1), ":\\z", ""), F.lit("::"), F.regexp_replace(F.regexp_extract(text, run, 2), "\\A:", ""))
+        short = F.when(text.rlike(run), cut).otherwise(short)
+    mapped = F.concat(F.lit("::ffff:"), _octets(groups[6] * 65536 + groups[7]))
+    return F.when(text.rlike(r"\A(?:0:){5}ffff:"), mapped).otherwise(short)
+
+
 def ip_prefix(column: Column, bits: int = 24) -> Column:
-    """The network of an address; IPv4 natively, IPv6 in an Arrow-batched function, anything else masked."""
+    """The network of an address, IPv4 or IPv6; anything else masked."""
     text = trimmed(column)
-    parts = F.split(text, r"\.")
-    value = sum((parts[k].try_cast("bigint") * (1 << 8 * (3 - k)) for k in range(4)), F.lit(0).cast("bigint"))
-    kept = value.bitwiseAND(F.lit((0xFFFFFFFF << 32 - min(bits, 32)) & 0xFFFFFFFF).cast("bigint"))
-    v4 = F.concat_ws(".", *(F.shiftright(kept, 8 * (3 - k)).bitwiseAND(F.lit(255).cast("bigint")).cast("string") for k in range(4)))
-    wide = min(bits, 128)
-
-    @F.pandas_udf("string")
-    def v6(values: pd.Series) -> pd.Series:
-        def one(value: str | None) -> str | None:
-            if value is None or ":" not in value or "%" in value:
-                return None
-            try:
-                address = int(ipaddress.IPv6Address(value))
-            except ValueError:
-                return None
-            return str(ipaddress.IPv6Address(address >> 128 - wide << 128 - wide if wide else 0))
-
-        return values.map(one)
-
-    return F.when(text.rlike(rf"\A{V4}\z"), v4).otherwise(F.coalesce(v6(F.when(text.contains(":"), text)), F.lit(DEFAULT_MASK)))
+    kept = _quad(text).bitwiseAND(F.lit((0xFFFFFFFF << 32 - min(bits, 32)) & 0xFFFFFFFF).cast("bigint"))
+    masks = [(0xFFFF << 16 - min(16, max(0, bits - 16 * k))) & 0xFFFF for k in range(8)]
+    groups = _groups(text)
+    network = F.zip_with(groups, F.array(*(F.lit(m).cast("bigint") for m in masks)), lambda x, m: x.bitwiseAND(m))
+    wide = F.when(text.contains(":"), F.when(groups.isNotNull(), _six(network)))
+    return F.when(text.rlike(rf"\A{V4}\z"), _octets(kept)).otherwise(F.coalesce(wide, F.lit(DEFAULT_MASK)))
 
 
 def hmac_sha256(column: Column, key: bytes, length: int = 16) -> Column:

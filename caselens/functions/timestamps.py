@@ -1,9 +1,9 @@
 """Timestamps as Unix seconds.
 
-``seconds`` builds a Column in three tiers: a timestamp column is converted
-natively; text in plain ISO form is cast natively; only what is left goes to an
-Arrow-batched function that knows all forms.  ``parse`` is that function for
-one value.  Times without a zone are UTC.
+``seconds`` is one native expression: a cheap look at a few characters picks the
+form a text may have, one regular expression confirms it, and the parts are
+cut out and summed.  ``parse`` is the same for one value on the driver.  Times
+without a zone are UTC.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from __future__ import annotations
 import re
 from datetime import UTC, date, datetime
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,25 +70,82 @@ def parse(text: str | None, year: int) -> int | None:
     return None
 
 
-_ISO = r"\A\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(\.\d+)?Z?\z"
+_JAVA_CLOCK = r"\d{2}:\d{2}(?::\d{2}(?:[.,]\d*)?)?"
+_JAVA_ZONE = r"(?:[Zz]|[+-]\d{2}(?::?\d{2})?)?"
+_JAVA_US = r"\A(\d{1,2})/(\d{1,2})/(\d{4})(?: (\d{1,2}):(\d{2})(?::(\d{2}))? ?([AaPp][Mm])?)?\z"
+
+
+def _total(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column, offset: Column | None = None) -> Column:
+    """Seconds of the parts, null unless they are in range; days and seconds beyond roll on."""
+    div = lambda a, b: F.call_function("div", a, F.lit(b))
+    y = F.when(month <= 2, year - 1).otherwise(year)  # years from March on
+    days = 365 * y + div(y, 4) - div(y, 100) + div(y, 400) + div(153 * ((month + 9) % 12) + 2, 5) + day - 719_469
+    total = days.cast("bigint") * 86_400 + hour * 3600 + minute * 60 + second
+    ok = month.between(1, 12) & day.between(1, 31) & year.between(1900, 2200) & (hour <= 23) & (minute <= 59) & (second <= 60)
+    return F.when(ok, total if offset is None else total - offset)
+
+
+def _number(text: Column) -> Column:
+    """An integer of two to four digits; 0 for an empty text."""
+    return F.coalesce(text.try_cast("int"), F.lit(0))
+
+
+def _month(text: Column) -> Column:
+    """Number of an English month's first three letters, 0 for others."""
+    at = F.instr(F.lit("".join(MONTHS)), F.lower(text))
+    return F.when((at > 0) & (at % 3 == 1), ((at + 2) / 3).cast("int")).otherwise(F.lit(0))
+
+
+def _clock(text: Column) -> tuple[Column, Column, Column]:
+    """Hour, minute and second of a text that begins with HH:MM or HH:MM:SS."""
+    second = F.when(F.substring(text, 6, 1) == ":", _number(F.substring(text, 7, 2))).otherwise(F.lit(0))
+    return _number(F.substring(text, 1, 2)), _number(F.substring(text, 4, 2)), second
+
+
+def _offset(clock: Column) -> Column:
+    """Seconds east of UTC that a text after HH:MM ends in."""
+    zone = F.regexp_extract(clock, r"[+-][0-9:]+\z", 0)
+    minutes = F.when(F.length(zone) > 3, _number(F.substring(zone, -2, 2))).otherwise(F.lit(0))
+    size = _number(F.substring(zone, 2, 2)) * 3600 + minutes * 60
+    return F.when(clock.rlike("[+-]"), F.when(zone.startswith("-"), -size).otherwise(size)).otherwise(F.lit(0))
 
 
 def seconds(column: Column, kind: T.DataType, year: int | None = None) -> Column:
     """Unix seconds (bigint) of a column of type ``kind``, null where there is no timestamp."""
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return F.unix_timestamp(column.cast("timestamp"))
-    year = year or current_year()
-
-    @F.pandas_udf("long")
-    def others(values: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else parse(v, year) for v in values], dtype="Int64")
-
-    text = F.regexp_replace(column.cast("string"), r"\A[ \t\n\f\r]+|[ \t\n\f\r]+\z", "")
-    plain = text.rlike(_ISO) & (F.length(text) <= 40)
-    # second 60 and days beyond the month's end are not the cast's to judge
-    stamp = F.try_to_timestamp(F.regexp_replace(F.substring(text, 1, 19), " ", "T"), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
-    quick = F.when(plain & F.substring(text, 1, 4).between("1900", "2200"), F.unix_timestamp(stamp))
-    return F.coalesce(quick, others(F.when(quick.isNull(), text)))
+    text = F.btrim(column.cast("string"), F.lit(_BLANKS))
+    at = lambda start, length: F.substring(text, start, length)
+    zero = F.lit(0)
+
+    digits = text.try_cast("bigint")
+    units = F.when(F.length(text) == 10, digits).when(F.length(text) == 13, F.call_function("div", digits, F.lit(1000))).when(F.length(text) == 16, F.call_function("div", digits, F.lit(1_000_000)))
+
+    clock = F.substring(text, 12, 40)
+    dated = _total(_number(at(1, 4)), _number(at(6, 2)), _number(at(9, 2)), *_clock(clock), _offset(F.substring(text, 17, 40)))
+    dated = F.when(text.rlike(rf"\A\d{{4}}([-/])\d{{2}}\1\d{{2}}(?:[Tt ]{_JAVA_CLOCK}{_JAVA_ZONE})?\z"), dated)
+
+    log_clock = F.substring(text, 13, 40)
+    logged = _total(_number(at(8, 4)), _month(at(4, 3)), _number(at(1, 2)), *_clock(log_clock), _offset(F.substring(text, 18, 40)))
+    logged = F.when((F.length(text) >= _LEAST[1]) & text.rlike(rf"\A\d{{2}}/[A-Za-z]{{3}}/\d{{4}}:{_JAVA_CLOCK} ?{_JAVA_ZONE}\z"), logged)
+
+    day = _number(F.substring_index(F.ltrim(F.substring(text, 4, 40)), " ", 1))
+    system = _total(F.lit(year or current_year()), _month(at(1, 3)), day, *_clock(F.substring_index(text, " ", -1)))
+    system = F.when((F.length(text) >= _LEAST[2]) & text.rlike(rf"\A[A-Za-z]{{3}} +\d{{1,2}} {_JAVA_CLOCK}\z"), system)
+
+    part = lambda k: F.regexp_extract(text, _JAVA_US, k)
+    hour, half = _number(part(4)), F.lower(part(7))
+    hour = F.when((half == "am") & (hour == 12), zero).when((half == "pm") & (hour < 12), hour + 12).otherwise(hour)
+    american = F.when(text.rlike(_JAVA_US), _total(_number(part(3)), _number(part(1)), _number(part(2)), hour, _number(part(5)), _number(part(6))))
+
+    found = (
+        F.when(F.translate(text, "0123456789", "") == "", units)
+        .when(at(5, 1).isin("-", "/"), F.coalesce(dated, american))
+        .when(at(4, 1) == " ", system)
+        .when((at(3, 1) == "/") & at(4, 1).rlike("[A-Za-z]"), logged)
+        .when(at(2, 2).contains("/"), american)
+    )
+    return F.when((text != "") & (F.octet_length(text) <= 40), found)
 
 
 def iso(column: Column) -> Column:

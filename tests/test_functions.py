@@ -153,3 +153,51 @@ def test_regex_translation(spark):
             search.SearchQuery(bad, "regex").check()
     with pytest.raises(ValueError):
         search.SearchQuery("(", "regex").check()
+
+
+def test_address_prefixes_against_the_library(spark):
+    rng = random.Random(5)
+    group = lambda: rng.choice(["0", "0", "0", "ffff", "1", "0db8", f"{rng.randrange(1 << 16):x}", f"{rng.randrange(1 << 16):04X}"])
+    texts = ["::", "::1", "1::", "1:2:3:4:5:6:7::", "1:2:3:4:5:6:7::8", "::ffff:1.2.3.4", "::1.2.3.4", "1:2:3:4:5:6:1.2.3.4", "1::2::3", ":1", "1:", "12345::", "g::", "::1%eth0", "10.1.2.3", "10.1.2.03", "x", "::1.2.3.400", " fe80::1 "]
+    for _ in range(300):
+        parts = [group() for _ in range(rng.choice([8, 8, 7, 5, 3, 9]))]
+        if rng.random() < 0.6:
+            parts[rng.randrange(len(parts))] = rng.choice(["", "::"])
+        texts.append(":".join(parts).replace(":::::", "::").replace("::::", "::").replace(":::", "::"))
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for bits in (0, 1, 24, 47, 64, 96, 113, 128):
+
+        def want(text: str, bits: int = bits) -> str:
+            try:
+                address = ipaddress.ip_address(text.strip())
+            except ValueError:
+                return redaction.DEFAULT_MASK
+            if "%" in text:
+                return redaction.DEFAULT_MASK
+            keep = min(bits, address.max_prefixlen)
+            return str(type(address)(int(address) >> address.max_prefixlen - keep << address.max_prefixlen - keep))
+
+        got = df.select("t", redaction.ip_prefix(F.col("t"), bits).alias("p")).collect()
+        assert {r.t: r.p for r in got} == {t: want(t) for t in texts}
+
+
+def test_timestamps_of_random_texts(spark):
+    rng = random.Random(6)
+    clock = lambda: rng.choice(["", "T10:20", " 23:59:60", "t01:02:03", " 24:00:00", "T10:20:30.5", " 1:02", "T10:20:3", " 12:00:00,999"])
+    zone = lambda: rng.choice(["", "", "Z", "z", "+05:30", "-0800", "+09", " +0100", "+1", "-12:345"])
+    number = lambda: str(rng.choice([0, 1, 2, 9, 10, 12, 13, 28, 29, 30, 31, 32]))
+    month = lambda: rng.choice(["jan", "Feb", "MAR", "Sept", "Xyz", "dec", "anf"])
+    year = lambda: rng.choice(["1899", "1900", "1970", "1999", "2000", "2024", "2100", "2200", "2201", "24"])
+    forms = [
+        lambda: f"{year()}-{number():0>2}-{number():0>2}{clock()}{zone()}", lambda: f"{year()}/{number():0>2}{rng.choice('/-')}{number():0>2}{clock()}{zone()}",
+        lambda: f"{number():0>2}/{month()}/{year()}:{number():0>2}:30:15 {zone()}", lambda: f"{month()}{' ' * rng.randrange(1, 4)}{number()}{clock().replace('T', ' ')}",
+        lambda: f"{number()}/{number()}/{year()} {number()}:{number():0>2}{rng.choice(['', ':07'])}{rng.choice(['', ' AM', 'pm', ' Pm'])}", lambda: f"{number()}/{number()}/{year()}",
+        lambda: str(rng.randrange(10 ** rng.choice([9, 10, 13, 16, 19]))),
+    ]
+    texts = list({rng.choice(["", " ", "\t"]) + rng.choice(forms)() + rng.choice(["", "\n"]) for _ in range(3000)})
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = df.select("t", timestamps.seconds(F.col("t"), T.StringType(), 2024).alias("s"))
+    assert "Python" not in found._jdf.queryExecution().toString()
+    got = {r.t: r.s for r in found.collect()}
+    assert {t: (got[t], timestamps.parse(t, 2024)) for t in texts if got[t] != timestamps.parse(t, 2024)} == {}
+    assert sum(v is not None for v in got.values()) > 300
