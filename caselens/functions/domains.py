@@ -68,5 +68,10 @@ def parts(column: Column, suffixes: SuffixList | None = None) -> Column:
     return split(column.cast("string"))
 
 
+def host(column: Column) -> Column:
+    """The host of a URL, lower-cased, without user and port; empty where there is none."""
+    return F.lower(F.regexp_extract(column.cast("string"), r"\A[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#@]+)", 1))
+
+
 def host_of(url: str) -> str:
     return urlsplit(url).hostname or ""

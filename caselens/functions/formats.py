@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,6 +42,11 @@ def integer_of(text: str) -> int:
     return int(text.replace("_", "").replace(",", ""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it, and stands once in the plan."""
+    return F.transform(F.array(value), body)[0]
+
+
 def quoted(column: Column, delimiter: str = ",", quote: str | None = '"') -> Column:
     """A field as CSV text: quoted only where it has to be.  Null is an empty field."""
     text = F.coalesce(column.cast("string"), F.lit(""))

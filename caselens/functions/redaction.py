@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .formats import let
 from .semantic import V4, trimmed
 
 DEFAULT_MASK = "[REDACTED]"
@@ -95,42 +96,52 @@ def _quad(text: Column) -> Column:
     return sum((F.coalesce(parts[k].try_cast("bigint"), F.lit(0)) * (1 << 8 * (3 - k)) for k in range(4)), F.lit(0).cast("bigint"))
 
 
-def _groups(text: Column) -> Column:
-    """The eight numbers of an IPv6 address; null for other texts."""
-    tail = F.substring_index(text, ":", -1)
-    quad, ending = _quad(tail), tail.rlike(rf"\A{V4}\z")
+def _plain(text: Column) -> Column:
+    """An IPv6 address whose quad at the end, if any, is written as two groups."""
     low = F.lit(65535).cast("bigint")
-    words = F.concat_ws(":", F.lower(F.hex(F.shiftright(quad, 16))), F.lower(F.hex(quad.bitwiseAND(low))))
-    plain = F.when(ending, F.concat(F.substring(text, F.lit(1), F.length(text) - F.length(tail)), words)).otherwise(text)
+    words = lambda n: F.concat_ws(":", F.lower(F.hex(F.shiftright(n, 16))), F.lower(F.hex(n.bitwiseAND(low))))
+    tail = F.substring_index(text, ":", -1)
+    whole = F.concat(F.substring(text, F.lit(1), F.length(text) - F.length(tail)), let(let(tail, _quad), words))
+    return F.when(tail.rlike(rf"\A{V4}\z"), whole).otherwise(text)
+
+
+def _parts(plain: Column) -> Column:
+    """The eight groups of an IPv6 address; null for other texts."""
     some = r"(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?"
-    left, right = (F.filter(F.split(F.substring_index(plain, "::", side), ":"), lambda x: x != "") for side in (1, -1))
-    gap = F.concat(left, F.array_repeat(F.lit("0"), F.lit(8) - F.size(left) - F.size(right)), right)
-    parts = F.when(plain.rlike(r"\A(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\z"), F.split(plain, ":"))
-    parts = F.coalesce(parts, F.when(plain.rlike(rf"\A{some}::{some}\z") & (F.size(left) + F.size(right) <= 7), gap))
-    return F.transform(parts, lambda x: F.conv(x, 16, 10).cast("bigint"))
+    side = lambda k: F.filter(F.split(F.substring_index(plain, "::", k), ":"), lambda x: x != "")
+    gap = let(F.struct(side(1).alias("a"), side(-1).alias("b")), lambda s: F.when(F.size(s["a"]) + F.size(s["b"]) <= 7, F.concat(s["a"], F.array_repeat(F.lit("0"), F.lit(8) - F.size(s["a"]) - F.size(s["b"])), s["b"])))
+    return F.when(plain.rlike(r"\A(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\z"), F.split(plain, ":")).when(plain.rlike(rf"\A{some}::{some}\z"), gap)
 
 
-def _six(groups: Column) -> Column:
-    """An IPv6 address as text: lower case, the first longest run of zero groups cut out, mapped IPv4 as a quad."""
-    text = F.concat_ws(":", F.transform(groups, lambda x: F.lower(F.hex(x))))
-    short = text
+def _short(text: Column) -> Column:
+    """Eight groups with the first longest run of zero groups cut out."""
+    out = text
     for n in range(2, 9):  # the longest run is tried first
         run = rf"\A((?:[0-9a-f]+:)*?)0(?::0){{{n - 1}}}((?::[0-9a-f]+)*)\z"
         cut = F.concat(F.regexp_replace(F.regexp_extract(text, run, 1), ":\\z", ""), F.lit("::"), F.regexp_replace(F.regexp_extract(text, run, 2), "\\A:", ""))
-        short = F.when(text.rlike(run), cut).otherwise(short)
-    mapped = F.concat(F.lit("::ffff:"), _octets(groups[6] * 65536 + groups[7]))
-    return F.when(text.rlike(r"\A(?:0:){5}ffff:"), mapped).otherwise(short)
+        out = F.when(text.rlike(run), cut).otherwise(out)
+    return out
+
+
+def _six(groups: Column) -> Column:
+    """An IPv6 address as text: lower case, zeros shortened, mapped IPv4 as a quad."""
+    text = F.concat_ws(":", F.transform(groups, lambda x: F.lower(F.hex(x))))
+    mapped = F.concat(F.lit("::ffff:"), let(groups[6] * 65536 + groups[7], _octets))
+    return let(text, lambda t: F.when(t.rlike(r"\A(?:0:){5}ffff:"), mapped).otherwise(_short(t)))
 
 
 def ip_prefix(column: Column, bits: int = 24) -> Column:
     """The network of an address, IPv4 or IPv6; anything else masked."""
-    text = trimmed(column)
+    return let(trimmed(column), lambda text: _network(text, bits))
+
+
+def _network(text: Column, bits: int) -> Column:
     kept = _quad(text).bitwiseAND(F.lit((0xFFFFFFFF << 32 - min(bits, 32)) & 0xFFFFFFFF).cast("bigint"))
     masks = [(0xFFFF << 16 - min(16, max(0, bits - 16 * k))) & 0xFFFF for k in range(8)]
-    groups = _groups(text)
-    network = F.zip_with(groups, F.array(*(F.lit(m).cast("bigint") for m in masks)), lambda x, m: x.bitwiseAND(m))
-    wide = F.when(text.contains(":"), F.when(groups.isNotNull(), _six(network)))
-    return F.when(text.rlike(rf"\A{V4}\z"), _octets(kept)).otherwise(F.coalesce(wide, F.lit(DEFAULT_MASK)))
+    number = lambda x, m: F.conv(x, 16, 10).cast("bigint").bitwiseAND(m)
+    network = F.zip_with(let(_plain(text), _parts), F.array(*(F.lit(m).cast("bigint") for m in masks)), number)
+    wide = F.when(text.contains(":"), let(network, lambda g: F.when(g.isNotNull(), _six(g))))
+    return F.when(text.rlike(rf"\A{V4}\z"), let(kept, _octets)).otherwise(F.coalesce(wide, F.lit(DEFAULT_MASK)))
 
 
 def hmac_sha256(column: Column, key: bytes, length: int = 16) -> Column:

@@ -15,6 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .formats import let
+
 MONTHS = {m: k for k, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)}
 _ZONE = r"(?P<zone>[Zz]|(?P<sign>[+-])(?P<zh>\d{2})(?::?(?P<zm>\d{2}))?)?"
 _CLOCK = r"(?P<h>\d{2}):(?P<mi>\d{2})(?::(?P<s>\d{2})(?:[.,]\d*)?)?"
@@ -115,6 +117,11 @@ def seconds(column: Column, kind: T.DataType, year: int | None = None) -> Column
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return F.unix_timestamp(column.cast("timestamp"))
     text = F.btrim(column.cast("string"), F.lit(_BLANKS))
+    return let(text, lambda t: _seconds_of(t, year or current_year()))
+
+
+def _seconds_of(text: Column, year: int) -> Column:
+    """Unix seconds of a trimmed text."""
     at = lambda start, length: F.substring(text, start, length)
     zero = F.lit(0)
 
@@ -130,7 +137,7 @@ def seconds(column: Column, kind: T.DataType, year: int | None = None) -> Column
     logged = F.when((F.length(text) >= _LEAST[1]) & text.rlike(rf"\A\d{{2}}/[A-Za-z]{{3}}/\d{{4}}:{_JAVA_CLOCK} ?{_JAVA_ZONE}\z"), logged)
 
     day = _number(F.substring_index(F.ltrim(F.substring(text, 4, 40)), " ", 1))
-    system = _total(F.lit(year or current_year()), _month(at(1, 3)), day, *_clock(F.substring_index(text, " ", -1)))
+    system = _total(F.lit(year), _month(at(1, 3)), day, *_clock(F.substring_index(text, " ", -1)))
     system = F.when((F.length(text) >= _LEAST[2]) & text.rlike(rf"\A[A-Za-z]{{3}} +\d{{1,2}} {_JAVA_CLOCK}\z"), system)
 
     part = lambda k: F.regexp_extract(text, _JAVA_US, k)

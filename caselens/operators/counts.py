@@ -56,6 +56,50 @@ def approximate_distinct(frame: Frame, column: str, error: float = 0.008) -> Dat
     return frame.df.agg(F.approx_count_distinct(F.when(value != "", value), error).alias("distinct"))
 
 
+def bounded_counts(frame: Frame, column: str, capacity: int = 1 << 16) -> tuple[DataFrame, int]:
+    """``value, count`` of at most ``capacity`` values, and the bound of what any count lacks.
+
+    Each task keeps ``capacity`` counters (Misra and Gries); counters are merged
+    two and two in rounds, so no task ever holds more than twice as many.  A
+    count is never above the true one; a value that is not listed occurred
+    no more often than the bound.  With no more values than counters all is exact and
+    the bound is 0.
+    """
+    spark = frame.df.sparkSession
+    values = frame.df.select(_value(frame, column).alias("value")).where("value <> ''").select("value", F.lit(1).cast("long").alias("count"))
+    kept = values.mapInArrow(_counters(capacity), "value string, count long")
+    parts = max(1, kept.rdd.getNumPartitions())
+    while True:  # the marker row, a null value, sums what was taken from every counter
+        kept = kept.mapInArrow(_counters(capacity), "value string, count long") if parts == 1 else kept.coalesce(parts).mapInArrow(_counters(capacity), "value string, count long")
+        if parts == 1:
+            break
+        parts = -(-parts // 2)
+    rows = kept.toArrow()  # at most ``capacity`` values
+    lost = sum(n for v, n in zip(rows["value"].to_pylist(), rows["count"].to_pylist(), strict=True) if v is None)
+    return spark.createDataFrame(rows.filter(rows["value"].is_valid())), lost
+
+
+def _counters(capacity: int):
+    def run(batches):
+        import pyarrow as pa
+
+        held: dict[str, int] = {}
+        lost = 0
+        for batch in batches:
+            known = batch.column("value").is_valid()
+            lost += sum(batch.filter(pa.compute.invert(known)).column("count").to_pylist())
+            table = pa.Table.from_batches([batch.filter(known)]).group_by("value").aggregate([("count", "sum")])
+            for value, n in zip(table["value"].to_pylist(), table["count_sum"].to_pylist(), strict=True):
+                held[value] = held.get(value, 0) + n
+            if len(held) > capacity:  # what the first counter beyond the capacity has is taken from all
+                least = sorted(held.values(), reverse=True)[capacity]
+                held = {v: n - least for v, n in held.items() if n > least}
+                lost += least
+        yield pa.RecordBatch.from_pydict({"value": pa.array([*held, None], pa.string()), "count": pa.array([*held.values(), lost], pa.int64())})
+
+    return run
+
+
 def approximate_top(frame: Frame, column: str, top: int = 20, kept: int = 10_000) -> DataFrame:
     """``value, count`` by a sketch of bounded size; counts are estimates."""
     value = _value(frame, column)

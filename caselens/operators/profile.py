@@ -37,6 +37,13 @@ def label_counts(frame: Frame, columns: list[str] | None = None) -> DataFrame:
     return values.groupBy("column", classify(F.col("v")).alias("label")).agg(F.count("*").alias("count"))
 
 
+def sizes(frame: Frame) -> DataFrame:
+    """``name, bytes``: the largest size of each column's values, as UTF-8."""
+    names = [*frame.names, *frame.derived]
+    pairs = F.array(*(F.struct(F.lit(n).alias("name"), F.octet_length(F.coalesce(col(n).cast("string"), F.lit(""))).cast("bigint").alias("bytes")) for n in names))
+    return frame.df.select(F.explode(pairs).alias("p")).groupBy("p.name").agg(F.max("p.bytes").alias("bytes"))
+
+
 def _facts(frame: Frame, names: list[str]) -> DataFrame:
     """One row a column and label: how many, largest size, numeric range, where it was seen first."""
     order = F.col(ORDINAL) if ORDINAL in frame.df.columns else F.lit(0)
@@ -62,7 +69,7 @@ def profile(frame: Frame, whole: bool = False, total: int | None = None) -> list
         facts.setdefault(r["index"], []).append(r)
     distinct = used.df.agg(*(F.count_distinct(F.when(trimmed(col(n).cast("string")) != "", trimmed(col(n).cast("string")))).alias(f"c{k}") for k, n in enumerate(names))).first()
     order = [F.col(ORDINAL)] if ORDINAL in used.df.columns else []
-    head = used.df.orderBy(*order).limit(HEAD).select(*(F.substring(trimmed(col(n).cast("string")), 1, 1 << 12).alias(f"c{k}") for k, n in enumerate(names))).collect()
+    head = (used.df.orderBy(*order) if order else used.df).limit(HEAD).select(*(F.substring(trimmed(col(n).cast("string")), 1, 1 << 12).alias(f"c{k}") for k, n in enumerate(names))).collect()
     out = []
     for k, name in enumerate(names):
         rows = facts.get(k, [])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import redaction, timestamps
+from ..functions import domains, redaction, timestamps
 from ..functions.semantic import FILE_ENDINGS, classify
 from ..operators import counts, edits, enrich, export, lineage, profile, search, timeline
 from ..operators.frames import ORDINAL, RAW, Frame, col, lift
@@ -120,8 +120,8 @@ def q11_nested_selection(spark, sf):
 
 @query("SELECT event_id, {ordinal}::BIGINT AS ordinal, raw FROM {events} WHERE contains(raw, 'purchase') ORDER BY event_id LIMIT 20")
 def q12_first_n_matches(spark, sf):
-    frame = search.matches(events(spark, sf, ordinal=True), search.SearchQuery("purchase"))
-    return frame.df.orderBy(ORDINAL).limit(20).select("event_id", F.col(ORDINAL).alias("ordinal"), F.col(RAW).alias("raw"))
+    _, first = search.first_matches(events(spark, sf, ordinal=True), search.SearchQuery("purchase"), 20)
+    return first.df.select("event_id", F.col(ORDINAL).alias("ordinal"), F.col(RAW).alias("raw"))
 
 
 @query("""WITH c AS (SELECT (floor(epoch(ts) / 3600) * 3600)::BIGINT AS bucket, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1)
@@ -215,13 +215,13 @@ _HOST = "regexp_extract(url, '^[a-z]+://([^/:]+)', 1)"
 
 @query(f"SELECT page_id, {_HOST} AS host FROM pages")
 def q25_domain_host(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/:]+)", 1).alias("host"))
+    return table(spark, sf, "pages").select("page_id", domains.host(F.col("url")).alias("host"))
 
 
 @query(f"""SELECT page_id, regexp_extract({_HOST}, '[^.]+\\.[^.]+$') AS registrable, regexp_extract({_HOST}, '[^.]+$') AS suffix,
   regexp_extract({_HOST}, '^(.*)\\.[^.]+\\.[^.]+$', 1) AS subdomain FROM pages""")
 def q26_registrable(spark, sf):
-    pages = table(spark, sf, "pages").withColumn("host", F.regexp_extract("url", "^[a-z]+://([^/:]+)", 1))
+    pages = table(spark, sf, "pages").withColumn("host", domains.host(F.col("url")))
     found = enrich.enrich(Frame(pages, ("page_id", "host")), [enrich.Domain("host")])
     return found.df.select("page_id", *(col(f"host.{f}").alias(f) for f in ("registrable", "suffix", "subdomain")))
 
@@ -261,9 +261,12 @@ def q30_redact_hmac(spark, sf):
     return _redacted(spark, sf, redaction.parse_rule("c_name=hmac:12"))
 
 
-@query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
+@query(f"SELECT doc_id, sha256(doc_id || ',' || {_field('text')}) AS sha256 FROM documents")
 def q31_value_sha256(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    """Digest of each exported record."""
+    docs = lift(table(spark, sf, "documents"), ["doc_id", "text"], "doc_id")
+    done = export.lines(docs, Dialect()).select(ORDINAL, F.sha2("line", 256).alias("sha256"))
+    return done.join(docs.df.select(ORDINAL, "doc_id"), ORDINAL).select("doc_id", "sha256")
 
 
 @query("""SELECT event_id, CASE {ordinal} WHEN 3 THEN 'reviewed' WHEN 7 THEN 'changed, twice' ELSE event_type END AS event_type,
@@ -314,9 +317,10 @@ def q34_profile_counts(spark, sf):
     return profile.label_counts(events(spark, sf), ["ts", "user_id", "value", "event_type", "props"])
 
 
-@query("SELECT doc_id, octet_length(encode(text))::BIGINT AS bytes FROM documents")
+@query("""SELECT name, max(octet_length(encode(coalesce(v, ''))))::BIGINT AS bytes FROM
+(SELECT unnest(['doc_id', 'text', 'lang', 'source', 'n_chars']) AS name, unnest([doc_id::VARCHAR, text, lang, source, n_chars::VARCHAR]) AS v FROM documents) GROUP BY 1""")
 def q35_max_len_bytes(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.octet_length("text").cast("bigint").alias("bytes"))
+    return profile.sizes(lift(table(spark, sf, "documents")))
 
 
 @query("""WITH c AS (SELECT user_id::VARCHAR AS value, count(*) AS count FROM events GROUP BY 1), t AS (SELECT * FROM c ORDER BY count DESC, value LIMIT 7)
@@ -407,12 +411,13 @@ def q45_rebucket(spark, sf):
     return timeline.rebucket(timeline.buckets(events(spark, sf), "ts", 3600), 86_400)
 
 
-@query("SELECT count(*) AS records, count(*) FILTER (len(string_split(text, ' ')) <> 5) AS mismatches, max(octet_length(encode(text)))::BIGINT AS max_bytes FROM benchmark")
+@query(f"""SELECT count(*) AS records, 2::BIGINT AS expected_fields, 0::BIGINT AS mismatches, max(octet_length(encode(item_id::VARCHAR || ',' || {_field('text')})))::BIGINT AS max_bytes FROM benchmark""")
 def q46_file_stats(spark, sf):
-    b = table(spark, sf, "benchmark")
-    return b.agg(
-        F.count("*").alias("records"), F.count_if(F.size(F.split("text", " ")) != 5).alias("mismatches"), F.max(F.octet_length("text")).cast("bigint").alias("max_bytes")
-    )
+    from ..session import Case
+    from .evidence import written
+
+    s = Case(spark, written(spark, sf, "benchmark", "item_id", ["item_id", "text"]), use_index=False).count()
+    return spark.createDataFrame([(s.records, s.expected_fields, s.field_mismatches, s.max_record_bytes)], "records bigint, expected_fields bigint, mismatches bigint, max_bytes bigint")
 
 
 @query("SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') AS iso FROM events")

@@ -125,11 +125,15 @@ def column_names(source: Source, dialect: Dialect, scan_start: int, width: int,
 
 
 def wide(df: DataFrame, names: list[str], dialect: Dialect) -> Frame:
-    """One text column a name; a missing field is null.  Of equal names the first one holds."""
-    first = {n: k for k, n in reversed(list(enumerate(names)))}
-    columns = [F.get(FIELDS, F.lit(k)).cast("string").alias(n) for n, k in sorted(first.items(), key=lambda x: x[1])]
+    """One text column a field; a missing field is null.  Of equal names the first keeps it, later ones get their number added."""
+    used: list[str] = []
+    for k, n in enumerate(names):
+        while n in used or n in names[:k]:
+            n = f"{n}_{k}"
+        used.append(n)
+    columns = [F.get(FIELDS, F.lit(k)).cast("string").alias(n) for k, n in enumerate(used)]
     kept = [ORDINAL, RAW, FIELDS, "_nfields", "_start", "_end", "_lenient", "_unterminated"]
-    return Frame(df.select(*kept, *columns), tuple(sorted(first, key=first.get)), delimiter=dialect.delimiter, quote=dialect.quote)
+    return Frame(df.select(*kept, *columns), tuple(used), delimiter=dialect.delimiter, quote=dialect.quote)
 
 
 def stats(df: DataFrame, expected: int) -> indexes.Stats:
