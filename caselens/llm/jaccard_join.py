@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .textcore import LOWER, NOT_SPACE, Chunk, chunks, combine, mix, released, rolling_prefix, span_hash, written
+from .textcore import LOWER, NOT_SPACE, Chunk, bit_filter, chunks, combine, in_filter, mix, released, rolling_prefix, span_hash, written
 
 #: nodes of one signature that are compared in one place
 GROUP_NODES = 4_096
@@ -57,8 +57,6 @@ BLOCK_NODES, NODE_GRAMS = 16_384, 512
 PIVOTS, PIVOT_BYTES = 32, 64 << 20
 #: signatures that a task gathers before it sends them on
 TASK_SIGNATURES = 1 << 20
-#: bits for each node of the filter that picks nodes before their sets are shuffled, and its bits at most; it only saves work
-NODE_BITS, MOST_BITS = 16, 27
 LEVELS = 4
 SKETCH_WORDS = 32
 _U = np.uint64
@@ -407,16 +405,15 @@ def _set_task(n: int, shared):
     """``node, grams`` of the sets whose node is in the filter, each once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        present = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little").astype(bool)
         sent: set[int] = set()
         for batch in batches:
             for chunk in chunks(batch.column("text")):
                 names, blobs = [], []
-                for grams in shingles(chunk, n):
-                    if not len(grams):
-                        continue
-                    node = node_of(grams)
-                    if node not in sent and present[node & (len(present) - 1)]:
+                sets = [s for s in shingles(chunk, n) if len(s)]
+                nodes = np.array([node_of(s) for s in sets], np.int64)
+                wanted = in_filter(shared.value, nodes)
+                for node, grams, hit in zip(nodes.tolist(), sets, wanted.tolist(), strict=True):
+                    if hit and node not in sent:
                         if len(sent) > 1 << 20:
                             sent.clear()
                         sent.add(node)
@@ -453,17 +450,6 @@ def _cluster_task(percent: int):
     return run
 
 
-def _filter_of(nodes: DataFrame) -> bytes:
-    """Which low bits of a node occur, with ``NODE_BITS`` bits for each node, 2**MOST_BITS at most."""
-    bits = min(MOST_BITS, max(10, (NODE_BITS * nodes.count()).bit_length()))
-    low = F.col("node").bitwiseAND(F.lit((1 << bits) - 1))
-    words = nodes.select(F.shiftright(low, 6).alias("w"), F.expr("shiftleft(1L, cast(node & 63 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
-    out = np.zeros(1 << bits - 6, np.int64)
-    found = words.toArrow()
-    out[found.column("w").to_numpy()] = found.column("bits").to_numpy()
-    return out.tobytes()
-
-
 def _pivot_task(n: int, percent: int, shared):
     """Links of every set to the pivots that it is linked with."""
 
@@ -498,7 +484,7 @@ def _labels(text: DataFrame, groups: DataFrame, size: DataFrame, n: int, percent
     """
     spark = text.sparkSession
     chosen = groups.join(size, "component").where(F.pmod(F.xxhash64("node"), F.col("m")) < PIVOTS).select("node")
-    bits = spark.sparkContext.broadcast(_filter_of(chosen))
+    bits = spark.sparkContext.broadcast(bit_filter(chosen, "node"))
     found = text.mapInArrow(released(_set_task(n, bits)), "node long, grams binary").join(chosen, "node").groupBy("node").agg(F.first("grams").alias("grams"))
     kept, total = [], 0
     for row in found.toLocalIterator():
@@ -571,7 +557,7 @@ def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     sizes = some.groupBy("node").agg(F.first("n_shingles").alias("n"))
     placed, known = _placed(text, groups, sizes, n, percent)
-    shared = spark.sparkContext.broadcast(_filter_of(groups))
+    shared = spark.sparkContext.broadcast(bit_filter(groups, "node"))
     sets = text.mapInArrow(released(_set_task(n, shared)), "node long, grams binary")
     placed = sets.join(placed, "node").select("part", "node", "label", "grams").repartition("part").sortWithinPartitions("part")
     found = placed.mapInArrow(released(_cluster_task(percent)), "a long, b long")

@@ -36,12 +36,14 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textcore import chunks
+from .textcore import chunks, released
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 #: words kept with their ids in a worker
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
+#: pairs of pieces that a worker remembers
+CACHE_PAIRS = 2_000_000
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 
 
@@ -115,8 +117,10 @@ class PieceModel:
         self.widths = np.array([len(x) for x in decoded], np.int64)
         self.starts = np.cumsum(self.widths) - self.widths
         self.bytes = np.frombuffer(b"".join(decoded), np.uint8)
-        self._beside: dict[tuple[int, int], bool] = {}
+        self._beside: dict[int, bool] = {}
+        self._wholes: dict[int, bool] = {}
         self._text = {number: text for text, number in self.ids.items()}
+        self._numbers = 1 + max(self._text, default=0)
 
     def _automaton(self) -> None:
         """States are prefixes of pieces; each lists the pieces that end there, the longest first."""
@@ -203,19 +207,20 @@ class PieceModel:
         """Whether merging leaves piece ``a`` before piece ``b`` as they are."""
         if a < 0 or b < 0:
             return True
-        known = self._beside.get((a, b))
+        key = a * self._numbers + b
+        known = self._beside.get(key)
         if known is None:
             known = [p for _, _, p in self.merge(self._text[a] + self._text[b])] == [a, b]
-            if len(self._beside) > 4_000_000:
+            if len(self._beside) > CACHE_PAIRS:
                 self._beside.clear()
-            self._beside[a, b] = known
+            self._beside[key] = known
         return known
 
     def encode_words(self, words: list[str]) -> dict[str, list[int]]:
         """Ids of distinct words, found in sorted order with the states of shared prefixes."""
         out: dict[str, list[int]] = {}
         unigram, scores, ends, jumps = self.kind == UNIGRAM, self.scores, self.ends, self.jumps
-        known, beside = self._beside.get, self.beside
+        known, beside, size = self._beside.get, self.beside, self._numbers
         last, back, best, state = [-1], [0], [0.0], [0]  # of each prefix: last piece, where it starts, score, automaton
         previous = ""
         for word in sorted(words):
@@ -246,7 +251,7 @@ class PieceModel:
                         i = j - length
                         if i:
                             before = last[i]
-                            ok = known((before, number))
+                            ok = known(before * size + number)
                             if ok is None:
                                 ok = beside(before, number)
                         else:
@@ -267,9 +272,9 @@ class PieceModel:
 
     def _whole(self, number: int) -> bool:
         """Whether merging makes this piece of its own characters."""
-        known = self._beside.get((number, -2))
+        known = self._wholes.get(number)
         if known is None:
-            known = self._beside[number, -2] = len(self.merge(self._text[number])) == 1
+            known = self._wholes[number] = len(self.merge(self._text[number])) == 1
         return known
 
     def _ids(self, word: str, parts: list[tuple[int, int, int]]) -> list[int]:
@@ -381,7 +386,7 @@ def encode(docs: DataFrame, model_file: str, id_column: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(chunk.first, len(chunk)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(released(run), f"doc_id {kind}, ids array<int>")
 
 
 def decode(coded: DataFrame, model_file: str) -> DataFrame:

@@ -1,21 +1,21 @@
 """Quality rules: base counts and n-gram perplexity bands.
 
-The language model is an interpolated modified Kneser-Ney bigram model, with
-words kept apart by language.  Spark counts it over all rows: each task sorts
-and counts the bigrams of its documents and sends them, delta-coded, to the
-shard of their first word.  A shard adds the counts up and asks the shards of
-the second words what number of words each of them follows.  Every bigram is
-held, in sorted arrays of hashes (a 32-bit hash a word, the pair of them a
-bigram), by its shard alone: nothing is cut and nothing is broadcast.  To be
-scored, documents go in numbered batches: the distinct bigrams of a batch, with
-the documents that have them, travel to their shards, and the sums of bits by
-document (whole numbers of ``1 / UNIT`` bit, so their order doesn't matter)
-travel back to the batch.  Shards take turns, so the documents are read several
-times: they have to come in the same partitions and order each time, as from
-files (batches that differ are refused).
-
-``train`` collects the model on the driver instead, cut to ``MAX_BIGRAMS`` and
-``MAX_WORDS``.  No query uses it; it is the plain form that the tests compare.
+The language model is an interpolated modified Kneser-Ney bigram model (three
+discounts at either order), with words kept apart by language.  Spark counts it
+over all rows, each distinct text of a language once, so copies don't make
+their own words likely.  Documents go in numbered batches.  A batch sends its
+sorted distinct bigrams with their counts to the shards of their first words.  A
+shard merges them, notes where each batch's bigrams stand in the merged order,
+and asks the shards of the second words what number of words each of them
+follows.  Then it makes the bits of each bigram, in whole numbers of ``1 / UNIT``
+bit so that the order of sums doesn't matter, and answers each batch with those
+of its bigrams, in the batch's order.  Shards take turns in counting, and then the
+documents are read once more, and a batch sums its bits by document.  So a
+bigram's hashes travel once, nothing is cut and the model is broadcast nowhere.  Words are 48-bit hashes: among a billion
+different words some 1,800 pairs are taken for one.
+
+Documents have to come in the same partitions and order each time they are read,
+as from files; batches that differ are refused.
 
 A document is kept if it passes the base rule and its perplexity lies inside
 the band of its language.  Over the documents that pass the base rule, the upper
@@ -35,8 +35,8 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -45,25 +45,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textcore import LOWER, NOT_SPACE, Chunk, byte_table, chunks, combine, mix, per_document, rolling_prefix, span_hash, written
+from .textcore import LOWER, NOT_SPACE, Chunk, bit_filter, byte_table, chunks, combine, in_filter, mix, per_document, released, rolling_prefix, span_hash, written
 
-MAX_BIGRAMS = 1 << 21
-MAX_WORDS = 1 << 20
-#: bigrams that a task gathers before it sends them on
-TASK_BIGRAMS = 3 << 20
-#: words after which a batch of documents is sent to be scored
+#: words after which a batch of documents is sent
 BATCH_WORDS = 2 << 20
-#: bits are summed in whole numbers of 1 / UNIT
-UNIT = 1 << 20
-#: shards are scored in so many turns, as the shuffled bigrams of all would take more disk
+#: the shards are counted in so many turns, as all bigrams at once would take more disk
 ROUNDS = 3
+#: bits are summed in whole numbers of 1 / UNIT
+UNIT = 1 << 11
 LOWER_SPREADS, UPPER_SPREADS, LEAST_SPREAD = 8.0, 5.5, 0.25
 #: log2 perplexity is compared in steps of 1/64
 STEPS = 64
 MIN_WORDS = 50
 _SYMBOL = byte_table("#*$%&|<>")
 _U = np.uint64
-_LOW = _U(0xFFFFFFFF)
+#: kinds of rows: bigrams of a batch; merged counts, numbers of words followed and places of a batch, in the order a shard needs them; asked words; totals
+SENT, MERGED, FOLLOWED, PLACES, ASKED, TOTALS = range(6)
 
 
 # -- base counts ----------------------------------------------------------
@@ -77,7 +74,7 @@ def base_counts(chunk: Chunk, words: tuple[np.ndarray, np.ndarray, np.ndarray])
     chars = per_document(inside & ((data & 0xC0) != 0x80), off)
     symbols = per_document(_SYMBOL[data], off)
     prefix = rolling_prefix(data)
-    hashes = span_hash(prefix, starts, ends)
+    hashes = span_hash(prefix, starts, ends, data)
     threes = combine([hashes[:-2], hashes[1:-1], hashes[2:]]) if len(hashes) > 2 else hashes[:0]
     inside_before = np.concatenate(([0], np.cumsum(inside)))
     newline = np.flatnonzero(data == 0x0A)
@@ -101,7 +98,7 @@ def base_counts(chunk: Chunk, words: tuple[np.ndarray, np.ndarray, np.ndarray])
             begin = np.concatenate(([off[d]], breaks + 1))
             until = np.concatenate((breaks, [off[d + 1]]))
             worded = inside_before[until] > inside_before[begin]
-            lines = span_hash(prefix, begin[worded], until[worded])
+            lines = span_hash(prefix, begin[worded], until[worded], data)
             dup_lines[d] = len(lines) - len(np.unique(lines))
     return np.column_stack([n, chars, symbols, dup_lines, repeated])
 
@@ -114,62 +111,55 @@ def _seed(lang: str | None) -> int:
     return int.from_bytes(hashlib.blake2b(name, digest_size=8).digest(), "little")
 
 
-def bigrams(chunk: Chunk, langs: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Bigram keys (first word << 32 | second) of all documents in a row, and their offsets.  A start mark precedes each document."""
+def bigrams(chunk: Chunk, langs: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """48-bit hashes of the first and second words of all documents' bigrams in a row, and the documents' offsets.  A start mark precedes each document."""
     low = LOWER[chunk.data]
     starts, ends, at = chunk.words(NOT_SPACE)
     seeds = np.array([_seed(x) for x in langs], _U)
-    words = span_hash(rolling_prefix(low), starts, ends)
-    second = mix(words ^ np.repeat(seeds, np.diff(at))) >> _U(32)
+    words = span_hash(rolling_prefix(low), starts, ends, low)
+    second = mix(words ^ np.repeat(seeds, np.diff(at))) >> _U(16)
     first = np.empty_like(second)
     first[1:] = second[:-1]
     begin = at[:-1][np.diff(at) > 0]
-    first[begin] = (mix(seeds) >> _U(32))[np.diff(at) > 0]
-    return first << _U(32) | second, at
+    first[begin] = (mix(seeds) >> _U(16))[np.diff(at) > 0]
+    return first, second, at
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """Unsigned integers as zstandard-compressed byte planes."""
-    width = values.dtype.itemsize
-    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, width).T).tobytes(), 1)
-
+def _ordered(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by first and second word, and where new pairs start in it."""
+    key = first << _U(16) | second >> _U(32)
+    order = np.argsort(key, kind="stable")
+    key, own = key[order], second[order]
+    mixed = (key[1:] == key[:-1]) & (own[1:] != own[:-1])
+    if mixed.any():  # seconds that begin alike
+        again = np.isin(key, key[1:][mixed])
+        order[again] = order[again][np.lexsort((own[again], key[again]))]
+        own = second[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
+    return order, np.flatnonzero(new) if len(key) else np.zeros(0, np.int64)
 
-def _unpacked(blob: bytes, kind: type) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel()
 
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers as compressed byte planes, as many as the largest needs."""
+    values = np.ascontiguousarray(values, _U)
+    planes = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([planes]) + zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes(), 1)
 
-def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sorted distinct keys and the sums of their values."""
-    if not len(keys):
-        return keys, *values
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], *(np.add.reduceat(v[order], first) for v in values)
 
+def _unpacked(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(blob[1:]), np.uint8).reshape(blob[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : blob[0]] = planes.T
+    return out.view(_U).ravel()
 
-class _Gather:
-    """Sums values by key until they are taken out; entries are merged when their number has doubled."""
 
-    def __init__(self, columns: int):
-        self.parts: list[tuple[np.ndarray, ...]] = []
-        self.columns, self.held, self.merged = columns, 0, 0
+def _gaps(values: np.ndarray) -> bytes:
+    return _packed(np.diff(values.astype(_U), prepend=_U(0)))
 
-    def add(self, *part: np.ndarray) -> None:
-        self.parts.append(part)
-        self.held += len(part[0])
-        if self.held > max(1 << 20, 2 * self.merged):
-            self.parts = [self.take()]
-            self.held = self.merged = len(self.parts[0][0])
 
-    def take(self) -> tuple[np.ndarray, ...]:
-        if not self.parts:
-            return np.zeros(0, _U), *(np.zeros(0, np.int64) for _ in range(self.columns))
-        out = _summed(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))
-        self.parts, self.held, self.merged = [], 0, 0
-        return out
+def _ungapped(blob: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(blob), dtype=_U)
 
 
 def _shards(spark: SparkSession) -> int:
@@ -182,163 +172,157 @@ def _word_shards(shards: int) -> int:
     return max(1, shards // 16)
 
 
-def _cut(keys: np.ndarray, shards: int, bits: int) -> np.ndarray:
-    """Where each shard starts in sorted keys of so many bits."""
-    edges = np.arange(1, shards, dtype=np.uint64) << _U(bits - shards.bit_length() + 1)
-    return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
-
-
-_BLOB = "lang string, shard int, kind int, keys binary, a binary, b binary, c binary, d binary, e binary"
-
+def _cut(words: np.ndarray, shards: int) -> np.ndarray:
+    """Where each shard starts in sorted words."""
+    edges = np.arange(1, shards, dtype=np.uint64) << _U(48 - shards.bit_length() + 1)
+    return np.concatenate(([0], np.searchsorted(words, edges), [len(words)]))
 
-def _row(lang: str | None, shard: int, kind: int, keys: np.ndarray, values: list[np.ndarray]) -> pa.RecordBatch:
-    gaps = np.diff(keys, prepend=keys.dtype.type(0))
-    blobs = [_packed(gaps), *(_packed(v.astype(np.uint32)) for v in values)]
-    blobs += [None] * (6 - len(blobs))
-    columns = [pa.array([lang], pa.string()), pa.array([shard], pa.int32()), pa.array([kind], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)]
-    return pa.RecordBatch.from_arrays(columns, ["lang", "shard", "kind", "keys", "a", "b", "c", "d", "e"])
 
+_ROW = "lang string, shard int, kind int, batch string, blobs array<binary>"
 
-def _count_task(shards: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str | None, _Gather] = {}
-
-        def sent() -> Iterator[pa.RecordBatch]:
-            for lang, gather in held.items():
-                keys, counts = gather.take()
-                cut = _cut(keys, shards, 64)
-                for s in range(shards):
-                    if cut[s] < cut[s + 1]:
-                        yield _row(lang, s, 0, keys[cut[s] : cut[s + 1]], [counts[cut[s] : cut[s + 1]]])
-            held.clear()
 
-        for batch in batches:
-            langs = batch.column("lang").to_pylist()
-            for chunk in chunks(batch.column("text")):
-                own = langs[chunk.first : chunk.first + len(chunk)]
-                keys, at = bigrams(chunk, own)
-                number = {lang: k for k, lang in enumerate(dict.fromkeys(own))}
-                which = np.repeat(np.array([number[x] for x in own]), np.diff(at))
-                for lang, k in number.items():
-                    mine = np.sort(keys[which == k])
-                    first = np.flatnonzero(np.concatenate(([True], mine[1:] != mine[:-1]))) if len(mine) else np.zeros(0, np.int64)
-                    held.setdefault(lang, _Gather(1)).add(mine[first], np.diff(np.append(first, len(mine))))
-                if sum(g.held for g in held.values()) > TASK_BIGRAMS:
-                    yield from sent()
-        yield from sent()
-
-    return run
+def _row(lang: str | None, shard: int, kind: int, batch: str | None, *blobs: bytes) -> pa.RecordBatch:
+    columns = [pa.array([lang], pa.string()), pa.array([shard], pa.int32()), pa.array([kind], pa.int32()), pa.array([batch], pa.string()), pa.array([blobs], pa.list_(pa.binary()))]
+    return pa.RecordBatch.from_arrays(columns, ["lang", "shard", "kind", "batch", "blobs"])
 
 
-def _read_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows one by one, so that only one row's blobs are Python objects at a time."""
     for batch in batches:
-        for r in batch.to_pylist():
-            kind = _U if r["kind"] in (0, 10) else np.uint32
-            keys = np.cumsum(_unpacked(r["keys"], kind), dtype=kind)
-            yield r["lang"], r["shard"], r["kind"], keys, [_unpacked(r[x], np.uint32).astype(np.int64) for x in "abcde" if r[x] is not None]
-
-
-def _most(counts: np.ndarray, most: int) -> int:
-    """The smallest count c >= 1 such that at most ``most`` entries have c or more."""
-    if len(counts) <= most:
-        return 1
-    return int(np.partition(counts, len(counts) - most - 1)[len(counts) - most - 1]) + 1
-
-
-def _first_words(keys: np.ndarray) -> np.ndarray:
-    """Where each first word starts in sorted bigrams."""
-    return np.flatnonzero(np.concatenate(([True], keys[1:] >> _U(32) != keys[:-1] >> _U(32))))
-
-
-def _merge_task(shards: int, cut_at: int | None = MAX_BIGRAMS):
-    """Counts of whole shards: kept bigrams (kind 1), context sums (2), followed words (3), counts of counts (4).
-
-    With ``cut_at`` None all bigrams are kept, kind 2 is left out, and kind 3 names the shard that asks.
-    """
+        for k in range(len(batch)):
+            yield tuple(batch.column(c)[k].as_py() for c in ("lang", "shard", "kind", "batch", "blobs"))
+
+
+class _Batch:
+    """Consecutive documents: rows of the table, and by language the words with their documents."""
+
+    def __init__(self, task: int, number: int):
+        self.task, self.number, self.n_words, self.n_docs = task, number, 0, 0
+        self.pieces: list[tuple[pa.RecordBatch, Chunk]] = []
+        self.words: dict[str | None, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+
+    def take(self, rows: pa.RecordBatch, chunk: Chunk) -> None:
+        langs = rows.column("lang").to_pylist()
+        first, second, at = bigrams(chunk, langs)
+        doc = np.repeat(np.arange(self.n_docs, self.n_docs + len(chunk)), np.diff(at))
+        code = {lang: k for k, lang in enumerate(dict.fromkeys(langs))}
+        which = np.repeat(np.array([code[x] for x in langs]), np.diff(at))
+        for lang, k in code.items():
+            mine = which == k
+            if mine.any():
+                self.words.setdefault(lang, []).append((first[mine], second[mine], doc[mine]))
+        self.n_words, self.n_docs = self.n_words + len(first), self.n_docs + len(chunk)
+
+    @property
+    def name(self) -> str:
+        check = 0
+        for parts in self.words.values():
+            for first, second, _ in parts:
+                check = zlib.crc32(second, zlib.crc32(first, check))
+        return f"{self.task}-{self.number}-{check}"
+
+    def by_language(self) -> Iterator[tuple[str | None, np.ndarray, np.ndarray, np.ndarray]]:
+        for lang in list(self.words):
+            yield lang, *(np.concatenate(x) for x in zip(*self.words.pop(lang), strict=True))
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Batch, list]]:
+    """Batches with their (rows, chunk) pieces; the same ones each time the documents are read."""
+    context = TaskContext.get()
+    task = context.partitionId() if context else 0
+    batch, pieces = _Batch(task, 0), []
+    for rows in batches:
+        for chunk in chunks(rows.column("text")):
+            own = rows.slice(chunk.first, len(chunk))
+            batch.take(own, chunk)
+            pieces.append((own, chunk))
+            if batch.n_words > BATCH_WORDS:
+                yield batch, pieces
+                batch, pieces = _Batch(task, batch.number + 1), []
+    if pieces:
+        yield batch, pieces
+
+
+# -- counts ---------------------------------------------------------------
+
+
+def _count_task(shards: int, turn: int, shared=None):
+    """Distinct bigrams of each batch by shard, for the shards of a turn.  Texts in the filter count 0, as they are counted apart; without a filter batches have no name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, dict[str | None, _Gather]] = {}
-        for lang, shard, _, keys, values in _read_blobs(batches):
-            held.setdefault(shard, {}).setdefault(lang, _Gather(1)).add(keys, *values)
-        for shard in sorted(held):
-            whole = {lang: gather.take() for lang, gather in held.pop(shard).items()}
-            least = 1 if cut_at is None else _most(np.concatenate([c for _, c in whole.values()]), max(1, cut_at // shards))
-            for lang, (keys, counts) in whole.items():
-                kept = counts >= least
-                yield _row(lang, shard, 1, (keys[kept] >> _U(32)).astype(np.uint32), [(keys[kept] & _LOW), counts[kept]])
-                if cut_at is not None:
-                    first = _first_words(keys)
-                    add = lambda v: np.add.reduceat(v.astype(np.int64), first)  # noqa: B023, E731
-                    sums = [add(counts), add(np.where(kept, counts, 0)), add(kept & (counts == 1)), add(kept & (counts == 2)), add(kept & (counts > 2))]
-                    yield _row(lang, shard // (shards // _word_shards(shards)), 2, (keys[first] >> _U(32)).astype(np.uint32), sums)
-                words, followed = _summed(keys & _LOW, np.ones(len(keys), np.int64))
-                words, cut = words.astype(np.uint32), _cut(words, _word_shards(shards), 32)
-                for s in range(_word_shards(shards)):
+        for batch, pieces in _batches(batches):
+            name = batch.name if shared else None
+            counted = np.concatenate([~in_filter(shared.value, own.column("print").to_numpy()) for own, _ in pieces]) if shared else np.ones(batch.n_docs, bool)
+            pieces.clear()
+            for lang, first, second, doc in batch.by_language():
+                own = np.flatnonzero((first >> _U(49 - shards.bit_length())) % _U(ROUNDS) == turn)
+                if not len(own):
+                    continue
+                first, second, doc = first[own], second[own], doc[own]
+                order, start = _ordered(first, second)
+                counts = np.add.reduceat(counted[doc[order]].astype(np.int64), start)
+                first, second = first[order[start]], second[order[start]]
+                cut = _cut(first, shards)
+                for s in range(shards):
+                    own = slice(cut[s], cut[s + 1])
                     if cut[s] < cut[s + 1]:
-                        asks = [np.array([shard])] if cut_at is None else []
-                        yield _row(lang, s, 3, words[cut[s] : cut[s + 1]], [followed[cut[s] : cut[s + 1]], *asks])
-                yield _row(lang, shard, 4, np.arange(1, 5, dtype=np.uint32), [np.bincount(np.minimum(counts, 5), minlength=6)[1:5], np.array([len(keys)])])
+                        begin = np.flatnonzero(np.diff(first[own], prepend=_U(0xFFFFFFFFFFFFFFFF)))
+                        yield _row(lang, s, SENT, name, _gaps(first[own][begin]), _packed(np.diff(np.append(begin, cut[s + 1] - cut[s]))), _packed(second[own]), _packed(counts[own]))
 
     return run
 
 
-def _word_task(shards: int):
-    """Words of whole shards: followed count, then the context sums, of the ones kept (5); sums of the others (6)."""
+def _merge_task(shards: int):
+    """Shards, from rows sorted by shard and language: merged counts, places of the batches' bigrams, asked words, counts of counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, dict[str | None, _Gather]] = {}
-        for lang, shard, kind, keys, values in _read_blobs(batches):
-            zero = np.zeros(len(keys), np.int64)
-            columns = [*values, zero, zero, zero, zero, zero] if kind == 3 else [zero, *values]
-            held.setdefault(shard, {}).setdefault(lang, _Gather(6)).add(keys, *columns)
-        for shard in sorted(held):
-            whole = {lang: gather.take() for lang, gather in held.pop(shard).items()}
-            rank = {lang: np.maximum(x[1], x[2]) for lang, x in whole.items()}
-            least = _most(np.concatenate(list(rank.values())), max(1, MAX_WORDS // shards))
-            for lang, (words, followed, *sums) in whole.items():
-                kept = rank[lang] >= least
-                total, inside, *classes = (x[kept] for x in sums)
-                yield _row(lang, shard, 5, words[kept], [followed[kept], total, inside, classes[0], classes[1]])
-                yield _row(lang, shard, 7, words[kept], [classes[2]])
-                other = ~kept & (followed > 0)
-                yield _row(lang, shard, 6, np.arange(2, dtype=np.uint32), [np.array([followed[other].sum(), other.sum()])])
+        for (shard, lang), rows in groupby(_rows(batches), lambda r: (r[1], r[0])):
+            names, firsts, seconds, counts = [], [], [], []
+            for _, _, _, name, (words, times, second, count) in rows:
+                names.append(name)
+                firsts.append(np.repeat(_ungapped(words), _unpacked(times).astype(np.int64)))
+                seconds.append(_unpacked(second))
+                counts.append(_unpacked(count).astype(np.int64))
+            size = [len(x) for x in firsts]
+            first, second = np.concatenate(firsts), np.concatenate(seconds)
+            firsts.clear()
+            seconds.clear()
+            order, start = _ordered(first, second)
+            total = np.add.reduceat(np.concatenate(counts)[order], start)
+            place = np.empty(len(order), np.int64)
+            place[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(order))))
+            first, second = first[order[start]], second[order[start]]
+            begin = np.flatnonzero(np.diff(first, prepend=_U(0xFFFFFFFFFFFFFFFF)))
+            words, index, followed = np.unique(second, return_inverse=True, return_counts=True)
+            yield _row(lang, shard, MERGED, None, _packed(np.diff(np.append(begin, len(first)))), _packed(total), _packed(index))
+            at = 0
+            for name, n in zip(names, size, strict=True):
+                if name:
+                    yield _row(lang, shard, PLACES, name, _gaps(place[at : at + n]))
+                at += n
+            cut = _cut(words, _word_shards(shards))
+            for s in range(_word_shards(shards)):
+                own = slice(cut[s], cut[s + 1])
+                if cut[s] < cut[s + 1]:
+                    yield _row(lang, s, ASKED, str(shard), _gaps(words[own]), _packed(followed[own]))
+            yield _row(lang, shard, TOTALS, None, _packed(np.append(np.bincount(np.minimum(total, 5), minlength=6)[1:5], len(total))))
 
     return run
 
 
-@dataclass
-class Model:
-    """Sorted hashes of bigrams and words with what their probabilities are made of."""
+def _answer_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What number of words each word follows, to every shard that asked; the words' number and counts of counts."""
+    for (shard, lang), rows in groupby(_rows(batches), lambda r: (r[1], r[0])):
+        asked = [(int(asks), _ungapped(words), _unpacked(followed).astype(np.int64)) for _, _, _, asks, (words, followed) in rows]
+        words, index = np.unique(np.concatenate([w for _, w, _ in asked]), return_inverse=True)
+        followed = np.zeros(len(words), np.int64)
+        np.add.at(followed, index, np.concatenate([n for _, _, n in asked]))
+        for asks, own, _ in asked:
+            yield _row(lang, asks, FOLLOWED, str(shard), _packed(followed[np.searchsorted(words, own)]))
+        yield _row(lang, shard, TOTALS, "words", _packed(np.append(np.bincount(np.minimum(followed, 5), minlength=6)[1:5], len(words))))
 
-    bigrams: np.ndarray  # uint64
-    direct: np.ndarray  # (count - discount) / context count
-    words: np.ndarray  # uint32
-    lower: np.ndarray  # continuation probability
-    back: np.ndarray  # back-off weight as a context
-    unknown: dict[str | None, float]
 
-    def log2(self, keys: np.ndarray, unknown: np.ndarray) -> np.ndarray:
-        """log2 probability of each bigram key; ``unknown`` is what its language gives an unknown word."""
-        keys, inverse = np.unique(keys, return_inverse=True)
-        floor = np.empty(len(keys))
-        floor[inverse] = unknown
-
-        def found(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            if not len(table):
-                return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
-            at = np.minimum(np.searchsorted(table, values), len(table) - 1)
-            return at, table[at] == values
-
-        w, known = found(self.words, (keys & _LOW).astype(np.uint32))
-        lower = np.where(known, self.lower[w], floor) if len(self.words) else floor
-        v, known = found(self.words, (keys >> _U(32)).astype(np.uint32))
-        back = np.where(known, self.back[v], 1.0) if len(self.words) else np.ones(len(keys))
-        b, both = found(self.bigrams, keys)
-        direct = np.where(both & known, self.direct[b], 0.0) if len(self.bigrams) else np.zeros(len(keys))
-        return np.log2(direct + back * lower)[inverse]
-
-
-def _discounts(counts_of_counts: np.ndarray) -> np.ndarray:
+def discounts(counts_of_counts: np.ndarray) -> np.ndarray:
     """What is taken from a count of 0, 1, 2 and more."""
     n1, n2, n3, n4 = (float(x) for x in counts_of_counts)
     y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
@@ -346,266 +330,141 @@ def _discounts(counts_of_counts: np.ndarray) -> np.ndarray:
     return np.clip(discount, [0, 0.05, 0.05, 0.05], [0, 0.95, 1.9, 2.85])
 
 
-def train(docs: DataFrame) -> Model:
-    """Counts ``lang, text`` of all rows.  What comes to the driver is bounded by MAX_BIGRAMS and MAX_WORDS."""
-    spark = docs.sparkSession
-    shards = _shards(spark)
-    counted = docs.select("lang", "text").mapInArrow(_count_task(shards), _BLOB)
-    merged = written(spark, counted.repartition(shards, "shard").mapInArrow(_merge_task(shards), _BLOB), "bigrams")
-    words = merged.where("kind in (2, 3)").repartition(_word_shards(shards), "shard").mapInArrow(_word_task(_word_shards(shards)), _BLOB)
-    count_of: dict = {}
-    table: dict = {}
-    pairs: dict = {}
-    rest: dict = {}
-    rows = merged.where("kind in (1, 4)").unionByName(words).toArrow()
-    for lang, shard, kind, keys, values in _read_blobs(rows.to_batches()):
-        if kind == 1:
-            pairs.setdefault(lang, []).append((keys.astype(_U) << _U(32) | values[0].astype(_U), values[1]))
-        elif kind == 4:
-            count_of[lang] = count_of.get(lang, 0) + values[0]
-        elif kind == 6:
-            rest[lang] = rest.get(lang, 0) + values[0]
-        else:
-            table.setdefault(lang, {}).setdefault(shard, {})[kind] = (keys, values)
-    bigram, direct, word, lower, back, unknown = [], [], [], [], [], {}
-    for lang, n in count_of.items():
-        discount = _discounts(n)
-        parts = [(x[5][0], *x[5][1], *x[7][1]) for x in table[lang].values()]
-        h, followed, total, inside, k1, k2, k3 = (np.concatenate(x) for x in zip(*parts, strict=True))
-        others, kinds = rest.get(lang, (0, 0))
-        types = followed.sum() + others
-        d = discount[1]  # the lower order is discounted absolutely, its rest goes to the unknown word
-        p = np.maximum(followed - d, 0) / types
-        left = 1 - p.sum()
-        unknown[lang] = float(left / (kinds + (followed > 0).sum() + 1))
-        lower.append(np.maximum(p + unknown[lang], 1e-12))
-        weight = (total - inside + discount[1] * k1 + discount[2] * k2 + discount[3] * k3) / np.maximum(total, 1)
-        back.append(np.where(total > 0, np.maximum(weight, 1e-6), 1.0))
-        word.append(h)
-        keys, counts = (np.concatenate(x) for x in zip(*pairs[lang], strict=True))
-        context = np.argsort(h)
-        at = np.minimum(np.searchsorted(h[context], (keys >> _U(32)).astype(np.uint32)), len(h) - 1)
-        ok = h[context][at] == (keys >> _U(32)).astype(np.uint32)
-        bigram.append(keys[ok])
-        direct.append((counts[ok] - discount[np.minimum(counts[ok], 3)]) / total[context][at[ok]])
-    if not bigram:
-        none = np.zeros(0, np.float32)
-        return Model(np.zeros(0, _U), none, np.zeros(0, np.uint32), none, none, {})
-    bigram, word = np.concatenate(bigram), np.concatenate(word)
-    b, w = np.argsort(bigram), np.argsort(word)
-    f = lambda parts, order: np.concatenate(parts)[order].astype(np.float32)
-    return Model(bigram[b], f(direct, b), word[w], f(lower, w), f(back, w), unknown)
-
-
-# -- scores by shard ------------------------------------------------------
-
-
-def _answer_task():
-    """What number of words each word follows, to every shard that asked (kind 8); how many words there are, by language (9)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked: dict[int, dict[str | None, list[tuple]]] = {}
-        for lang, shard, _, words, values in _read_blobs(batches):
-            asked.setdefault(shard, {}).setdefault(lang, []).append((words, *values))
-        for shard in sorted(asked):
-            for lang, parts in asked.pop(shard).items():
-                words, followed = _summed(*(np.concatenate(x) for x in list(zip(*parts, strict=True))[:2]))
-                for own, _, asks in parts:
-                    yield _row(lang, int(asks[0]), 8, own, [followed[np.searchsorted(words, own)]])
-                yield _row(lang, shard, 9, np.zeros(1, np.uint32), [np.array([len(words)])])
-
-    return run
+# -- scores ---------------------------------------------------------------
 
 
-_SENT = f"{_BLOB}, batch string"
-_SUM_NAMES = ["batch", "docs", "doc", "bits", "words"]
-_BASE_NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "text_hash"]
+def _bits(each: np.ndarray, counts: np.ndarray, followed: np.ndarray, of: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """-log2 probability, in 1 / UNIT, of the merged bigrams of a shard; ``each``: bigrams of each first word; ``of``: totals of the language's bigrams and words."""
+    (pairs, types), (kinds_of, kinds) = ((x[:4], int(x[4])) for x in of)
+    high, low = discounts(pairs), discounts(kinds_of)
+    first = np.cumsum(each) - each
+    taken = high[np.minimum(counts, 3)]
+    total = np.add.reduceat(counts, first)
+    back = np.maximum(np.add.reduceat(taken, first) / total, 1e-6)
+    few = kinds_of[:2]
+    spread = (low[1] * few[0] + low[2] * few[1] + low[3] * (kinds - few.sum())) / types
+    lower = np.maximum((followed - low[np.minimum(followed, 3)]) / types + spread / (kinds + 1), 1e-12)
+    p = (counts - taken) / np.repeat(total, each) + np.repeat(back, each) * lower
+    return np.rint(-np.log2(np.minimum(p, 1)) * UNIT).astype(np.int64)
 
 
-def _with_batch(row: pa.RecordBatch, batch: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*row.columns, pa.array([batch])], [*row.schema.names, "batch"])
+_SCORED = "batch string, kind int, lang string, shard int, blob binary"
 
 
-def _described(chunk: Chunk) -> np.ndarray:
-    """The base counts and a hash of each text."""
-    hashes = span_hash(rolling_prefix(chunk.data), chunk.off[:-1], chunk.off[1:])
-    return np.column_stack([base_counts(chunk, chunk.words(NOT_SPACE)), hashes.view(np.int64)])
+def _scored_row(batch: str, kind: int, lang: str | None, shard: int, blob: bytes) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((batch, kind, lang, shard, blob), kinds, strict=True)], ["batch", "kind", "lang", "shard", "blob"])
 
 
-def _share_task(shards: int, turn: int):
-    """The distinct bigrams of a batch with the documents that have them, by shard (kind 10); on the first turn, the documents' base counts (11)."""
+def _score_task(of: dict[str | None, tuple[np.ndarray, np.ndarray]]):
+    """The bits of each batch's bigrams, from rows sorted by shard, language and kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = TaskContext.get()
-        task, number = context.partitionId() if context else 0, 0
-        tables: list[pa.RecordBatch] = []
-        held: dict[str | None, list[tuple[np.ndarray, np.ndarray]]] = {}
-        n_docs = n_words = 0
-
-        def sent() -> Iterator[pa.RecordBatch]:
-            check = 0
-            for parts in held.values():
-                for part in parts:
-                    check = zlib.crc32(part[1], zlib.crc32(part[0], check))
-            name = f"{task}-{number}-{check}"
-            for lang in list(held):
-                keys, docs = (np.concatenate(x) for x in zip(*held.pop(lang), strict=True))
-                if not len(keys):
-                    continue
-                order = np.argsort(keys, kind="stable")  # documents stay in order
-                keys, docs = keys[order], docs[order]
-                new = np.concatenate(([True], keys[1:] != keys[:-1]))
-                at = np.flatnonzero(new | np.concatenate(([True], docs[1:] != docs[:-1])))
-                times, docs, start = np.diff(np.append(at, len(keys))), docs[at], np.flatnonzero(new[at])
-                keys, start = keys[at[start]], np.append(start, len(at))
-                n, cut = np.diff(start), _cut(keys, shards, 64)
-                for s in range(turn, shards, ROUNDS):
-                    a, b = cut[s], cut[s + 1]
-                    if a < b:
-                        own = slice(start[a], start[b])
-                        yield _with_batch(_row(lang, s, 10, keys[a:b], [n[a:b], docs[own], times[own]]), name)
-            if turn:
-                return
-            out = pa.BufferOutputStream()
-            table = pa.Table.from_batches(tables)
-            with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_table(table)
-            row = [None, (task + number) % shards, 11, out.getvalue().to_pybytes(), *[None] * 5, name]
-            kinds = [pa.string(), pa.int32(), pa.int32(), *[pa.binary()] * 6, pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], ["lang", "shard", "kind", "keys", *"abcde", "batch"])
-
-        for batch in batches:
-            langs = batch.column("lang").to_pylist()
-            for chunk in chunks(batch.column("text")):
-                own = langs[chunk.first : chunk.first + len(chunk)]
-                counts = np.zeros((len(chunk), len(_BASE_NAMES)), np.int64) if turn else _described(chunk)
-                keys, at = bigrams(chunk, own)
-                doc = np.repeat(np.arange(n_docs, n_docs + len(chunk)), np.diff(at))
-                code = {lang: k for k, lang in enumerate(dict.fromkeys(own))}
-                which = np.repeat(np.array([code[x] for x in own]), np.diff(at))
-                for lang, k in code.items():
-                    held.setdefault(lang, []).append((keys[which == k], doc[which == k].astype(np.uint32)))
-                part = batch.slice(chunk.first, len(chunk))
-                n_docs, n_words = n_docs + len(chunk), n_words + len(keys)
-                tables.append(pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), *(pa.array(c) for c in counts.T.astype(np.int64))], ["doc_id", "lang", *_BASE_NAMES]))
-                if n_words > BATCH_WORDS:
-                    yield from sent()
-                    tables, n_docs, n_words, number = [], 0, 0, number + 1
-        if tables:
-            yield from sent()
+        for (shard, lang), rows in groupby(_rows(batches), lambda r: (r[1], r[0])):
+            merged, followed, bits = None, [], None
+            for _, _, kind, name, blobs in rows:
+                if kind == MERGED:
+                    merged = [_unpacked(x).astype(np.int64) for x in blobs]
+                elif kind == FOLLOWED:
+                    followed.append((int(name), _unpacked(blobs[0]).astype(np.int64)))
+                else:
+                    if bits is None:
+                        each, counts, index = merged
+                        numbers = np.concatenate([n for _, n in sorted(followed, key=lambda x: x[0])])
+                        bits = _bits(each, counts, numbers[index], of[lang])
+                    yield _scored_row(name, 2, lang, shard, _packed(bits[_ungapped(blobs[0]).astype(np.int64)]))
 
     return run
 
 
-def _bits(keys: np.ndarray, counts: np.ndarray, followed: np.ndarray, of: tuple[np.ndarray, int, int]) -> np.ndarray:
-    """-log2 probability, in 1 / UNIT, of the sorted bigrams of a shard; ``of``: discounts, bigrams and words of the language."""
-    discount, types, kinds = of
-    first = _first_words(keys)
-    taken = discount[np.minimum(counts, 3)]
-    total = np.add.reduceat(counts, first)
-    back = np.maximum(np.add.reduceat(taken, first) / total, 1e-6)
-    each = np.diff(np.append(first, len(keys)))
-    unknown = kinds * discount[1] / types / (kinds + 1)
-    lower = np.maximum((followed - discount[1]) / types + unknown, 1e-12)
-    p = (counts - taken) / np.repeat(total, each) + np.repeat(back, each) * lower
-    return np.rint(-np.log2(np.minimum(p, 1)) * UNIT).astype(np.int64)
-
-
-def _score_task(of: dict[str | None, tuple[np.ndarray, int, int]]):
-    """Sums of bits by document of a batch, from rows sorted by shard and kind; base counts pass through."""
+_BASE_NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, table, answers, scores = None, {}, {}, {}
-        for batch in batches:
-            for k in range(len(batch)):
-                row = batch.slice(k, 1)
-                shard, kind = (row.column(x)[0].as_py() for x in ("shard", "kind"))
-                if shard != at:
-                    at, table, answers, scores = shard, {}, {}, {}
-                if kind == 11:
-                    yield pa.RecordBatch.from_arrays([row.column("batch"), row.column("keys"), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([0])], _SUM_NAMES)
-                    continue
-                lang, _, _, keys, values = next(_read_blobs(iter([row])))
-                if kind == 1:
-                    table[lang] = (keys.astype(_U) << _U(32) | values[0].astype(_U), values[1])
-                elif kind == 8:
-                    answers.setdefault(lang, []).append((keys, *values))
-                else:
-                    if lang not in scores:
-                        words, followed = (np.concatenate(x) for x in zip(*answers.pop(lang), strict=True))
-                        order = np.argsort(words)
-                        known, counts = table.pop(lang)
-                        followed = followed[order][np.searchsorted(words[order], (known & _LOW).astype(np.uint32))]
-                        scores[lang] = known, _bits(known, counts, followed, of[lang])
-                    known, bits = scores[lang]
-                    n, docs, times = values
-                    each = np.repeat(bits[np.searchsorted(known, keys)], n) * times
-                    order = np.argsort(docs, kind="stable")
-                    docs, sums = _summed(docs.astype(np.uint32)[order], each[order])
-                    blobs = [_packed(np.diff(docs, prepend=np.uint32(0))), _packed(sums.astype(_U))]
-                    yield pa.RecordBatch.from_arrays([row.column("batch"), pa.nulls(1, pa.binary()), *(pa.array([x], pa.binary()) for x in blobs), pa.array([int(times.sum())])], _SUM_NAMES)
 
-    return run
+def _share_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch's documents with their base counts (kind 0), and by language the number of each word's bigram among the batch's distinct ones (1)."""
+    for batch, pieces in _batches(batches):
+        name, tables = batch.name, []
+        for own, chunk in pieces:
+            counts = base_counts(chunk, chunk.words(NOT_SPACE)).astype(np.int64)
+            tables.append(pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("lang"), own.column("print"), *(pa.array(c) for c in counts.T)], ["doc_id", "lang", "print", *_BASE_NAMES]))
+        pieces.clear()
+        out = pa.BufferOutputStream()
+        table = pa.Table.from_batches(tables)
+        with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_table(table)
+        yield _scored_row(name, 0, None, 0, out.getvalue().to_pybytes())
+        for lang, first, second, _ in batch.by_language():
+            order, start = _ordered(first, second)
+            number = np.empty(len(order), np.int64)
+            number[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(order))))
+            yield _scored_row(name, 1, lang, 0, _packed(number))
 
 
 def _total_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The documents of each batch with their perplexity; rows are sorted by batch, base counts first."""
-    table = sums = name = None
-    left = 0
-
-    def done() -> Iterator[pa.RecordBatch]:
-        if left:
-            raise RuntimeError(f"the documents of batch {name} were not the same each time they were read")
-        if table is not None:
-            n = table.column("n_words").to_numpy()
-            ppl = pa.array(sums / UNIT / np.maximum(n, 1), mask=n == 0)
-            yield from table.append_column("log2_ppl", ppl).to_batches()
+    """The documents of each batch with their perplexity, from rows sorted by batch, kind, language and shard."""
 
-    for batch in batches:
-        for own, docs, doc, bits, words in zip(*(batch.column(x) for x in _SUM_NAMES), strict=True):
-            if own.as_py() != name and not docs.is_valid:
-                raise RuntimeError(f"the documents of batch {own} were not the same each time they were read")
-            if docs.is_valid:
-                yield from done()
-                name = own.as_py()
-                table = pa.ipc.open_stream(docs.as_buffer()).read_all().combine_chunks()
-                sums, left = np.zeros(len(table), np.int64), int(table.column("n_words").to_numpy().sum())
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for k in range(len(batch)):
+                yield tuple(batch.column(c)[k].as_py() for c in ("batch", "kind", "lang", "blob"))
+
+    for name, parts in groupby(rows(), lambda r: r[0]):
+        table, number, bits = None, {}, {}
+        for _, kind, lang, blob in parts:
+            if kind == 0:
+                table = pa.ipc.open_stream(blob).read_all().combine_chunks()
+            elif kind == 1:
+                number[lang] = _unpacked(blob).astype(np.int64)
             else:
-                left -= words.as_py()
-                sums[np.cumsum(_unpacked(doc.as_py(), np.uint32), dtype=np.uint32)] += _unpacked(bits.as_py(), _U).astype(np.int64)
-    yield from done()
+                bits.setdefault(lang, []).append(_unpacked(blob).astype(np.int64))
+        if table is None or set(number) != set(bits):
+            raise RuntimeError(f"the documents of batch {name} were not the same each time they were read")
+        n, langs = table.column("n_words").to_numpy(), np.array(table.column("lang").to_pylist(), object)
+        sums = np.zeros(len(n), np.int64)
+        for lang, index in number.items():
+            upto = np.concatenate(([0], np.cumsum(np.concatenate(bits[lang])[index])))
+            mine = np.flatnonzero(langs == lang)
+            end = np.cumsum(n[mine])
+            sums[mine] = upto[end] - upto[end - n[mine]]
+        yield from table.append_column("log2_ppl", pa.array(sums / UNIT / np.maximum(n, 1), mask=n == 0)).to_batches()
 
 
 def scored(docs: DataFrame) -> DataFrame:
-    """Base counts and ``log2_ppl`` of every row of ``doc_id, lang, text``, under the model of all rows."""
+    """Base counts and ``log2_ppl`` of every row of ``doc_id, lang, text, print``, under the model of all rows."""
     spark = docs.sparkSession
     shards = _shards(spark)
-    counted = docs.select("lang", "text").mapInArrow(_count_task(shards), _BLOB)
-    model = written(spark, counted.repartition(shards, "shard").mapInArrow(_merge_task(shards, None), _BLOB), "bigrams")
-    asked = model.where("kind = 3").repartition(_word_shards(shards), "shard")
-    answers = written(spark, asked.mapInArrow(_answer_task(), _BLOB), "followed")
-    count_of: dict = {}
-    types: dict = {}
-    kinds: dict = {}
-    few = model.where("kind = 4").unionByName(answers.where("kind = 9")).toArrow()
-    for lang, _, kind, _, values in _read_blobs(few.to_batches()):
-        if kind == 4:
-            count_of[lang] = count_of.get(lang, 0) + values[0]
-            types[lang] = types.get(lang, 0) + int(values[1][0])
-        else:
-            kinds[lang] = kinds.get(lang, 0) + int(values[0][0])
-    of = {lang: (_discounts(n), types[lang], kinds[lang]) for lang, n in count_of.items()}
-    held = model.where("kind = 1").unionByName(answers.where("kind = 8")).withColumn("batch", F.lit(None).cast("string"))
+    texts = docs.select("lang", "print", "text")
+    # texts that occur more than once; a wrong hit of the filter only means that a text is counted apart
+    repeated = written(spark, docs.groupBy("lang", "print").agg(F.count("*").alias("n")).where("n > 1").select("print"), "repeated")
+    shared = spark.sparkContext.broadcast(bit_filter(repeated, "print"))
+
+    def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_filter(shared.value, batch.column("print").to_numpy())))
+
+    apart = texts.mapInArrow(released(hit), texts.schema).groupBy("lang", "print").agg(F.first("text").alias("text"))
+    apart = written(spark, apart.select("lang", "print", "text"), "apart")
     parts = []
     for turn in range(min(ROUNDS, shards)):
         _free_shuffles(spark)
-        sent = held.where(F.col("shard") % ROUNDS == turn).unionByName(docs.mapInArrow(_share_task(shards, turn), _SENT))
-        dealt = sent.repartition(shards, "shard").sortWithinPartitions("shard", "kind")
-        parts.append(written(spark, dealt.mapInArrow(_score_task(of), "batch string, docs binary, doc binary, bits binary, words long"), "bits"))
+        # the same columns as below, so that rows that were dealt at random come in the same order
+        sent = docs.mapInArrow(released(_count_task(shards, turn, shared)), _ROW).unionByName(apart.mapInArrow(released(_count_task(shards, turn)), _ROW))
+        parts.append(written(spark, sent.repartition(shards, "shard").sortWithinPartitions("shard", "lang").mapInArrow(released(_merge_task(shards)), _ROW), "counts"))
+    _free_shuffles(spark)
+    counted = reduce(DataFrame.unionByName, parts)
+    asked = counted.where(F.col("kind") == ASKED).repartition(_word_shards(shards), "shard").sortWithinPartitions("shard", "lang")
+    answers = written(spark, asked.mapInArrow(released(_answer_task), _ROW), "followed")
+    totals: dict = {}
+    for lang, _, _, of, blobs in _rows(counted.unionByName(answers).where(F.col("kind") == TOTALS).toArrow().to_batches()):
+        held = totals.setdefault(lang, (np.zeros(5, np.int64), np.zeros(5, np.int64)))
+        held[of == "words"][:] += _unpacked(blobs[0]).astype(np.int64)
+    state = counted.where(F.col("kind").isin(MERGED, PLACES)).unionByName(answers.where(F.col("kind") == FOLLOWED))
+    state = state.repartition(shards, "shard").sortWithinPartitions("shard", "lang", "kind")
+    bits = written(spark, state.mapInArrow(released(_score_task(totals)), _SCORED), "bits")
     _free_shuffles(spark)
+    both = docs.mapInArrow(released(_share_task), _SCORED).unionByName(bits)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sums = reduce(DataFrame.unionByName, parts).repartition("batch").sortWithinPartitions("batch", F.col("docs").isNull())
-    return sums.mapInArrow(_total_task, f"doc_id {kind}, {_ASSESSED}")
+    return both.repartition("batch").sortWithinPartitions("batch", "kind", "lang", "shard").mapInArrow(released(_total_task), f"doc_id {kind}, {_ASSESSED}")
 
 
 def _free_shuffles(spark: SparkSession) -> None:
@@ -615,33 +474,37 @@ def _free_shuffles(spark: SparkSession) -> None:
 
 # -- the rule -------------------------------------------------------------
 
-_ASSESSED = "lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, text_hash long, log2_ppl double"
+_ASSESSED = "lang string, print long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log2_ppl double"
 
 
 def assess(docs: DataFrame) -> DataFrame:
     """Counts, ``base_failed``, ``log2_ppl``, its band (``low``, ``high``) and ``kept`` of every row of ``doc_id, lang, text``."""
     spark = docs.sparkSession
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    docs = docs.select("doc_id", lang.alias("lang"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    docs = docs.select("doc_id", lang.alias("lang"), text.alias("text"), F.xxhash64(text).alias("print"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     found = written(spark, scored(docs).withColumn("base_failed", failed), "perplexity")
     step = F.round(F.col("log2_ppl") * STEPS) / STEPS
-    texts = found.where("NOT base_failed").groupBy("lang", "text_hash", step.alias("step")).agg(F.count("*").alias("n"))
+    texts = found.where("NOT base_failed").groupBy("lang", "print", step.alias("step")).agg(F.count("*").alias("n"))
     upper = F.percentile("step", F.array(F.lit(0.5), F.lit(0.75)), F.col("n"))
     lower = F.percentile("step", F.array(F.lit(0.5), F.lit(0.25)))
     bands = texts.groupBy(F.col("lang").alias("band_lang")).agg(lower.alias("lower"), upper.alias("upper"))
     spread = lambda q: F.greatest(F.abs(q[1] - q[0]) / 0.6745, F.lit(LEAST_SPREAD))
     low = F.col("lower")[0] - LOWER_SPREADS * spread(F.col("lower"))
     bands = bands.select("band_lang", low.alias("low"), (F.col("upper")[0] + UPPER_SPREADS * spread(F.col("upper"))).alias("high"))
-    joined = found.join(bands, F.col("lang").eqNullSafe(F.col("band_lang")), "left").drop("band_lang", "text_hash")
+    joined = found.join(bands, F.col("lang").eqNullSafe(F.col("band_lang")), "left").drop("band_lang")
     inside = F.coalesce((step >= F.col("low")) & (step <= F.col("high")), F.lit(True))
     return joined.withColumn("kept", ~F.col("base_failed") & inside)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document is kept; all rows of an id go if one of them is rejected."""
-    bad = assess(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_rejected"]), "left_anti")
+    """The rows of ``docs`` that are kept; rows are told apart by id, language and text."""
+    mark = "_" * (1 + max(map(len, docs.columns)))  # longer than any name of ``docs``
+    keys = {"doc_id": F.col("doc_id"), "lang": F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string"), "print": F.xxhash64(F.col("text").cast("string"))}
+    bad = assess(docs).where(~F.col("kept")).select(*(F.col(k).alias(mark + k) for k in keys)).distinct()
+    same = [own.eqNullSafe(F.col(mark + k)) for k, own in keys.items()]
+    return docs.join(bad, same[0] & same[1] & same[2], "left_anti")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
 _U = np.uint64
@@ -166,6 +168,28 @@ def per_document(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
+#: bits of a filter for each of its hashes, and its bits at most; filters only save work
+HASH_BITS, MOST_BITS = 16, 27
+
+
+def bit_filter(hashes: DataFrame, column: str) -> bytes:
+    """Which low bits the longs of a column have: some bits a row, 2**MOST_BITS (16 MB) at most."""
+    bits = min(MOST_BITS, max(10, (HASH_BITS * hashes.count()).bit_length()))
+    low = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    words = hashes.select(F.shiftright(low, 6).alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("bit"))
+    found = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << bits - 6, np.int64)
+    out[found.column("w").to_numpy()] = found.column("bits").to_numpy()
+    return out.tobytes()
+
+
+def in_filter(raw: bytes, values: np.ndarray) -> np.ndarray:
+    """For each 64-bit value whether its low bits are in the filter."""
+    bits = np.frombuffer(raw, np.uint8)
+    low = (values.view(_U) & _U(8 * len(bits) - 1)).astype(np.int64)
+    return (bits[low >> 3] >> (low & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def released(task):
     """``task`` for mapInArrow, giving freed memory back to the system at its end, as workers are used again."""
 

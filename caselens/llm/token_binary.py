@@ -270,9 +270,9 @@ class ShardReader:
 _LETTER = byte_table((0x41, 0x5A), (0x61, 0x7A))
 _PUNCTUATION = byte_table((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
 #: pieces of one generation; a worker keeps two generations with their ids
-CACHE_PIECES = 250_000
+CACHE_PIECES = 350_000
 #: bytes of text that are encoded at once, as fewer distinct pieces are looked up in longer stretches
-STRETCH_BYTES = 2 << 20
+STRETCH_BYTES = 4 << 20
 _JOINABLE = re.compile(rb" [!-~\xc3-\xdf][!-~\x80-\xff]*(?<=[!-~])", re.S).fullmatch
 
 
