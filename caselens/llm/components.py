@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import written
+from .textcore import discard, written
 
 
 def components(links: DataFrame, most_rounds: int = 64) -> DataFrame:
@@ -24,7 +24,8 @@ def components(links: DataFrame, most_rounds: int = 64) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = written(spark, small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        before, edges = edges, written(spark, small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        discard(before)
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == seen:
             break

@@ -45,14 +45,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textcore import LOWER, NOT_SPACE, Chunk, bit_filter, byte_table, chunks, combine, in_filter, mix, per_document, released, rolling_prefix, span_hash, written
+from .textcore import LOWER, NOT_SPACE, Chunk, bit_filter, byte_table, chunks, combine, discard, in_filter, mix, per_document, released, rolling_prefix, span_hash, written
 
 #: words after which a batch of documents is sent
 BATCH_WORDS = 2 << 20
 #: the shards are counted in so many turns, as all bigrams at once would take more disk
 ROUNDS = 3
 #: bits are summed in whole numbers of 1 / UNIT
-UNIT = 1 << 11
+UNIT = 1 << 9
 LOWER_SPREADS, UPPER_SPREADS, LEAST_SPREAD = 8.0, 5.5, 0.25
 #: log2 perplexity is compared in steps of 1/64
 STEPS = 64
@@ -429,8 +429,8 @@ def _total_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from table.append_column("log2_ppl", pa.array(sums / UNIT / np.maximum(n, 1), mask=n == 0)).to_batches()
 
 
-def scored(docs: DataFrame) -> DataFrame:
-    """Base counts and ``log2_ppl`` of every row of ``doc_id, lang, text, print``, under the model of all rows."""
+def scored(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Base counts and ``log2_ppl`` of every row of ``doc_id, lang, text, print``, under the model of all rows; and the table that they are read from."""
     spark = docs.sparkSession
     shards = _shards(spark)
     texts = docs.select("lang", "print", "text")
@@ -461,10 +461,11 @@ def scored(docs: DataFrame) -> DataFrame:
     state = counted.where(F.col("kind").isin(MERGED, PLACES)).unionByName(answers.where(F.col("kind") == FOLLOWED))
     state = state.repartition(shards, "shard").sortWithinPartitions("shard", "lang", "kind")
     bits = written(spark, state.mapInArrow(released(_score_task(totals)), _SCORED), "bits")
+    discard(*parts, answers, apart, repeated)
     _free_shuffles(spark)
     both = docs.mapInArrow(released(_share_task), _SCORED).unionByName(bits)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return both.repartition("batch").sortWithinPartitions("batch", "kind", "lang", "shard").mapInArrow(released(_total_task), f"doc_id {kind}, {_ASSESSED}")
+    return both.repartition("batch").sortWithinPartitions("batch", "kind", "lang", "shard").mapInArrow(released(_total_task), f"doc_id {kind}, {_ASSESSED}"), bits
 
 
 def _free_shuffles(spark: SparkSession) -> None:
@@ -484,7 +485,9 @@ def assess(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     docs = docs.select("doc_id", lang.alias("lang"), text.alias("text"), F.xxhash64(text).alias("print"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    found = written(spark, scored(docs).withColumn("base_failed", failed), "perplexity")
+    rows, bits = scored(docs)
+    found = written(spark, rows.withColumn("base_failed", failed), "perplexity")
+    discard(bits)
     step = F.round(F.col("log2_ppl") * STEPS) / STEPS
     texts = found.where("NOT base_failed").groupBy("lang", "print", step.alias("step")).agg(F.count("*").alias("n"))
     upper = F.percentile("step", F.array(F.lit(0.5), F.lit(0.75)), F.col("n"))

@@ -9,13 +9,17 @@ than a chunk is a chunk of its own.
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import hashlib
+import shutil
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
@@ -202,24 +206,41 @@ def released(task):
     return run
 
 
-def shared_folder(spark, name: str) -> str:
+_local: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder (not made yet) below the folder that the whole cluster shares.
 
-    The cluster names it in ``spark.checkpoint.dir``; where that is unset, as in
-    tests, a temporary local folder stands in.
+    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset, a
+    temporary folder of this process stands in, but only for a local master: on
+    a cluster every machine would write to a disk of its own.
     """
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        root = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="caselens-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if context.applicationId not in _local:
+            made = tempfile.mkdtemp(prefix="caselens-")
+            atexit.register(shutil.rmtree, made, ignore_errors=True)
+            _local[context.applicationId] = f"file://{made}"
+        root = _local[context.applicationId]
     return f"{root.rstrip('/')}/caselens/{name}-{uuid.uuid4().hex}"
 
 
-def written(spark, df, name: str):
-    """``df`` as a table in the shared folder, read again: cuts lineage and survives lost executors."""
+def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read again: cuts lineage and survives lost executors.  ``discard`` takes it away."""
     path = shared_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` once nothing reads them any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

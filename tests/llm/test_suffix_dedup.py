@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -71,3 +72,36 @@ def test_sorting_finds_equal_suffixes():
         count = Counter((g, buffer[a : a + length].tobytes()) for a, g in zip(at, group, strict=True))
         want = [count[g, buffer[a : a + length].tobytes()] > 1 for a, g in zip(at, group, strict=True)]
         assert s.repeated_suffixes(buffer, at, group, length).tolist() == want
+
+
+def brute_words(texts: list[str | None], n: int) -> list[int]:
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    count = Counter(tuple(w[k : k + n]) for w in words for k in range(len(w) - n + 1))
+    out = []
+    for w in words:
+        hit = set()
+        for k in range(len(w) - n + 1):
+            if count[tuple(w[k : k + n])] > 1:
+                hit.update(range(k, k + n))
+        out.append(len(hit))
+    return out
+
+
+@pytest.mark.parametrize(("seed", "n"), [(1, 50), (2, 12), (3, 8)])
+def test_passages_against_all_strings_of_words(spark, seed, n):
+    rows = list(enumerate([*texts(seed, 8 * n), " ".join(["w"] * (3 * n)), " ".join(f"a{k}" for k in range(n)), "\n".join(f"a{k}" for k in range(n)), " ".join(f"a{k}" for k in range(n - 1))]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 n_words").repartition(5)
+    got = {r.doc_id: r.n_words for r in s.passages(df, n).collect()}
+    want = brute_words([t for _, t in rows], n)
+    assert [got.get(k, 0) for k, _ in rows] == want and any(want)
+
+
+def test_query_names_passages_of_few_bytes(spark, tmp_path):
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n))
+    passage = prose(55)
+    rows = [(k, f"{prose(40)} {passage if k < 3 else prose(55)} {prose(40)}") for k in range(8)] + [(None, None), (8, ""), (8, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 n_words", "2 print").write.parquet(f"{tmp_path}/documents.parquet")
+    got = s.op9_suffix_dedup(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and sorted(r.doc_id for r in got if r.n_passage_words) == [0, 1, 2]
+    assert {r.n_passage_words for r in got} == {0, 55} and not any(r.n_removed for r in got)
