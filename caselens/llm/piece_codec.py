@@ -17,6 +17,11 @@ scores would not give a BPE model's ids.)  Runs of marks have pieces of equal
 rank, for which order matters; words that begin with several marks are merged
 step by step.
 
+Any model's pieces can also be taken as those of a unigram model (``kind``), its
+scores as log-probabilities: then the segmentation of the greatest total is
+found by the forward scores, of equal totals the one whose last pieces are longer.
+The query encodes both ways.
+
 Defined cases: null and empty texts have no ids; characters that the model
 lacks become their bytes; the mark character itself is a blank to the model, so
 it comes back as one, and all else comes back as it was.  Equal rows are
@@ -25,6 +30,7 @@ encoded each; other columns are ignored by ``encode``.
 
 from __future__ import annotations
 
+import copy
 import heapq
 import struct
 import zlib
@@ -80,7 +86,7 @@ def _fields(raw: bytes) -> Iterator[tuple[int, int | float | bytes]]:
 class PieceModel:
     """Pieces of a SentencePiece model file with an identity normaliser."""
 
-    def __init__(self, raw: bytes):
+    def __init__(self, raw: bytes, as_kind: int | None = None):
         self.ids: dict[str, int] = {}
         self.scores: list[float] = []
         self.byte_ids = np.full(256, -1, np.int64)
@@ -109,6 +115,7 @@ class PieceModel:
                 if spec.get(2) or spec.get(4, 1) or not spec.get(5, 1):
                     raise ValueError("only models that leave the text as it is are supported")
                 self.prefix = bool(spec.get(3, 1))
+        self.kind = as_kind or self.kind
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError(f"models of type {self.kind} are not supported")
         self._automaton()
@@ -361,32 +368,40 @@ class WordEncoder:
         return ids, upto[np.searchsorted(at, off)]
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int | None], WordEncoder] = {}
 
 
-def word_encoder(model_file: str) -> WordEncoder:
-    if model_file not in _encoders:
-        _encoders.clear()
-        with open(model_file, "rb") as f:
-            _encoders[model_file] = WordEncoder(PieceModel(f.read()))
-    return _encoders[model_file]
+def word_encoder(model_file: str, kind: int | None = None) -> WordEncoder:
+    """The encoder of a file, by its own kind of model or another; only those of one file are kept."""
+    key = model_file, kind
+    if key not in _encoders:
+        if any(file != model_file for file, _ in _encoders):
+            _encoders.clear()
+        if kind and (model_file, None) in _encoders:  # the same pieces and automaton
+            model = copy.copy(_encoders[model_file, None].model)
+            model.kind = kind
+        else:
+            with open(model_file, "rb") as f:
+                model = PieceModel(f.read(), kind)
+        _encoders[key] = WordEncoder(model)
+    return _encoders[key]
 
 
 # -- operators ------------------------------------------------------------
 
 
-def encode(docs: DataFrame, model_file: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id, ids array<int>`` of every row.  ``model_file`` is on every machine, as part of the installation."""
+def encode(docs: DataFrame, model_file: str, id_column: str = "doc_id", text_column: str = "text", kind: int | None = None) -> DataFrame:
+    """``doc_id, ids array<int>`` of every row.  ``model_file`` is on every machine, as part of the installation; ``kind`` overrides its model type."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_encoder(model_file)
+        encoder = word_encoder(model_file, kind)
         for batch in batches:
             for chunk in chunks(batch.column("text")):
                 ids, at = encoder.encode(chunk.data, chunk.off)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(chunk.first, len(chunk)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
 
-    kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(released(run), f"doc_id {kind}, ids array<int>")
+    id_kind = docs.schema[id_column].dataType.simpleString()
+    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(released(run), f"doc_id {id_kind}, ids array<int>")
 
 
 def decode(coded: DataFrame, model_file: str) -> DataFrame:
@@ -406,24 +421,33 @@ def decode(coded: DataFrame, model_file: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, model_file: str) -> DataFrame:
-    """``doc_id, n_pieces, ids_crc32, n_bytes, restored`` of every row: encoded, decoded again and compared."""
+    """Every row encoded, decoded again and compared, by the model's own kind and by the greatest total score.
+
+    Returns ``doc_id, n_pieces, ids_crc32, n_bytes, restored`` for the first and
+    ``n_viterbi, viterbi_crc32, viterbi_restored`` for the second.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_encoder(model_file)
+        encoders = word_encoder(model_file), word_encoder(model_file, UNIGRAM)
         for batch in batches:
             for chunk in chunks(batch.column("text")):
-                ids, at = encoder.encode(chunk.data, chunk.off)
-                data, off = encoder.model.decode(ids, at)
-                little = ids.astype("<u4")
-                sums = [zlib.crc32(little[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-                same = [np.array_equal(data[a:b], chunk.data[c:d]) for a, b, c, d in zip(off[:-1], off[1:], chunk.off[:-1], chunk.off[1:], strict=True)]
+                columns = []
+                for encoder in encoders:
+                    ids, at = encoder.encode(chunk.data, chunk.off)
+                    data, off = encoder.model.decode(ids, at)
+                    little = ids.astype("<u4")
+                    sums = [zlib.crc32(little[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+                    same = [np.array_equal(data[a:b], chunk.data[c:d]) for a, b, c, d in zip(off[:-1], off[1:], chunk.off[:-1], chunk.off[1:], strict=True)]
+                    columns += [pa.array(np.diff(at)), pa.array(sums, pa.int64()), pa.array(np.diff(off)), pa.array(same)]
+                del columns[6]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(chunk.first, len(chunk)), pa.array(np.diff(at)), pa.array(sums, pa.int64()), pa.array(np.diff(off)), pa.array(same)],
-                    ["doc_id", "n_pieces", "ids_crc32", "n_bytes", "restored"],
+                    [batch.column("doc_id").slice(chunk.first, len(chunk)), *columns],
+                    ["doc_id", "n_pieces", "ids_crc32", "n_bytes", "restored", "n_viterbi", "viterbi_crc32", "viterbi_restored"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_pieces long, ids_crc32 long, n_bytes long, restored boolean")
+    schema = f"doc_id {kind}, n_pieces long, ids_crc32 long, n_bytes long, restored boolean, n_viterbi long, viterbi_crc32 long, viterbi_restored boolean"
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(released(run), schema)
 
 
 def model_file() -> str:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -35,24 +36,57 @@ def test_bpe_ids_are_the_librarys():
         assert ids == library.encode(text), text[:80]
 
 
-def test_unigram_scores_are_the_librarys():
+def unigram_library() -> sentencepiece.SentencePieceProcessor:
+    """The library over the same pieces and scores, as a unigram model."""
     at = RAW.index(b"\x18\x02", RAW.index(b"tok_v0"))  # the model type in the trainer's part
-    raw = RAW[: at + 1] + b"\x01" + RAW[at + 2 :]
-    library = sentencepiece.SentencePieceProcessor(model_proto=raw)
-    model = c.PieceModel(raw)
-    assert model.kind == c.UNIGRAM
-    texts = [t for t in TEXTS if "  " not in t and "▁" not in t and not t.startswith(" ") and not t.endswith(" ")]
+    return sentencepiece.SentencePieceProcessor(model_proto=RAW[: at + 1] + b"\x01" + RAW[at + 2 :])
+
+
+def test_unigram_scores_are_the_librarys():
+    library, model = unigram_library(), c.PieceModel(RAW, c.UNIGRAM)
     total = lambda ids: sum(model.scores[i] for i in ids)
-    for text, ids in zip(texts, encoded(model, texts), strict=True):
+    for text, ids in zip(TEXTS, encoded(model, TEXTS), strict=True):
         assert total(ids) == pytest.approx(total(library.encode(text))), text[:80]
 
 
+def test_unigram_ids_are_those_of_plain_viterbi_and_of_the_library():
+    """Scores are whole numbers, so totals of short texts are exact in either; equal totals are settled alike."""
+    library, model = unigram_library(), c.PieceModel(RAW, c.UNIGRAM)
+    pieces = {library.id_to_piece(k): k for k in range(library.get_piece_size()) if not (library.is_unknown(k) or library.is_control(k) or library.is_byte(k))}
+
+    def plain(text: str) -> list[int]:
+        text = c.MARK + text.replace(" ", c.MARK) if text else ""
+        best, back = [0.0] + [None] * len(text), [None] * (len(text) + 1)
+        for i in range(len(text)):
+            for j in range(i + 1, min(len(text), i + 64) + 1):
+                number = pieces.get(text[i:j])
+                if number is None and j > i + 1:
+                    continue
+                score = best[i] + (library.get_score(number) if number is not None else model.floor)
+                if best[j] is None or score > best[j]:
+                    best[j], back[j] = score, (i, number)
+        out, j = [], len(text)
+        while j:
+            i, number = back[j]
+            out = ([number] if number is not None else [int(k) for k in model.byte_ids[list(text[i:j].encode())]]) + out
+            j = i
+        return out
+
+    texts = [t for t in TEXTS if len(t) < 400] + ["tokenization of words", "aaaa bbbb", "The  the   THE"]
+    for text, ids in zip(texts, encoded(model, texts), strict=True):
+        assert ids == plain(text), text
+        if all(model.scores[k] > -1e8 for k in ids):  # beside pieces of -1e9 the library's single precision loses the rest
+            assert ids == library.encode(text), text
+
+
 def test_round_trip(spark):
     rows = [*enumerate(TEXTS), (None, None), (5, "again"), (5, "again")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 ids")
     got = c.round_trip(df, c.model_file()).collect()
     assert len(got) == len(rows)
-    assert all(r.restored for r in got if r.doc_id is None or "▁" not in TEXTS[r.doc_id])
+    assert all(r.restored and r.viterbi_restored for r in got if r.doc_id is None or "▁" not in TEXTS[r.doc_id])
+    want = encoded(c.PieceModel(RAW, c.UNIGRAM), TEXTS)
+    assert all((r.n_viterbi, r.viterbi_crc32) == (len(want[r.doc_id]), zlib.crc32(np.array(want[r.doc_id], "<u4").tobytes())) for r in got if r.doc_id not in (None, 5))
     coded = c.encode(df, c.model_file())
     back = {r.doc_id: r.text for r in c.decode(coded, c.model_file()).collect() if r.doc_id != 5}
     assert all(back[k] == t.replace("▁", " ") for k, t in enumerate(TEXTS) if k != 5) and back[None] == ""
