@@ -32,10 +32,12 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textcore import ALNUM, LOWER, Chunk, chunks, rolling_prefix, shared_folder, span_hash
+from .textcore import ALNUM, LOWER, Chunk, chunks, released, rolling_prefix, shared_folder, span_hash
 
 WINDOW = 10
 BLOCK_WORDS = 1 << 20
+#: blocks that a worker keeps
+KEPT_BLOCKS = 4
 #: every so many positions of a shard keep their suffix position
 SAMPLE = 8
 
@@ -237,65 +239,90 @@ def occurrences(words: np.ndarray, at: np.ndarray, phrases: Phrases) -> tuple[np
 
 
 def _stored(benchmark: DataFrame, folder: str) -> list[str]:
-    """Writes the items in blocks of bounded size below ``folder``; returns the files."""
+    """Tasks write the items in blocks of about ``BLOCK_WORDS`` words below ``folder``; returns the files, one a block."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
+    size = rows.agg(F.sum(F.length("t") / 4 + 1)).first()[0] or 0
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
-    paths: list[str] = []
 
-    def put(items: list[tuple[str, str]]) -> None:
-        path = f"{root}/{uuid.uuid4().hex}.npz"
-        with fs.open_output_stream(path) as out:
-            out.write(Phrases(items).save())
-        paths.append(path)
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, root = pafs.FileSystem.from_uri(folder)
+        paths, held, words = [], [], 0
 
-    held, size = [], 0
-    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
-    for row in rows.toLocalIterator():
-        held.append((row.i, row.t))
-        size += len(row.t) // 4 + 1
-        if size > BLOCK_WORDS:
-            put(held)
-            held, size = [], 0
-    if held:
-        put(held)
-    return paths
+        def put() -> None:
+            paths.append(f"{root}/{uuid.uuid4().hex}.npz")
+            with own.open_output_stream(paths[-1]) as out:
+                out.write(Phrases(held).save())
+
+        for batch in batches:
+            for item, text in zip(batch.column("i").to_pylist(), batch.column("t").to_pylist(), strict=True):
+                held.append((item, text))
+                words += len(text) // 4 + 1
+                if words > 2 * BLOCK_WORDS:
+                    put()
+                    held, words = [], 0
+        if held:
+            put()
+        yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string())})
+
+    dealt = rows.repartition(max(1, int(size // BLOCK_WORDS) + 1))
+    return [r.path for r in dealt.mapInArrow(released(store), "path string").collect()]  # a path for each million words
 
 
 class _Blocks:
-    """The stored blocks; a single one is kept in the worker."""
+    """The stored blocks; a few are kept in the worker."""
 
-    kept: tuple[str, Phrases] | None = None
+    kept: dict[str, Phrases] = {}
 
     def __init__(self, folder: str, paths: list[str]):
         self.folder, self.paths = folder, paths
 
     def __iter__(self) -> Iterator[Phrases]:
+        kept = _Blocks.kept
         for path in self.paths:
-            if _Blocks.kept and _Blocks.kept[0] == path:
-                yield _Blocks.kept[1]
-                continue
-            fs, _ = pafs.FileSystem.from_uri(self.folder)
-            with fs.open_input_file(path) as f:
-                phrases = Phrases.load(f.read())
-            _Blocks.kept = (path, phrases)
-            yield phrases
-
-
-def _hits(chunk: Chunk, blocks: _Blocks) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, set[str]]]:
-    """Word starts, whether each word is hit, document offsets in them, and the items of each document."""
-    low = LOWER[chunk.data]
-    starts, ends, at = Chunk(low, chunk.off, chunk.first).words(ALNUM)
-    words = span_hash(rolling_prefix(low), starts, ends, low)
-    change = np.zeros(len(words) + 1, np.int64)
-    items: dict[int, set[str]] = {}
-    for phrases in blocks:
-        which, first, end = occurrences(words, at, phrases)
-        np.add.at(change, first, 1)
-        np.add.at(change, end, -1)
-        doc = np.searchsorted(at, first, "right") - 1
+            if path not in kept:
+                fs, _ = pafs.FileSystem.from_uri(self.folder)
+                with fs.open_input_file(path) as f:
+                    phrases = Phrases.load(f.read())
+                while len(kept) >= KEPT_BLOCKS:
+                    del kept[next(iter(kept))]
+                kept[path] = phrases
+            yield kept[path]
+
+
+class _Hits:
+    """The words of a chunk, which of them are hit, and the items of each document."""
+
+    def __init__(self, chunk: Chunk):
+        low = LOWER[chunk.data]
+        self.chunk = chunk
+        starts, ends, self.at = Chunk(low, chunk.off, chunk.first).words(ALNUM)
+        self.places = np.column_stack([starts, ends])
+        self.words = span_hash(rolling_prefix(low), starts, ends, low)
+        self.change = np.zeros(len(self.words) + 1, np.int64)
+        self.items: dict[int, set[str]] = {}
+
+    def add(self, phrases: Phrases) -> None:
+        which, first, end = occurrences(self.words, self.at, phrases)
+        np.add.at(self.change, first, 1)
+        np.add.at(self.change, end, -1)
+        doc = np.searchsorted(self.at, first, "right") - 1
         for d, p in np.unique(np.column_stack([doc, which]), axis=0).tolist():
-            items.setdefault(d, set()).update(phrases.names[k] for k in phrases.items[phrases.item_at[p] : phrases.item_at[p + 1]])
-    return np.column_stack([starts, ends]), np.cumsum(change[:-1]) > 0, at, items
+            self.items.setdefault(d, set()).update(phrases.names[k] for k in phrases.items[phrases.item_at[p] : phrases.item_at[p + 1]])
+
+    @property
+    def hit(self) -> np.ndarray:
+        return np.cumsum(self.change[:-1]) > 0
+
+
+def _hits(texts: pa.Array, blocks: _Blocks) -> Iterator[tuple[Chunk, np.ndarray, np.ndarray, np.ndarray, dict[int, set[str]]]]:
+    """Chunk, word places, whether each word is hit, document offsets in them, and items of each document; every block is gone through once for all chunks of a batch."""
+    found = [_Hits(chunk) for chunk in chunks(texts)]
+    for phrases in blocks:
+        for x in found:
+            x.add(phrases)
+    for x in found:
+        yield x.chunk, x.places, x.hit, x.at, x.items
 
 
 def _spans(words: np.ndarray, hit: np.ndarray, at: np.ndarray, d: int, base: int) -> list[tuple[int, int]]:
@@ -313,8 +340,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch.column("text")):
-                words, hit, at, items = _hits(chunk, blocks)
+            for chunk, words, hit, at, items in _hits(batch.column("text"), blocks):
                 total = np.concatenate(([0], np.cumsum(hit)))
                 spans: list[list] = [[] for _ in range(len(chunk))]
                 for d in items:
@@ -343,8 +369,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, text_column: str = "text") ->
             place = batch.schema.get_field_index(text_column)
             column = batch.column(place)
             changed: dict[int, str] = {}
-            for chunk in chunks(column):
-                words, hit, at, items = _hits(chunk, blocks)
+            for chunk, words, hit, at, items in _hits(column, blocks):
                 for d in items:
                     base = int(chunk.off[d])
                     raw, end, parts = chunk.data[base : chunk.off[d + 1]].tobytes(), 0, []
