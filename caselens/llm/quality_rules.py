@@ -33,6 +33,7 @@ rows are counted and returned each; other columns are ignored by ``assess``.
 from __future__ import annotations
 
 import hashlib
+import time
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -381,7 +382,7 @@ _BASE_NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_wo
 
 
 def _share_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each batch's documents with their base counts (kind 0), and by language the number of each word's bigram among the batch's distinct ones (1)."""
+    """Each batch's documents with their base counts (kind 0), and by language and document the sorted numbers of the words' bigrams among the batch's distinct ones (1)."""
     for batch, pieces in _batches(batches):
         name, tables = batch.name, []
         for own, chunk in pieces:
@@ -393,11 +394,16 @@ def _share_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
             writer.write_table(table)
         yield _scored_row(name, 0, None, 0, out.getvalue().to_pybytes())
-        for lang, first, second, _ in batch.by_language():
+        for lang, first, second, doc in batch.by_language():
             order, start = _ordered(first, second)
-            number = np.empty(len(order), np.int64)
+            number = np.empty(len(order), _U)
             number[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(order))))
-            yield _scored_row(name, 1, lang, 0, _packed(number))
+            number |= doc.astype(_U) << _U(32)
+            number.sort()  # sums don't depend on the order of a document's words, and gaps are short
+            gaps = np.diff(number, prepend=_U(0))
+            begin = np.flatnonzero(np.diff(number >> _U(32), prepend=_U(0xFFFFFFFF)))
+            gaps[begin] = number[begin] & _U(0xFFFFFFFF)
+            yield _scored_row(name, 1, lang, 0, _packed(gaps))
 
 
 def _total_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,22 +415,26 @@ def _total_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield tuple(batch.column(c)[k].as_py() for c in ("batch", "kind", "lang", "blob"))
 
     for name, parts in groupby(rows(), lambda r: r[0]):
-        table, number, bits = None, {}, {}
+        table, gaps, bits = None, {}, {}
         for _, kind, lang, blob in parts:
             if kind == 0:
                 table = pa.ipc.open_stream(blob).read_all().combine_chunks()
             elif kind == 1:
-                number[lang] = _unpacked(blob).astype(np.int64)
+                gaps[lang] = _unpacked(blob).astype(np.int64)
             else:
                 bits.setdefault(lang, []).append(_unpacked(blob).astype(np.int64))
-        if table is None or set(number) != set(bits):
+        if table is None or set(gaps) != set(bits):
             raise RuntimeError(f"the documents of batch {name} were not the same each time they were read")
         n, langs = table.column("n_words").to_numpy(), np.array(table.column("lang").to_pylist(), object)
         sums = np.zeros(len(n), np.int64)
-        for lang, index in number.items():
-            upto = np.concatenate(([0], np.cumsum(np.concatenate(bits[lang])[index])))
+        for lang, index in gaps.items():
             mine = np.flatnonzero(langs == lang)
             end = np.cumsum(n[mine])
+            number = np.cumsum(index)
+            full = n[mine] > 0
+            begin = (end - n[mine])[full]
+            number -= np.repeat(number[begin] - index[begin], n[mine][full])
+            upto = np.concatenate(([0], np.cumsum(np.concatenate(bits[lang])[number])))
             sums[mine] = upto[end] - upto[end - n[mine]]
         yield from table.append_column("log2_ppl", pa.array(sums / UNIT / np.maximum(n, 1), mask=n == 0)).to_batches()
 
@@ -469,7 +479,9 @@ def scored(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _free_shuffles(spark: SparkSession) -> None:
-    """Spark drops the files of a finished shuffle once the driver's collector has found it unused."""
+    """Spark drops the files of a finished shuffle once the driver's collector has found it unused; Python gives its references up within a second."""
+    if not spark.sparkContext.master.startswith("local["):
+        time.sleep(2)
     spark.sparkContext._jvm.System.gc()
 
 
