@@ -7,7 +7,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry_module
-from caselens.plans import catalogue
+from caselens.plans import catalogue, evidence  # noqa: F401  evidence adds its queries
 
 duckdb = pytest.importorskip("duckdb")
 DATA = "/root/testdata/sf0.001"
