@@ -17,12 +17,14 @@ from ..functions.domains import SuffixList, default_list, parts
 from ..functions.semantic import V4, trimmed
 from .frames import ORDINAL, Frame, col
 
-#: a table is broadcast only if it was counted and has no more rows; larger ones are joined by shuffle
-BROADCAST_ROWS = 1_000_000
+#: a table is broadcast only if it was measured and has no more rows and bytes; larger ones are joined by shuffle
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
 def _small(table: DataFrame) -> DataFrame:
-    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+    size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))
+    rows, held = table.limit(BROADCAST_ROWS + 1).agg(F.count("*"), size).first()
+    return F.broadcast(table) if rows <= BROADCAST_ROWS and held <= BROADCAST_BYTES else table
 
 
 def last_of_each(table: DataFrame, key: str, values: list[str], order: str) -> DataFrame:

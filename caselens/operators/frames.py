@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.formats import quoted
@@ -62,7 +62,7 @@ def raw_of(df: DataFrame, names: list[str], delimiter: str = ",", quote: str | N
 
 
 def with_ordinal(df: DataFrame, order_by: str, name: str = ORDINAL) -> DataFrame:
-    """Dense 0-based numbers in the order of a numeric, date or timestamp key (ties in no fixed order).
+    """Dense 0-based numbers in the order of a numeric, date or timestamp key (equal keys by a hash of the row).
 
     No single task sees all rows: the key's range is cut at approximate
     quantiles, ranges are numbered apart, and the counts of the ranges before
@@ -78,7 +78,8 @@ def with_ordinal(df: DataFrame, order_by: str, name: str = ORDINAL) -> DataFrame
     # one row a range: a window over them is small whatever the table
     sizes = cut.groupBy("_range").agg(F.count("*").alias("_n"))
     before = sizes.select(F.col("_range").alias("_r"), F.expr("coalesce(sum(_n) over (order by _range rows between unbounded preceding and 1 preceding), 0)").alias("_before"))
-    own = F.expr(f"row_number() over (partition by _range order by `{order_by}`)")
+    hashed = [c.name for c in df.schema if "map<" not in c.dataType.simpleString() and "variant" not in c.dataType.simpleString()]
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(col(order_by), F.xxhash64(*map(col, hashed))))
     numbered = cut.withColumn("_own", own).join(F.broadcast(before), F.col("_range") == F.col("_r"))
     return numbered.withColumn(name, (F.col("_before") + F.col("_own") - 1).cast("bigint")).drop("_range", "_r", "_own", "_before")
 

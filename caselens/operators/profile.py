@@ -67,7 +67,10 @@ def profile(frame: Frame, whole: bool = False, total: int | None = None) -> list
     facts: dict[int, list] = {}
     for r in _facts(used, names).collect():  # columns times labels
         facts.setdefault(r["index"], []).append(r)
-    distinct = used.df.agg(*(F.count_distinct(F.when(trimmed(col(n).cast("string")) != "", trimmed(col(n).cast("string")))).alias(f"c{k}") for k, n in enumerate(names))).first()
+    values = F.array(*(F.struct(F.lit(k).alias("index"), trimmed(col(n).cast("string")).alias("t")) for k, n in enumerate(names)))
+    kinds = used.df.select(F.explode(values).alias("p")).select("p.index", "p.t").where("t <> ''").distinct().groupBy("index").agg(F.count("*").alias("n"))
+    found = {r["index"]: r["n"] for r in kinds.collect()}  # one row a column
+    distinct = [found.get(k, 0) for k in range(len(names))]
     order = [F.col(ORDINAL)] if ORDINAL in used.df.columns else []
     head = (used.df.orderBy(*order) if order else used.df).limit(HEAD).select(*(F.substring(trimmed(col(n).cast("string")), 1, 1 << 12).alias(f"c{k}") for k, n in enumerate(names))).collect()
     out = []
