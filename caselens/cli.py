@@ -96,6 +96,7 @@ def parser() -> argparse.ArgumentParser:
     _search(p)
     p.add_argument("--range")
     p.add_argument("--omit-header", action="store_true")
+    p.add_argument("--dataset", action="store_true", help="write a folder of parts, each by the task that holds its records")
     p.add_argument("--crlf", action="store_true")
     p.add_argument("-f", "--force", action="store_true")
     p.add_argument("--redact", action="append", default=[], metavar="COL=METHOD[:PARAM]")
@@ -261,7 +262,7 @@ def run(a: argparse.Namespace) -> tuple[dict, int]:
             sums, used, found = timeline.timeline(_selected(case, a).frame, name, width, a.max_buckets, year)
             stamp = lambda s: None if s is None else timestamps.iso_text(s)
             rows = [{"start": stamp(r.bucket), "start_unix": r.bucket, "count": r["count"]} for r in found.collect()]
-            told = vars(sums) | {"min": stamp(sums.min), "max": stamp(sums.max), "base_resolution_s": 1, "bucket_s": used, "buckets": rows, "year": year}
+            told = vars(sums) | {"min": stamp(sums.min), "max": stamp(sums.max), "base_resolution_s": timeline.resolution(sums.min, sums.max), "bucket_s": used, "buckets": rows, "year": year}
             if a.search is None and a.max_buckets == timeline.MAX_BUCKETS:
                 store.put_timeline(name, told)
                 store.save()
@@ -299,7 +300,8 @@ def _export(case: Case, a: argparse.Namespace, began: float) -> dict:
     case.redact_on_export([redaction.parse_rule(r) for r in a.redact])
     redaction.check(case.redactions, key)
     case.selection = case.selection.narrow(search.OrdinalRange.of(a.range)) if a.range else _selected(case, a, a.column)
-    told = case.export(a.output, key, not a.omit_header, "\r\n" if a.crlf else "\n", a.force)
+    end = "\r\n" if a.crlf else "\n"
+    told = case.export_dataset(a.output, key, end, a.force) if a.dataset else case.export(a.output, key, not a.omit_header, end, a.force)
     out = told["output"]
     return {
         "output": a.output, "manifest": str(manifest.path_for(a.output)), "records": out["records"], "bytes": out["size"], "sha256": out["sha256"],

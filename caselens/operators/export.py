@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import redaction
@@ -202,7 +202,14 @@ def operations(frame: Frame, transform: Transform, changed: set[int]) -> list[di
     return out
 
 
-def write_dataset(frame: Frame, dialect: Dialect, folder: str, transform: Transform | None = None, terminator: str = "\n") -> None:
-    """A large export as one text file a partition, written by the tasks; names sort in record order."""
+def write_dataset(frame: Frame, dialect: Dialect, folder: str, transform: Transform | None = None, terminator: str = "\n", force: bool = False) -> None:
+    """A large export as text files written by the tasks, without a header; names sort in record order."""
     rendered = lines(frame, dialect, transform)
-    rendered.repartitionByRange(ORDINAL).sortWithinPartitions(ORDINAL).select(F.col("line").cast("string").alias("value")).write.option("lineSep", terminator).text(folder)
+    ordered = rendered.repartitionByRange(ORDINAL).sortWithinPartitions(ORDINAL).select(F.col("line").cast("string").alias("value"))
+    ordered.write.mode("overwrite" if force else "error").option("lineSep", terminator).text(folder)
+
+
+def dataset_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """``name, size, sha256`` of each part, hashed by the tasks."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
+    return files.select(F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))

@@ -10,7 +10,7 @@ incomplete step is refused.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from .frames import Frame, col
 from .search import OrdinalRange, SearchQuery, TimeRange
@@ -56,6 +56,13 @@ class Selection:
             self.state["status"] = "complete"
         return self.state["matches"]
 
+    def keep(self) -> Selection:
+        """The same selection with its records kept by the executors, for a front end that pages through them; ``forget`` lets them go."""
+        return replace(self, frame=self.frame.with_df(self.frame.df.persist()))
+
+    def forget(self) -> None:
+        self.frame.df.unpersist()
+
     def cancel(self) -> None:
         if self.state["status"] == "pending":
             self.state["status"] = "cancelled"

@@ -13,6 +13,8 @@ from .frames import Frame, col
 # Widths that a timeline may choose, in seconds.
 WIDTHS = (1, 5, 10, 30, 60, 300, 600, 900, 1800, 3600, 10_800, 21_600, 43_200, 86_400, 604_800, 2_592_000)
 MAX_BUCKETS = 60
+# Resolutions that counting falls back to, and the buckets at most that one may need.
+RESOLUTIONS, MOST_BUCKETS = (1, 60, 3600, 86_400), 500_000
 
 
 @dataclass(frozen=True)
@@ -48,6 +50,13 @@ def auto_width(low: int | None, high: int | None, target: int = MAX_BUCKETS, res
     return next((w for w in WIDTHS if w >= resolution and w % resolution == 0 and max(high - low, 1) // w < target), max(WIDTHS[-1], resolution))
 
 
+def resolution(low: int | None, high: int | None, most: int = MOST_BUCKETS) -> int:
+    """The finest resolution at which the range has no more than ``most`` buckets."""
+    if low is None or high is None:
+        return RESOLUTIONS[0]
+    return next((r for r in RESOLUTIONS if high // r - low // r < most), RESOLUTIONS[-1])
+
+
 def buckets(frame: Frame, column: str, width: int, year: int | None = None, fill: bool = True) -> DataFrame:
     """``bucket`` (start in Unix seconds) and ``count``, in order; gaps between the first and the last are zero.
 
@@ -68,7 +77,8 @@ def rebucket(counted: DataFrame, width: int) -> DataFrame:
 
 
 def timeline(frame: Frame, column: str, width: int | None = None, target: int = MAX_BUCKETS, year: int | None = None) -> tuple[Totals, int, DataFrame]:
-    """Totals, the bucket width (chosen where none is given) and the buckets."""
+    """Totals, the bucket width (chosen where none is given, a multiple of the resolution) and the buckets."""
     found = totals(frame, column, year)
-    width = width or auto_width(found.min, found.max, target)
+    base = resolution(found.min, found.max)
+    width = -(-width // base) * base if width else auto_width(found.min, found.max, target, base)
     return found, width, buckets(frame, column, width, year)

@@ -306,6 +306,23 @@ def e21_streamed_search(spark, sf):
     return spark.read.schema("event_id bigint, props string").parquet(f"file://{place}/out")
 
 
+@query("""WITH c AS (SELECT (floor(epoch(ts) / w) * w)::BIGINT AS bucket, w, count(*) AS n FROM events, (SELECT CASE WHEN max(floor(epoch(ts))) - min(floor(epoch(ts))) < 500000 THEN 1 ELSE 60 END AS w FROM events) GROUP BY ALL)
+SELECT s.bucket, coalesce(c.n, 0)::BIGINT AS count FROM (SELECT unnest(range(min(bucket), max(bucket) + 1, any_value(w)::BIGINT)) AS bucket FROM c) s LEFT JOIN c USING (bucket)""")
+def e30_timeline_coarsened(spark, sf):
+    """A width of one second over more seconds than a timeline may have."""
+    return timeline.timeline(case(spark, sf).frame, "ts", 1)[2]
+
+
+@query("SELECT {ordinal}::BIGINT AS ordinal FROM {events} WHERE contains(raw, 'view') AND {ordinal} < 700")
+def e31_kept_selection(spark, sf):
+    opened = case(spark, sf)
+    kept = opened.find(search.SearchQuery("view")).keep()
+    kept.count()
+    rows = kept.frame.where(F.col(ORDINAL) < 700).df.select(F.col(ORDINAL).alias("ordinal")).collect()
+    kept.forget()
+    return _told(spark, [tuple(r) for r in rows], "ordinal bigint")
+
+
 # -- enrichment, edits, exports -------------------------------------------
 
 
@@ -345,6 +362,15 @@ def e24_manifest_and_verification(spark, sf):
     return _told(spark, [row], "records bigint, sha256 string, content string, kind string, operations bigint, source_sha256 string, scope string, ok boolean, ok_after_change boolean")
 
 
+@query(f"""SELECT raw AS line, count(*) OVER () AS records, (sum(octet_length(encode(raw)) + 1) OVER ())::BIGINT AS size, true AS ok FROM {EVENTS} WHERE contains(raw, 'click')""")
+def e32_export_dataset(spark, sf):
+    opened, place = case(spark, sf), folder(spark) / f"{uuid.uuid4().hex}.parts"
+    opened.find(search.SearchQuery("click"))
+    out = opened.export_dataset(place)["output"]
+    lines = spark.read.schema("line string").option("lineSep", "\n").text(f"file://{place}").withColumnRenamed("value", "line")
+    return lines.select("line", F.lit(out["records"]).cast("long").alias("records"), F.lit(out["size"]).cast("long").alias("size"), F.lit(manifest.verify(place)["ok"]).alias("ok"))
+
+
 @query("""SELECT {ordinal}::BIGINT AS ordinal, CASE {ordinal} WHEN 5 THEN 'seen "twice"' ELSE event_type END AS event_type FROM {events} WHERE {ordinal} < 40""")
 def e25_edit_version_file(spark, sf):
     opened, path = case(spark, sf), folder(spark) / f"{uuid.uuid4().hex}.edits.json"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import replace
 from pathlib import Path
 
@@ -205,6 +206,28 @@ class Case:
         pending.commit(told)
         return told
 
+    def export_dataset(self, folder: str | Path, key: bytes | None = None, terminator: str = "\n", force: bool = False) -> dict:
+        """Writes the selection as a folder of parts, each by the task that holds its records, and a manifest beside it."""
+        index = self.build_index()
+        self.selection.complete()
+        how = export.Transform(self.edits if self.edits.cells else None, self.redactions, key, self.rules)
+        place = manifest.path_for(folder)
+        self.source.guard(folder, place)
+        frame = self.selection.frame
+        export.write_dataset(frame, self.dialect, f"file://{Path(folder).resolve()}", how, terminator, force)
+        self.source.ensure_unchanged()
+        changed = {r for r, _ in how.edits.cells} if how.edits else set()
+        parts = [r.asDict() for r in export.dataset_parts(self.spark, f"file://{Path(folder).resolve()}").orderBy("name").collect()]  # one row a part
+        whole = hashlib.sha256("".join(p["sha256"] for p in parts).encode()).hexdigest()
+        report = {
+            "path": str(Path(folder).resolve()), "name": Path(folder).name, "format": "csv-parts", "content": export.content_label(bool(changed), how), "header": False, "terminator": terminator,
+            "records": self.selection.count(), "size": sum(p["size"] for p in parts), "sha256": whole, "parts": parts, "blake3": None,
+        }
+        origin = manifest.source_entry(self.source, self.dialect.json(), index.digests, index.stats.records, self.names)
+        told = manifest.build(origin, self.selection.operations() + export.operations(frame, how, changed), self.selection.description(), report)
+        manifest.write(told, place)
+        return told
+
     def _header(self) -> bytes | None:
         from .sources import records
 
