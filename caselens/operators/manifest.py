@@ -10,6 +10,7 @@ import sys
 from datetime import UTC, datetime
 from pathlib import Path
 
+from ..sources import files
 from ..sources.evidence import Source, temporary
 
 VERSION = 1
@@ -32,7 +33,7 @@ def build(source: dict, operations: list[dict], selection: dict, output: dict) -
 def source_entry(source: Source, dialect: dict, digests: dict, records: int, names: list[str] | None = None) -> dict:
     mtime = datetime.fromtimestamp(source.id.mtime_secs, UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     entry = {
-        "path": os.path.realpath(source.path), "name": source.path.name, "size": source.size, "sha256": digests.get("sha256"),
+        "path": files.real(source.path), "name": source.name, "size": source.size, "sha256": digests.get("sha256"),
         "blake3": digests.get("blake3"), "mtime": mtime, "dialect": dialect, "records": records,
     }
     return entry | ({"names": names} if names else {})
@@ -62,10 +63,10 @@ def verify(output: str | Path, manifest_path: str | Path | None = None, source:
         written = Source(output)
         got, size = written.digest()["sha256"], written.size
     output_ok = held["output"]["sha256"] == got and held["output"]["size"] == size
-    place, status, digest = Path(source or held["source"]["path"]), "skipped", None
+    place, status, digest = source or held["source"]["path"], "skipped", None
     if not skip_source:
         status = "not found"
-        if place.exists():
+        if files.is_remote(place) or Path(place).exists():
             origin = Source(place)
             digest = origin.digest()["sha256"]
             status = "ok" if held["source"]["sha256"] == digest and held["source"]["size"] == origin.size else "MISMATCH"

@@ -150,6 +150,14 @@ def e05_index_sidecar_reuse(spark, sf):
     return _told(spark, rows, "name string, used boolean, records bigint, notes bigint")
 
 
+@query("""SELECT count(*) AS records, count(*) FILTER (contains(raw, 'error')) AS matches, true AS same FROM {events}""")
+def e33_evidence_by_uri(spark, sf):
+    path = events_file(spark, sf)
+    local, remote = (Case(spark, p, use_index=False) for p in (path, f"file://{path}"))
+    found = search.matches(remote.frame, search.SearchQuery("error")).df.count()
+    return _told(spark, [(remote.count().records, found, local.source.digest() == remote.source.digest())], "records bigint, matches bigint, same boolean")
+
+
 # -- rows -----------------------------------------------------------------
 
 

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import os
-import stat
 from dataclasses import asdict, dataclass
 from pathlib import Path
 
 from . import dialect as dialects
-from . import records
+from . import files, records
 
 
 @dataclass(frozen=True)
@@ -22,8 +21,8 @@ class SourceId:
 
     @classmethod
     def of(cls, path: str | Path) -> SourceId:
-        s = os.stat(path)
-        return cls(s.st_size, s.st_mtime_ns // 10**9, s.st_mtime_ns % 10**9)
+        size, changed = files.status(path)
+        return cls(size, changed // 10**9, changed % 10**9)
 
     def json(self) -> dict:
         return asdict(self)
@@ -34,20 +33,22 @@ class SourceChanged(RuntimeError):
 
 
 class Source:
-    """A regular file, opened for reading only."""
+    """A regular file, opened for reading only: a path, or a URI such as ``hdfs://`` or ``s3://`` that the executors reach as well."""
 
     def __init__(self, path: str | Path):
-        self.path = Path(path)
-        if not stat.S_ISREG(os.stat(self.path).st_mode):
-            raise ValueError(f"{path} is not a regular file")
+        self.path = str(path) if files.is_remote(path) else Path(path)
         self.id = SourceId.of(self.path)
 
+    @property
+    def name(self) -> str:
+        return str(self.path).rstrip("/").rpartition("/")[2]
+
     @property
     def size(self) -> int:
         return self.id.size
 
     def read_at(self, offset: int, length: int) -> bytes:
-        with open(self.path, "rb") as f:
+        with files.opened(self.path) as f:
             f.seek(offset)
             return f.read(length)
 
@@ -65,8 +66,9 @@ class Source:
         """Raises if writing to a target, or to a temporary file beside it, would touch the source."""
         for target in filter(None, targets):
             for path in (Path(target), temporary(target)):
-                same = path.exists() and os.path.samefile(path, self.path)
-                if same or os.path.realpath(path) == os.path.realpath(self.path):
+                own = Path(str(self.path).removeprefix("file://"))
+                same = path.exists() and own.exists() and os.path.samefile(path, own)
+                if same or files.real(path) == files.real(own):
                     raise ValueError(f"{path} is the source: it is never written to")
 
     def header(self, dialect: dialects.Dialect, scan_start: int = 0) -> list[str] | None:
@@ -92,7 +94,7 @@ class Source:
                     known[name] = blake3()
             else:
                 raise ValueError(f"unknown digest {name!r}")
-        with open(self.path, "rb") as f:
+        with files.opened(self.path) as f:
             while block := f.read(chunk):
                 for h in filter(None, known.values()):
                     h.update(block)

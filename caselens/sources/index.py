@@ -17,7 +17,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from . import records
+from . import files, records
 from .dialect import Dialect
 from .evidence import Source, temporary
 
@@ -105,7 +105,7 @@ def plan_splits(spark: SparkSession, source: Source, dialect: Dialect, scan_star
     path, parts = str(source.path), dialect.parts
 
     def vector(k: int) -> list[tuple[int, int, int]]:
-        with open(path, "rb") as f:
+        with files.opened(path) as f:
             f.seek(scan_start + k * chunk)
             return records.transitions(f.read(chunk), *parts)
 
@@ -142,5 +142,5 @@ def cache_folder() -> Path:
 
 def sidecar_path(source: Source, dialect: Dialect, suffix: str = "index.json") -> Path:
     """Where a file's sidecar is kept: by path and dialect."""
-    key = json.dumps([os.path.realpath(source.path), dialect.json()])
+    key = json.dumps([files.real(source.path), dialect.json()])
     return cache_folder() / f"{hashlib.sha256(key.encode()).hexdigest()[:32]}.{suffix}"

@@ -22,7 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.frames import FIELDS, ORDINAL, RAW, Frame
 from . import index as indexes
-from . import records
+from . import files, records
 from .dialect import Dialect
 from .evidence import Source
 
@@ -61,7 +61,7 @@ class _Reader(DataSourceReader):
     def read(self, partition: _Split) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         # a split ends where the next one's first record begins, so it holds whole records
-        with open(self.path, "rb") as f:
+        with files.opened(self.path) as f:
             f.seek(partition.start)
             left, rest, base, ordinal = partition.end - partition.start, b"", partition.start, partition.ordinal
             while left or rest:
