@@ -13,7 +13,7 @@ from .textcore import discard, written
 
 
 def components(links: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """``node, component`` (the least node reachable) of every node of ``links`` (a, b: long)."""
+    """``node, component`` (the least node reachable) of every node of ``links`` (a, b: long); to be discarded once read."""
     spark = links.sparkSession
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = written(spark, edges, "links")
@@ -33,4 +33,6 @@ def components(links: DataFrame, most_rounds: int = 64) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    found = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    found._written_at = edges._written_at  # ``discard`` takes the links away
+    return found

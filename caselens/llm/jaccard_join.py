@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .textcore import LOWER, NOT_SPACE, Chunk, bit_filter, chunks, combine, in_filter, mix, released, rolling_prefix, span_hash, written
+from .textcore import LOWER, NOT_SPACE, Chunk, bit_filter, chunks, combine, discard, in_filter, mix, released, rolling_prefix, span_hash, written
 
 #: nodes of one signature that are compared in one place
 GROUP_NODES = 4_096
@@ -505,7 +505,7 @@ def _placed(text: DataFrame, groups: DataFrame, sizes: DataFrame, n: int, percen
     size = groups.join(sizes, "node").groupBy("component").agg(weight.alias("m")).where(F.col("m") > BLOCK_NODES)
     if size.isEmpty():
         return groups.select("node", F.col("component").alias("part"), F.col("node").alias("label")), None
-    labels = written(text.sparkSession, _labels(text, groups, size, n, percent), "labels")
+    labels = written(text.sparkSession, _labels(text, groups, size, n, percent), "labels")  # kept until the session's folder goes: links are read from it
     joined = groups.join(size, "component", "left").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     whole = joined.where("m IS NULL").select("node", F.col("component").alias("part"), "label")
     # bands are four similarities wide; a set near a band's end could be linked with one in the next band, and goes there as well
@@ -528,8 +528,8 @@ def _placed(text: DataFrame, groups: DataFrame, sizes: DataFrame, n: int, percen
     return whole.unionByName(cut), labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
 
 
-def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """``doc_id, print, n_shingles, name`` of every row: ``print`` hashes the text, ``name`` is the least (id is null, id, print) of the row's component."""
+def _components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``doc_id, print, n_shingles, name`` of every row, and the tables it is read from: ``print`` hashes the text, ``name`` is the least (id is null, id, print) of the row's component."""
     spark = docs.sparkSession
     text = F.col("text").cast("string")
     docs = docs.select("doc_id", F.xxhash64(text).alias("print"), text.alias("text"))
@@ -553,7 +553,9 @@ def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     same = parts.mapInArrow(released(_group_task), "group long, nodes array<long>").dropDuplicates(["group"])
     sketches = some.select("node", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["node"])
     met = same.select("group", F.explode("nodes").alias("node")).join(sketches, "node").repartition("group").sortWithinPartitions("group")
-    groups = written(spark, components(met.select("group", "node", "n", "sketch").mapInArrow(released(_near_task(percent)), "a long, b long")), "candidates")
+    near_ones = components(met.select("group", "node", "n", "sketch").mapInArrow(released(_near_task(percent)), "a long, b long"))
+    groups = written(spark, near_ones, "candidates")
+    discard(near_ones)
 
     sizes = some.groupBy("node").agg(F.first("n_shingles").alias("n"))
     placed, known = _placed(text, groups, sizes, n, percent)
@@ -568,15 +570,16 @@ def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     least = some.groupBy("node").agg(F.min(row).alias("least"))
     named = least.join(same, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = written(spark, named, "members")
+    discard(groups, *([] if known is None else [same]))
     name = named.groupBy("component").agg(F.min("least").alias("name"))
-    named = named.join(name, "component").select("node", "name")
+    names = named.join(name, "component").select("node", "name")
     alone = rows.where("node IS NULL").select("doc_id", "print", "n_shingles", row.alias("name"))
-    return some.join(named, "node").select("doc_id", "print", "n_shingles", "name").unionByName(alone)
+    return some.join(names, "node").select("doc_id", "print", "n_shingles", "name").unionByName(alone), [rows, named]
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row: components of texts whose n-gram sets have that Jaccard similarity in per cent."""
-    return _components(docs, n, percent).select("doc_id", "n_shingles", F.col("name.doc_id").alias("component_id"))
+    return _components(docs, n, percent)[0].select("doc_id", "n_shingles", F.col("name.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -588,9 +591,11 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     spark = docs.sparkSession
     mark = "_" * (1 + max(map(len, docs.columns)))  # longer than any name of ``docs``
     own_id, own_print = f"{mark}id", f"{mark}print"
-    found = _components(docs, n, percent).where("n_shingles > 0").groupBy("doc_id", "print", "name").agg(F.count("*").alias("times"))
+    rows, tables = _components(docs, n, percent)
+    found = rows.where("n_shingles > 0").groupBy("doc_id", "print", "name").agg(F.count("*").alias("times"))
     first = F.col("doc_id").eqNullSafe(F.col("name.doc_id")) & (F.col("print") == F.col("name.print"))
     found = written(spark, found.select(F.col("doc_id").alias(own_id), F.col("print").alias(own_print), first.alias("first"), "times"), "verdicts")
+    discard(*tables)
     own = F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.xxhash64(F.col("text").cast("string")) == F.col(own_print))
     kept = docs.join(found.where("NOT first").select(own_id, own_print), own, "left_anti")
     twice = found.where("first AND times > 1").select(own_id, own_print)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselens.llm import decontaminate, jaccard_join, piece_codec, quality_rules, secret_scan
-from caselens.llm.textcore import shared_folder
+from caselens.llm.textcore import discard, written
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -60,10 +60,11 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; every stage's result is a table in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before: list[DataFrame] = []
     for name, stage in STAGES:
-        path = shared_folder(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = written(spark, stage(spark, docs, sf_dir), name)
+        discard(*before)
+        before = [docs]
     return docs
 
 
