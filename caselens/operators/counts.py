@@ -59,22 +59,21 @@ def approximate_distinct(frame: Frame, column: str, error: float = 0.008) -> Dat
 def bounded_counts(frame: Frame, column: str, capacity: int = 1 << 16) -> tuple[DataFrame, int]:
     """``value, count`` of at most ``capacity`` values, and the bound of what any count lacks.
 
-    Each task keeps ``capacity`` counters (Misra and Gries); counters are merged
-    two and two in rounds, so no task ever holds more than twice as many.  A
+    Each task keeps ``capacity`` counters (Misra and Gries); those of sixteen tasks
+    are merged by one, in rounds.  A
     count is never above the true one; a value that is not listed occurred
     no more often than the bound.  With no more values than counters all is exact and
     the bound is 0.
     """
     spark = frame.df.sparkSession
     values = frame.df.select(_value(frame, column).alias("value")).where("value <> ''").select("value", F.lit(1).cast("long").alias("count"))
-    kept = values.mapInArrow(_counters(capacity), "value string, count long")
-    parts = max(1, kept.rdd.getNumPartitions())
-    while True:  # the marker row, a null value, sums what was taken from every counter
-        kept = kept.mapInArrow(_counters(capacity), "value string, count long") if parts == 1 else kept.coalesce(parts).mapInArrow(_counters(capacity), "value string, count long")
-        if parts == 1:
-            break
-        parts = -(-parts // 2)
-    rows = kept.toArrow()  # at most ``capacity`` values
+    schema = "value string, count long"
+    kept = values.mapInArrow(_counters(capacity), schema)  # a null value has what was taken from every counter
+    parts = kept.rdd.getNumPartitions()
+    while parts > 1:
+        parts = -(-parts // 16)
+        kept = kept.repartition(parts).mapInArrow(_counters(capacity), schema)
+    rows = kept.toArrow()  # at most ``capacity`` values, in one partition
     lost = sum(n for v, n in zip(rows["value"].to_pylist(), rows["count"].to_pylist(), strict=True) if v is None)
     return spark.createDataFrame(rows.filter(rows["value"].is_valid())), lost
 

@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,23 +57,26 @@ def _edited(raw: Column, values: Column, dialect: Dialect) -> Column:
     return render(raw, values)
 
 
-def _rendered(raw: Column, new: Column, extra: Column, dropped: list[bool], dialect: Dialect) -> Column:
+def _rendered(df: DataFrame, raw: Column, new: Column, extra: Column, dropped: list[bool], dialect: Dialect) -> DataFrame:
+    """``_ordinal, line, _changed``: records with new values in place of the old ones (null: as it stands), dropped fields out and more at the end."""
     delimiter, quote = dialect.parts
+    gone = [k for k, d in enumerate(dropped) if d]
 
-    @F.pandas_udf("binary")
-    def render(raws: pd.Series, news: pd.Series, extras: pd.Series) -> pd.Series:
-        def one(raw: bytes, values, more) -> bytes:
-            out = []
-            for k, kept in enumerate(records.raw_fields(raw, delimiter, quote)):
-                if k < len(dropped) and dropped[k]:
-                    continue
-                value = values[k] if k < len(values) else None
-                out.append(kept if value is None else records.write_field(value.encode(), delimiter, quote))
-            return delimiter.join([*out, *(records.write_field(v.encode(), delimiter, quote) for v in more)])
+    def one(raw: bytes, values: list[str | None], more: list[str]) -> bytes:
+        fields = raw.split(delimiter) if quote is None or quote not in raw else records.raw_fields(raw, delimiter, quote)
+        for k, value in enumerate(values[: len(fields)]):
+            if value is not None:
+                fields[k] = records.write_field(value.encode(), delimiter, quote)
+        kept = [f for k, f in enumerate(fields) if k not in gone] if gone else fields
+        return delimiter.join([*kept, *(records.write_field(v.encode(), delimiter, quote) for v in more)])
 
-        return pd.Series([one(*row) for row in zip(raws, news, extras, strict=True)])
+    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = [one(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("line", "_new", "_extra")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(ORDINAL), pa.array(done, pa.binary()), batch.column("_changed")], [ORDINAL, "line", "_changed"])
 
-    return render(raw, new, extra)
+    rows = df.select(ORDINAL, raw.alias("line"), new.alias("_new"), extra.alias("_extra"), "_changed")
+    return rows.mapInArrow(render, f"{ORDINAL} bigint, line binary, _changed boolean")
 
 
 def lines(frame: Frame, dialect: Dialect, transform: Transform | None = None) -> DataFrame:
@@ -98,7 +102,7 @@ def lines(frame: Frame, dialect: Dialect, transform: Transform | None = None) ->
     new = F.array(*(redaction.redact(col(n), rules[n], t.key) if n in rules and rules[n].method != "drop" else nothing for n in frame.names))
     extra = F.array(*(col(d) for d in whole.derived)) if whole.derived else F.array().cast("array<string>")
     dropped = [n in rules and rules[n].method == "drop" for n in frame.names]
-    return whole.df.select(ORDINAL, _rendered(F.col(RAW).cast("binary"), new, extra, dropped, dialect).alias("line"), "_changed")
+    return _rendered(whole.df, F.col(RAW).cast("binary"), new, extra, dropped, dialect)
 
 
 def header_line(header: bytes | None, frame: Frame, dialect: Dialect, transform: Transform) -> bytes | None:

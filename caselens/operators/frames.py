@@ -12,6 +12,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.formats import quoted
 
@@ -57,8 +58,13 @@ class Frame:
 
 
 def raw_of(df: DataFrame, names: list[str], delimiter: str = ",", quote: str | None = '"') -> Column:
-    """The record as CSV text with as little quoting as it needs."""
-    return F.concat_ws(delimiter, *(quoted(col(n), delimiter, quote) for n in names))
+    """The record as CSV text with as little quoting as it needs; numbers, dates and truth values need none."""
+    plain = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType) if delimiter in ",;|\t" and quote in ('"', None) else ()
+
+    def field(n: str) -> Column:
+        return F.coalesce(col(n).cast("string"), F.lit("")) if isinstance(df.schema[n].dataType, plain) else quoted(col(n), delimiter, quote)
+
+    return F.concat_ws(delimiter, *map(field, names))
 
 
 def with_ordinal(df: DataFrame, order_by: str, name: str = ORDINAL) -> DataFrame:

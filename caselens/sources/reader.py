@@ -65,7 +65,7 @@ class _Reader(DataSourceReader):
             f.seek(partition.start)
             left, rest, base, ordinal = partition.end - partition.start, b"", partition.start, partition.ordinal
             while left or rest:
-                block = f.read(min(BLOCK_BYTES, left))
+                block = f.read(min(max(BLOCK_BYTES, len(rest)), left))  # a record longer than a block is scanned few times over
                 left -= len(block)
                 data, last = rest + block, not left
                 done = 0

@@ -300,3 +300,45 @@ def test_generated_profiles(spark, tmp_path, name):
     stats = Case(spark, tmp_path / "g.csv", Dialect()).count()
     assert stats.records == 60 and stats.unterminated_quotes == 0
     assert (stats.field_mismatches > 0) == (name == "ragged")
+
+
+def test_columns_of_equal_names_are_kept_apart(spark, tmp_path):
+    path = tmp_path / "twice.csv"
+    path.write_text("a,a,b\n1,2,3\n4,5,6\n")
+    case = Case(spark, path, use_index=False, header=True)
+    assert len(case.frame.names) == 3 and case.frame.resolve("a") == "a"
+    case.redact_on_export([redaction.parse_rule("b=mask:x")])
+    case.export(tmp_path / "out.csv")
+    assert (tmp_path / "out.csv").read_text() == "a,a,b\n1,2,x\n4,5,x\n"
+
+
+def test_dataset_export_and_its_verification(spark, tmp_path):
+    path = tmp_path / "in.csv"
+    path.write_text("id,name\n" + "".join(f"{k},n{k}\n" for k in range(500)))
+    case = Case(spark, path, use_index=False)
+    told = case.export_dataset(tmp_path / "parts")
+    lines = "".join(p.read_text() for p in sorted((tmp_path / "parts").glob("part-*")))
+    assert lines == path.read_text().partition("\n")[2] and told["output"]["records"] == 500
+    assert manifest.verify(tmp_path / "parts")["ok"]
+    next((tmp_path / "parts").glob("part-*")).write_text("changed")
+    assert not manifest.verify(tmp_path / "parts")["ok"]
+
+
+def test_evidence_by_uri_and_long_records(spark, tmp_path, monkeypatch):
+    path = tmp_path / "long.csv"
+    path.write_text('id,text\n1,"' + "x\n" * 50_000 + '"\n2,b\n3,"never closed\n4,d\n')
+    for place in (path, f"file://{path}"):
+        case = Case(spark, place, use_index=False)
+        assert [r.id for r in case.frame.df.select("id").collect()] == ["1", "2", "3"]
+        assert case.count().unterminated_quotes == 1
+        assert case.source.digest() == Case(spark, path, use_index=False).source.digest()
+
+
+def test_counts_of_bounded_memory(spark):
+    rows = [(f"v{k % 7}",) for k in range(700)] + [(f"rare{k}",) for k in range(400)] + [("",), (None,)]
+    frame = lift(spark.createDataFrame(rows, "v string").repartition(5))
+    found, bound = counts.bounded_counts(frame, "v", capacity=50)
+    got = {r.value: r["count"] for r in found.collect()}
+    assert len(got) <= 50 and bound <= 1100 / 50 + 1
+    assert all(100 - bound <= got[f"v{k}"] <= 100 for k in range(7))
+    assert counts.bounded_counts(lift(frame.df.limit(0)), "v")[1] == 0
