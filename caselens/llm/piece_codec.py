@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import copy
 import heapq
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -47,7 +48,9 @@ from .textcore import chunks, released
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 #: words kept with their ids in a worker
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
+#: bytes of text that are encoded at once, as fewer distinct words are looked up in longer stretches
+STRETCH_BYTES = 4 << 20
 #: pairs of pieces that a worker remembers
 CACHE_PAIRS = 2_000_000
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
@@ -312,38 +315,47 @@ class PieceModel:
 
 
 class WordEncoder:
-    """Ids of texts; each distinct word is encoded once while the cache holds it."""
+    """Ids of texts by models of the same pieces; each distinct word is encoded once while the cache holds it."""
 
-    def __init__(self, model: PieceModel):
-        self.model = model
+    def __init__(self, *models: PieceModel):
+        self.models, self.model = models, models[0]
         self._reset()
 
     def _reset(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.flat, self.at = np.zeros(1 << 16, np.int32), np.zeros(1, np.int64)
+        # for each model the ids of all known words in a row, and where each word's begin
+        self.held = [(np.zeros(1 << 16, np.int32), np.zeros(1, np.int64)) for _ in self.models]
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of words that were not known."""
         texts = [w.decode().replace(" ", MARK) for w in words]
-        found = self.model.encode_words(texts)
-        ids = [found[t] for t in texts]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        total, used = int(lengths.sum()), int(self.at[-1])
-        if used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat[:used], np.zeros(max(total, used), np.int32)])
-        self.flat[used : used + total] = np.fromiter((i for x in ids for i in x), np.int32, total)
-        base = len(self.at) - 1
-        self.at = np.concatenate([self.at, used + np.cumsum(lengths)])
+        base = len(self.known)
+        for k, model in enumerate(self.models):
+            found = model.encode_words(texts)
+            ids = [found[t] for t in texts]
+            flat, at = self.held[k]
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            total, used = int(lengths.sum()), int(at[-1])
+            if used + total > len(flat):
+                flat = np.concatenate([flat[:used], np.zeros(max(total, used), np.int32)])
+            flat[used : used + total] = np.fromiter(itertools.chain.from_iterable(ids), np.int32, total)
+            self.held[k] = flat, np.concatenate([at, used + np.cumsum(lengths)])
         self.known.update(zip(words, range(base, base + len(words)), strict=True))
+        return np.arange(base, base + len(words))
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all documents in a row, and their offsets."""
+        """Ids of all documents in a row by the first model, and their offsets."""
+        return self.encode_all(data, off)[0]
+
+    def encode_all(self, data: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each model the ids of all documents in a row, and their offsets."""
         mark = MARK.encode()
         if (data == mark[0]).any() and mark in (raw := data.tobytes()):  # the mark itself is a blank
             parts = [raw[a:b].replace(mark, b" ") for a, b in zip(off[:-1], off[1:], strict=True)]
             data, off = np.frombuffer(b"".join(parts), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
         some = np.diff(off) > 0
         if not some.any():
-            return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
+            return [(np.zeros(0, np.int32), np.zeros(len(off), np.int64)) for _ in self.models]
         if self.model.prefix:
             data = np.insert(data, off[:-1][some], 0x20)
             off = off + np.concatenate(([0], np.cumsum(some)))
@@ -357,33 +369,36 @@ class WordEncoder:
         distinct = coded.dictionary.to_pylist()
         if len(self.known) + len(distinct) > CACHE_WORDS:
             self._reset()
-        known = self.known
-        if missing := [w for w in distinct if w not in known]:
-            self._learn(missing)
-        number = np.fromiter((known[w] for w in distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
-        begin = self.at[number]
-        lengths = self.at[number + 1] - begin
-        upto = np.concatenate(([0], np.cumsum(lengths)))
-        ids = self.flat[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], lengths)]
-        return ids, upto[np.searchsorted(at, off)]
+        find = self.known.get
+        number = np.fromiter((find(w, -1) for w in distinct), np.int64, len(distinct))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            number[new] = self._learn([distinct[k] for k in new.tolist()])
+        number = number[coded.indices.to_numpy()]
+        of, out = np.searchsorted(at, off), []
+        for flat, where in self.held:
+            begin = where[number]
+            lengths = where[number + 1] - begin
+            upto = np.concatenate(([0], np.cumsum(lengths)))
+            out.append((flat[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], lengths)], upto[of]))
+        return out
 
 
-_encoders: dict[tuple[str, int | None], WordEncoder] = {}
+_encoders: dict[tuple[str, tuple[int, ...]], WordEncoder] = {}
 
 
-def word_encoder(model_file: str, kind: int | None = None) -> WordEncoder:
-    """The encoder of a file, by its own kind of model or another; only those of one file are kept."""
-    key = model_file, kind
+def word_encoder(model_file: str, *kinds: int) -> WordEncoder:
+    """The encoder of a file, by its own kind of model or by the given ones (0: its own); only one is kept."""
+    key = model_file, kinds
     if key not in _encoders:
-        if any(file != model_file for file, _ in _encoders):
-            _encoders.clear()
-        if kind and (model_file, None) in _encoders:  # the same pieces and automaton
-            model = copy.copy(_encoders[model_file, None].model)
-            model.kind = kind
-        else:
-            with open(model_file, "rb") as f:
-                model = PieceModel(f.read(), kind)
-        _encoders[key] = WordEncoder(model)
+        _encoders.clear()
+        with open(model_file, "rb") as f:
+            own = PieceModel(f.read())
+        models = []
+        for kind in kinds or (0,):  # the same pieces and automaton
+            models.append(copy.copy(own))
+            models[-1].kind = kind or own.kind
+        _encoders[key] = WordEncoder(*models)
     return _encoders[key]
 
 
@@ -394,9 +409,9 @@ def encode(docs: DataFrame, model_file: str, id_column: str = "doc_id", text_col
     """``doc_id, ids array<int>`` of every row.  ``model_file`` is on every machine, as part of the installation; ``kind`` overrides its model type."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_encoder(model_file, kind)
+        encoder = word_encoder(model_file, kind or 0)
         for batch in batches:
-            for chunk in chunks(batch.column("text")):
+            for chunk in chunks(batch.column("text"), STRETCH_BYTES):
                 ids, at = encoder.encode(chunk.data, chunk.off)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(chunk.first, len(chunk)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
 
@@ -408,7 +423,7 @@ def decode(coded: DataFrame, model_file: str) -> DataFrame:
     """``doc_id, text`` of rows of ``doc_id, ids``; null ids give an empty text, bytes that are no UTF-8 the replacement character."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = word_encoder(model_file).model
+        model = word_encoder(model_file, 0).model
         for batch in batches:
             column = batch.column("ids")
             lengths = np.array([0 if x is None else x for x in pa.compute.list_value_length(column).to_pylist()], np.int64)
@@ -428,16 +443,18 @@ def round_trip(docs: DataFrame, model_file: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoders = word_encoder(model_file), word_encoder(model_file, UNIGRAM)
+        encoder = word_encoder(model_file, 0, UNIGRAM)
         for batch in batches:
-            for chunk in chunks(batch.column("text")):
+            for chunk in chunks(batch.column("text"), STRETCH_BYTES):
                 columns = []
-                for encoder in encoders:
-                    ids, at = encoder.encode(chunk.data, chunk.off)
+                for ids, at in encoder.encode_all(chunk.data, chunk.off):
                     data, off = encoder.model.decode(ids, at)
                     little = ids.astype("<u4")
                     sums = [zlib.crc32(little[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-                    same = [np.array_equal(data[a:b], chunk.data[c:d]) for a, b, c, d in zip(off[:-1], off[1:], chunk.off[:-1], chunk.off[1:], strict=True)]
+                    if np.array_equal(off, chunk.off) and np.array_equal(data, chunk.data):
+                        same = [True] * len(chunk)
+                    else:
+                        same = [np.array_equal(data[a:b], chunk.data[c:d]) for a, b, c, d in zip(off[:-1], off[1:], chunk.off[:-1], chunk.off[1:], strict=True)]
                     columns += [pa.array(np.diff(at)), pa.array(sums, pa.int64()), pa.array(np.diff(off)), pa.array(same)]
                 del columns[6]
                 yield pa.RecordBatch.from_arrays(
