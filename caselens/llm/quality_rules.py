@@ -182,9 +182,34 @@ def _cut(words: np.ndarray, shards: int) -> np.ndarray:
 _ROW = "lang string, shard int, kind int, batch string, blobs array<binary>"
 
 
-def _row(lang: str | None, shard: int, kind: int, batch: str | None, *blobs: bytes) -> pa.RecordBatch:
-    columns = [pa.array([lang], pa.string()), pa.array([shard], pa.int32()), pa.array([kind], pa.int32()), pa.array([batch], pa.string()), pa.array([blobs], pa.list_(pa.binary()))]
-    return pa.RecordBatch.from_arrays(columns, ["lang", "shard", "kind", "batch", "blobs"])
+def _row(lang: str | None, shard: int, kind: int, batch: str | None, *blobs: bytes) -> tuple:
+    return lang, shard, kind, batch, blobs
+
+
+#: rows and bytes of blobs that a task sends on together
+SENT_ROWS, SENT_BYTES = 512, 4 << 20
+_ROW_KINDS = {"lang": pa.string(), "shard": pa.int32(), "kind": pa.int32(), "batch": pa.string(), "blobs": pa.list_(pa.binary())}
+_SCORED_KINDS = {"batch": pa.string(), "kind": pa.int32(), "lang": pa.string(), "shard": pa.int32(), "blob": pa.binary()}
+
+
+def _sent(task, kinds: dict[str, pa.DataType]):
+    """A task of rows as one of batches: many small rows would cost more than what they hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+        make = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds.values(), strict=True)], list(kinds))
+        for row in task(batches):
+            held.append(row)
+            size += sum(map(len, row[-1])) if isinstance(row[-1], tuple) else len(row[-1])
+            if len(held) >= SENT_ROWS or size > SENT_BYTES:
+                yield make()
+                held.clear()
+                size = 0
+        if held:
+            yield make()
+
+    return released(run)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -250,7 +275,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Batch, list]]
 def _count_task(shards: int, turn: int, shared=None):
     """Distinct bigrams of each batch by shard, for the shards of a turn.  Texts in the filter count 0, as they are counted apart; without a filter batches have no name."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch, pieces in _batches(batches):
             name = batch.name if shared else None
             counted = np.concatenate([~in_filter(shared.value, own.column("print").to_numpy()) for own, _ in pieces]) if shared else np.ones(batch.n_docs, bool)
@@ -276,7 +301,7 @@ def _count_task(shards: int, turn: int, shared=None):
 def _merge_task(shards: int):
     """Shards, from rows sorted by shard and language: merged counts, places of the batches' bigrams, asked words, counts of counts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for (shard, lang), rows in groupby(_rows(batches), lambda r: (r[1], r[0])):
             names, firsts, seconds, counts = [], [], [], []
             for _, _, _, name, (words, times, second, count) in rows:
@@ -311,7 +336,7 @@ def _merge_task(shards: int):
     return run
 
 
-def _answer_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answer_task(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """What number of words each word follows, to every shard that asked; the words' number and counts of counts."""
     for (shard, lang), rows in groupby(_rows(batches), lambda r: (r[1], r[0])):
         asked = [(int(asks), _ungapped(words), _unpacked(followed).astype(np.int64)) for _, _, _, asks, (words, followed) in rows]
@@ -352,15 +377,10 @@ def _bits(each: np.ndarray, counts: np.ndarray, followed: np.ndarray, of: tuple[
 _SCORED = "batch string, kind int, lang string, shard int, blob binary"
 
 
-def _scored_row(batch: str, kind: int, lang: str | None, shard: int, blob: bytes) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((batch, kind, lang, shard, blob), kinds, strict=True)], ["batch", "kind", "lang", "shard", "blob"])
-
-
 def _score_task(of: dict[str | None, tuple[np.ndarray, np.ndarray]]):
     """The bits of each batch's bigrams, from rows sorted by shard, language and kind."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for (shard, lang), rows in groupby(_rows(batches), lambda r: (r[1], r[0])):
             merged, followed, bits = None, [], None
             for _, _, kind, name, blobs in rows:
@@ -373,7 +393,7 @@ def _score_task(of: dict[str | None, tuple[np.ndarray, np.ndarray]]):
                         each, counts, index = merged
                         numbers = np.concatenate([n for _, n in sorted(followed, key=lambda x: x[0])])
                         bits = _bits(each, counts, numbers[index], of[lang])
-                    yield _scored_row(name, 2, lang, shard, _packed(bits[_ungapped(blobs[0]).astype(np.int64)]))
+                    yield name, 2, lang, shard, _packed(bits[_ungapped(blobs[0]).astype(np.int64)])
 
     return run
 
@@ -381,7 +401,7 @@ def _score_task(of: dict[str | None, tuple[np.ndarray, np.ndarray]]):
 _BASE_NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def _share_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _share_task(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Each batch's documents with their base counts (kind 0), and by language and document the sorted numbers of the words' bigrams among the batch's distinct ones (1)."""
     for batch, pieces in _batches(batches):
         name, tables = batch.name, []
@@ -393,7 +413,7 @@ def _share_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(tables)
         with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
             writer.write_table(table)
-        yield _scored_row(name, 0, None, 0, out.getvalue().to_pybytes())
+        yield name, 0, None, 0, out.getvalue().to_pybytes()
         for lang, first, second, doc in batch.by_language():
             order, start = _ordered(first, second)
             number = np.empty(len(order), _U)
@@ -403,7 +423,7 @@ def _share_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gaps = np.diff(number, prepend=_U(0))
             begin = np.flatnonzero(np.diff(number >> _U(32), prepend=_U(0xFFFFFFFF)))
             gaps[begin] = number[begin] & _U(0xFFFFFFFF)
-            yield _scored_row(name, 1, lang, 0, _packed(gaps))
+            yield name, 1, lang, 0, _packed(gaps)
 
 
 def _total_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -458,22 +478,22 @@ def scored(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     for turn in range(min(ROUNDS, shards)):
         _free_shuffles(spark)
         # the same columns as below, so that rows that were dealt at random come in the same order
-        sent = docs.mapInArrow(released(_count_task(shards, turn, shared)), _ROW).unionByName(apart.mapInArrow(released(_count_task(shards, turn)), _ROW))
-        parts.append(written(spark, sent.repartition(shards, "shard").sortWithinPartitions("shard", "lang").mapInArrow(released(_merge_task(shards)), _ROW), "counts"))
+        sent = docs.mapInArrow(_sent(_count_task(shards, turn, shared), _ROW_KINDS), _ROW).unionByName(apart.mapInArrow(_sent(_count_task(shards, turn), _ROW_KINDS), _ROW))
+        parts.append(written(spark, sent.repartition(shards, "shard").sortWithinPartitions("shard", "lang").mapInArrow(_sent(_merge_task(shards), _ROW_KINDS), _ROW), "counts"))
     _free_shuffles(spark)
     counted = reduce(DataFrame.unionByName, parts)
     asked = counted.where(F.col("kind") == ASKED).repartition(_word_shards(shards), "shard").sortWithinPartitions("shard", "lang")
-    answers = written(spark, asked.mapInArrow(released(_answer_task), _ROW), "followed")
+    answers = written(spark, asked.mapInArrow(_sent(_answer_task, _ROW_KINDS), _ROW), "followed")
     totals: dict = {}
     for lang, _, _, of, blobs in _rows(counted.unionByName(answers).where(F.col("kind") == TOTALS).toArrow().to_batches()):
         held = totals.setdefault(lang, (np.zeros(5, np.int64), np.zeros(5, np.int64)))
         held[of == "words"][:] += _unpacked(blobs[0]).astype(np.int64)
     state = counted.where(F.col("kind").isin(MERGED, PLACES)).unionByName(answers.where(F.col("kind") == FOLLOWED))
     state = state.repartition(shards, "shard").sortWithinPartitions("shard", "lang", "kind")
-    bits = written(spark, state.mapInArrow(released(_score_task(totals)), _SCORED), "bits")
+    bits = written(spark, state.mapInArrow(_sent(_score_task(totals), _SCORED_KINDS), _SCORED), "bits")
     discard(*parts, answers, apart, repeated)
     _free_shuffles(spark)
-    both = docs.mapInArrow(released(_share_task), _SCORED).unionByName(bits)
+    both = docs.mapInArrow(_sent(_share_task, _SCORED_KINDS), _SCORED).unionByName(bits)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return both.repartition("batch").sortWithinPartitions("batch", "kind", "lang", "shard").mapInArrow(released(_total_task), f"doc_id {kind}, {_ASSESSED}"), bits
 
