@@ -37,18 +37,19 @@ _files: dict[tuple, Path] = {}
 
 
 def folder(spark: SparkSession) -> Path:
-    """A folder of this session's own, below the shared one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    key = shared or ""
-    if key not in _folders:
-        if shared and shared.split(":")[0] in ("file", shared):
+    """A folder of this session's own, below the shared one; a temporary folder only where the executors are of this machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or ""
+    if shared not in _folders:
+        if shared.startswith("file://") or shared.startswith("/"):
             made = Path(shared.removeprefix("file://")) / f"caselens-evidence-{uuid.uuid4().hex}"
             made.mkdir(parents=True)
-        else:
+        elif spark.sparkContext.master.startswith("local"):
             made = Path(tempfile.mkdtemp(prefix="caselens-evidence-"))
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a mounted folder that all executors share")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
-        _folders[key] = made
-    return _folders[key]
+        _folders[shared] = made
+    return _folders[shared]
 
 
 def written(spark: SparkSession, sf: str, name: str, order: str, columns: list[str], delimiter: str = ",", header: bool = True, extra=None, lead: bytes = b"", end: str = "\n") -> Path:
