@@ -459,8 +459,8 @@ def _total_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from table.append_column("log2_ppl", pa.array(sums / UNIT / np.maximum(n, 1), mask=n == 0)).to_batches()
 
 
-def scored(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Base counts and ``log2_ppl`` of every row of ``doc_id, lang, text, print``, under the model of all rows; and the table that they are read from."""
+def scored(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Base counts and ``log2_ppl`` of every row of ``doc_id, lang, text, print``, under the model of all rows; and the tables that they are read from."""
     spark = docs.sparkSession
     shards = _shards(spark)
     texts = docs.select("lang", "print", "text")
@@ -480,6 +480,7 @@ def scored(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         # the same columns as below, so that rows that were dealt at random come in the same order
         sent = docs.mapInArrow(_sent(_count_task(shards, turn, shared), _ROW_KINDS), _ROW).unionByName(apart.mapInArrow(_sent(_count_task(shards, turn), _ROW_KINDS), _ROW))
         parts.append(written(spark, sent.repartition(shards, "shard").sortWithinPartitions("shard", "lang").mapInArrow(_sent(_merge_task(shards), _ROW_KINDS), _ROW), "counts"))
+    discard(apart, repeated)
     _free_shuffles(spark)
     counted = reduce(DataFrame.unionByName, parts)
     asked = counted.where(F.col("kind") == ASKED).repartition(_word_shards(shards), "shard").sortWithinPartitions("shard", "lang")
@@ -488,12 +489,15 @@ def scored(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     for lang, _, _, of, blobs in _rows(counted.unionByName(answers).where(F.col("kind") == TOTALS).toArrow().to_batches()):
         held = totals.setdefault(lang, (np.zeros(5, np.int64), np.zeros(5, np.int64)))
         held[of == "words"][:] += _unpacked(blobs[0]).astype(np.int64)
-    state = counted.where(F.col("kind").isin(MERGED, PLACES)).unionByName(answers.where(F.col("kind") == FOLLOWED))
-    state = state.repartition(shards, "shard").sortWithinPartitions("shard", "lang", "kind")
-    bits = written(spark, state.mapInArrow(_sent(_score_task(totals), _SCORED_KINDS), _SCORED), "bits")
-    discard(*parts, answers, apart, repeated)
-    _free_shuffles(spark)
-    both = docs.mapInArrow(_sent(_share_task, _SCORED_KINDS), _SCORED).unionByName(bits)
+    bits = []
+    for turn, table in enumerate(parts):
+        state = table.where(F.col("kind").isin(MERGED, PLACES)).unionByName(answers.where((F.col("kind") == FOLLOWED) & (F.col("shard") % ROUNDS == turn)))
+        state = state.repartition(shards, "shard").sortWithinPartitions("shard", "lang", "kind")
+        bits.append(written(spark, state.mapInArrow(_sent(_score_task(totals), _SCORED_KINDS), _SCORED), "bits"))
+        discard(table)
+        _free_shuffles(spark)
+    discard(answers)
+    both = docs.mapInArrow(_sent(_share_task, _SCORED_KINDS), _SCORED).unionByName(reduce(DataFrame.unionByName, bits))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return both.repartition("batch").sortWithinPartitions("batch", "kind", "lang", "shard").mapInArrow(released(_total_task), f"doc_id {kind}, {_ASSESSED}"), bits
 
@@ -519,7 +523,7 @@ def assess(docs: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows, bits = scored(docs)
     found = written(spark, rows.withColumn("base_failed", failed), "perplexity")
-    discard(bits)
+    discard(*bits)
     step = F.round(F.col("log2_ppl") * STEPS) / STEPS
     texts = found.where("NOT base_failed").groupBy("lang", "print", step.alias("step")).agg(F.count("*").alias("n"))
     upper = F.percentile("step", F.array(F.lit(0.5), F.lit(0.75)), F.col("n"))
