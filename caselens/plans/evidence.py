@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .. import cli
 from ..functions import formats, redaction, timestamps
 from ..functions.formats import quoted
-from ..operators import counts, enrich, lineage, manifest, profile, search, timeline
+from ..operators import charts, counts, enrich, lineage, manifest, profile, search, timeline
 from ..operators.frames import ORDINAL, RAW, lift
 from ..session import Case, lookup_table
 from ..sources.evidence import Source
@@ -332,6 +332,22 @@ def e31_kept_selection(spark, sf):
     return _told(spark, [tuple(r) for r in rows], "ordinal bigint")
 
 
+@query("""WITH c AS (SELECT event_type AS value, count(*) AS count FROM events GROUP BY 1)
+SELECT value, count, repeat('█', greatest(round(count * 40.0 / (SELECT max(count) FROM c)), 1)::INT) AS bar FROM c""")
+def e34_chart_bars(spark, sf):
+    return charts.bars(counts.value_counts(case(spark, sf).frame, "event_type"))
+
+
+@query("""WITH c AS (SELECT event_type AS value, count(*) AS count FROM events GROUP BY 1), t AS (SELECT count(DISTINCT floor(epoch(ts) / 86400)) AS days FROM events)
+SELECT 'event_type' AS title, 'arc' AS mark, count(*) AS points, sum(count)::BIGINT AS total FROM c UNION ALL SELECT 'ts', 'bar', days, (SELECT count(*) FROM events) FROM t""")
+def e35_chart_specifications(spark, sf):
+    frame = case(spark, sf).frame
+    panel = counts.Panel("event_type", "pie")
+    made = [charts.specification(panel, counts.panel_data(frame, panel)), charts.timeline_specification("ts", timeline.buckets(frame, "ts", 86_400))]
+    rows = [(c["title"], c["mark"], len(c["data"]["values"]), sum(v["count"] for v in c["data"]["values"])) for c in made]
+    return _told(spark, rows, "title string, mark string, points bigint, total bigint")
+
+
 # -- enrichment, edits, exports -------------------------------------------
 
 
