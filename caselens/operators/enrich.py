@@ -97,18 +97,33 @@ def ip_number(column: Column) -> Column:
     return F.when(text.rlike(rf"\A{V4}\z"), number)
 
 
+#: leading bits that cells leave out, and cells that a range may have before it is cut into coarser ones
+CELL_SHIFTS, RANGE_CELLS = (16, 32, 48), 256
+
+
 def range_join(df: DataFrame, number: Column, ranges: DataFrame, low: str, high: str, keep: list[str]) -> DataFrame:
     """Left join with ranges that do not overlap: the range that holds the number, if any.
 
     The ranges become cells of equal leading bits, so the join is an equi-join
-    on the cell; ranges wider than a cell are cut at its edges.
+    on the cell; ranges wider than a cell are cut at its edges, and very wide
+    ones are joined apart by coarser cells, so their number stays small.
     """
-    shift = 16
-    cells = F.sequence(F.shiftright(col(low), shift), F.shiftright(col(high), shift))
-    table = ranges.select(F.struct(col(low).alias("_low"), col(high).alias("_high"), *(col(k) for k in keep)).alias("_hit"), F.explode(cells).alias("_cell"))
-    probe = df.withColumn("_n", number).withColumn("_c", F.shiftright("_n", shift))
-    held = (F.col("_c") == F.col("_cell")) & F.col("_n").between(F.col("_hit._low"), F.col("_hit._high"))
-    return probe.join(_small(table), held, "left").drop("_cell", "_c", "_n")
+    cell = lambda c, shift: F.shiftright(c, shift)
+    level = F.lit(CELL_SHIFTS[-1])
+    for shift in CELL_SHIFTS[-2::-1]:
+        level = F.when(cell(col(high), shift) - cell(col(low), shift) < RANGE_CELLS, shift).otherwise(level)
+    placed = ranges.withColumn("_level", level)
+    out, hits = df.withColumn("_n", number), []
+    for shift in sorted(r[0] for r in placed.select("_level").distinct().collect()):  # three at most
+        hit, own = f"_hit{shift}", F.sequence(cell(col(low), shift), cell(col(high), shift))
+        table = placed.where(F.col("_level") == shift).select(F.struct(col(low).alias("_low"), col(high).alias("_high"), *(col(k) for k in keep)).alias(hit), F.explode(own).alias("_cell"))
+        held = (F.col("_c") == F.col("_cell")) & F.col("_n").between(F.col(f"{hit}._low"), F.col(f"{hit}._high"))
+        out = out.withColumn("_c", cell(F.col("_n"), shift)).join(_small(table), held, "left").drop("_cell", "_c")
+        hits.append(hit)
+    if not hits:
+        fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in ranges.select(col(low).alias("_low"), col(high).alias("_high"), *(col(k) for k in keep)).schema)
+        return out.withColumn("_hit", F.lit(None).cast(f"struct<{fields}>")).drop("_n")
+    return out.withColumn("_hit", F.coalesce(*hits)).drop("_n", *hits)
 
 
 @dataclass(frozen=True)

@@ -360,6 +360,22 @@ def e22_lookup_table_from_a_file(spark, sf):
     return found.df.select(F.col(ORDINAL).alias("ordinal"), F.col("`user_id.c_name`").alias("name"))
 
 
+_BLOCKS = [("10.0.0.0", "10.0.255.255", "AA"), ("10.1.0.0", "10.1.0.127", "BB"), ("10.2.0.0", "10.15.255.255", "CC"), ("11.0.0.0", "255.255.255.255", "DD"), ("2001:db8::", "2001:db8:ffff:ffff:ffff:ffff:ffff:ffff", "EE")]
+
+
+@query("""WITH a AS (SELECT event_id, user_id % 19 AS k, user_id % 251 AS b FROM events)
+SELECT event_id, CASE WHEN k = 17 THEN 'EE' WHEN k = 18 THEN 'DD' WHEN k = 0 THEN 'AA' WHEN k = 1 THEN CASE WHEN b < 128 THEN 'BB' ELSE '' END WHEN k BETWEEN 2 AND 15 THEN 'CC' ELSE '' END AS country FROM a""")
+def e36_address_ranges_from_a_table(spark, sf):
+    """IPv4 and IPv6 ranges, narrow and very wide ones; k = 16 lies between two."""
+    n = F.col("user_id")
+    k, b = (n % 19).cast("string"), (n % 251).cast("string")
+    address = F.when(n % 19 == 17, F.concat(F.lit("2001:db8:0:"), b, F.lit("::1"))).when(n % 19 == 18, F.concat(F.lit("200.1.2."), b))
+    address = address.when(n % 19 == 1, F.concat(F.lit("10.1.0."), b)).otherwise(F.concat_ws(".", F.lit("10"), k, F.lit("7"), b))
+    frame = lift(table(spark, sf, "events").select("event_id", "user_id").withColumn("ip", address))
+    found = enrich.enrich(frame, [enrich.Geo("ip", spark.createDataFrame(_BLOCKS, "low string, high string, country string"), ("country",))])
+    return found.df.select("event_id", F.col("`ip.country`").alias("country"))
+
+
 def _export(spark: SparkSession, opened: Case, **how) -> tuple[Path, dict]:
     path = folder(spark) / f"{uuid.uuid4().hex}.out.csv"
     return path, opened.export(path, **how)
