@@ -356,7 +356,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 )
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(released(run), schema)
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, text_column: str = "text") -> DataFrame:
@@ -384,7 +384,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, text_column: str = "text") ->
                 column = pa.array(values, column.type)
             yield batch.set_column(place, batch.schema.field(place), column)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -209,6 +209,21 @@ def _distinct(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return sig[new], node[new]
 
 
+def _met(sig: list[np.ndarray], node: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose signature occurs more than once, by signature; most occur once and aren't sorted further.  Empties the lists, as whole shards weigh much."""
+    found = np.concatenate(sig)
+    sig.clear()
+    order = np.argsort(found)
+    found = found[order]
+    again = np.zeros(len(found), bool)
+    again[1:] = found[1:] == found[:-1]
+    again[:-1] |= again[1:]
+    found, order = found[again], order[again]
+    nodes = np.concatenate(node)
+    node.clear()
+    return found, nodes[order]
+
+
 def _signature_task(n: int, percent: int, shards: int):
     """The signatures of all sets, each with its nodes, by shard."""
 
@@ -249,14 +264,16 @@ def _group_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole shards to ``group, nodes``: each set of two or more nodes that share a signature, once a task, large ones as pairs of blocks."""
     sig, node = [], []
     for batch in batches:
-        for r in batch.to_pylist():
-            sig.append(np.cumsum(_unplaned(r["signatures"], _U), dtype=_U))
-            node.append(np.frombuffer(r["nodes"], np.int64)[_unplaned(r["index"], np.uint32)])
+        for k in range(len(batch)):  # one row's blobs are Python objects at a time
+            deltas, index, names = (batch.column(c)[k].as_py() for c in ("signatures", "index", "nodes"))
+            sig.append(np.cumsum(_unplaned(deltas, _U), dtype=_U))
+            node.append(np.frombuffer(names, np.int64)[_unplaned(index, np.uint32)])
     if not sig:
         return
-    found, nodes = _distinct(np.concatenate(sig), np.concatenate(node))
-    sig.clear()
-    node.clear()
+    found, nodes = _met(sig, node)
+    if not len(found):
+        return
+    found, nodes = _distinct(found, nodes)
     first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
     end = np.append(first[1:], len(found))
     name = np.add.reduceat(mix(nodes.view(_U)), first)

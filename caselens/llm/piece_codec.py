@@ -43,7 +43,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textcore import chunks, released
+from .textcore import chunks, released, worker_cache
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -384,7 +384,7 @@ class WordEncoder:
         return out
 
 
-_encoders: dict[tuple[str, tuple[int, ...]], WordEncoder] = {}
+_encoders: dict[tuple[str, tuple[int, ...]], WordEncoder] = worker_cache("piece_codec")
 
 
 def word_encoder(model_file: str, *kinds: int) -> WordEncoder:
@@ -416,7 +416,7 @@ def encode(docs: DataFrame, model_file: str, id_column: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(chunk.first, len(chunk)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
 
     id_kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(released(run), f"doc_id {id_kind}, ids array<int>")
+    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(released(run, "piece_codec"), f"doc_id {id_kind}, ids array<int>")
 
 
 def decode(coded: DataFrame, model_file: str) -> DataFrame:
@@ -464,7 +464,7 @@ def round_trip(docs: DataFrame, model_file: str) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_pieces long, ids_crc32 long, n_bytes long, restored boolean, n_viterbi long, viterbi_crc32 long, viterbi_restored boolean"
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(released(run), schema)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(released(run, "piece_codec"), schema)
 
 
 def model_file() -> str:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textcore import LOWER, Chunk, byte_table, chunks
+from .textcore import LOWER, Chunk, byte_table, chunks, released
 
 KINDS = ("assign", "access", "hex", "pem", "der", "openssh", "jwt")
 ASSIGN = re.compile(rb"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -349,7 +349,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
                     out[chunk.first + d] = [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, kind)], ["doc_id", "spans"])
 
-    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(spans_of, schema)
+    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(released(spans_of), schema)
 
 
 def redact(docs: DataFrame, text_column: str = "text", placeholder: str = "[SECRET]") -> DataFrame:
@@ -379,7 +379,7 @@ def redact(docs: DataFrame, text_column: str = "text", placeholder: str = "[SECR
                 column = pa.array(values, column.type)
             yield batch.set_column(at, batch.schema.field(at), column)
 
-    return docs.mapInArrow(masked, docs.schema)
+    return docs.mapInArrow(released(masked), docs.schema)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

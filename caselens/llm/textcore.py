@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import hashlib
 import shutil
 import tempfile
@@ -194,14 +195,38 @@ def in_filter(raw: bytes, values: np.ndarray) -> np.ndarray:
     return (bits[low >> 3] >> (low & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def released(task):
-    """``task`` for mapInArrow, giving freed memory back to the system at its end, as workers are used again."""
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(name: str) -> dict:
+    """A dictionary that an operator keeps in a worker from task to task, until a released task of another one begins there."""
+    return _caches.setdefault(name, {})
+
+
+def _drop_caches(keeps: str | None) -> None:
+    for name, cache in _caches.items():
+        if cache and name != keeps:
+            cache.clear()
+            gc.collect()
+            _release()
+
+
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def released(task, keeps: str | None = None):
+    """``task`` for mapInArrow, giving freed memory back to the system at its end, as workers are used again.
+
+    What other operators than ``keeps`` left in the worker goes before it begins.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _drop_caches(keeps)
         yield from task(batches)
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        _release()
 
     return run
 

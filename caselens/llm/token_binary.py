@@ -34,7 +34,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textcore import byte_table, chunks, released, shared_folder
+from .textcore import byte_table, chunks, released, shared_folder, worker_cache
 
 MAGIC = b"S8BSHARD"
 VERSION = 1
@@ -396,7 +396,7 @@ class PieceEncoder:
         return ids, upto[of[1:]] - upto[of[:-1]]
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[str, PieceEncoder] = worker_cache("token_binary")
 
 
 def piece_encoder(tokenizer_file: str) -> PieceEncoder:
@@ -444,7 +444,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer_file: str, end_id
             raise
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    done = ordered.mapInArrow(released(write), "name string, first long, null_first boolean, n_docs long, n_ids long")
+    done = ordered.mapInArrow(released(write, "token_binary"), "name string, first long, null_first boolean, n_docs long, n_ids long")
     manifest = sorted((r.asDict() for r in done.collect()), key=lambda r: (not r["null_first"], r["first"]))
     start = 0
     for entry in manifest:

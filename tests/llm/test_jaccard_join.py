@@ -170,3 +170,24 @@ def test_large_groups_with_pivots(spark, monkeypatch):
     for n, percent in ((3, 90), (5, 80)):
         got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in j.join(df, n, percent).collect()), key=str)
         assert got == brute(rows, n, percent)
+
+
+def test_groups_are_those_of_signatures_that_several_nodes_share():
+    rng = np.random.default_rng(5)
+    sig, node = rng.integers(0, 3_000, 4_000, dtype=np.uint64) << np.uint64(50), rng.integers(1, 100, 4_000)  # 0 would add nothing to a name
+    want = {frozenset(node[sig == s].tolist()) for s in np.unique(sig)}
+    rows = []
+    for part in np.array_split(np.lexsort((node, sig)), 7):
+        names, index = np.unique(node[part], return_inverse=True)
+        rows.append([0, j._planes(np.diff(sig[part], prepend=np.uint64(0))), j._planes(index.astype(np.uint32)), names.tobytes()])
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["shard", "signatures", "index", "nodes"])
+    got = [frozenset(x) for b in j._group_task([batch]) for x in b.column("nodes").to_pylist()]
+    assert len(got) == len(set(got)) and set(got) == {x for x in want if len(x) > 1}
+    alone = batch.slice(0, 1).set_column(1, "signatures", pa.array([j._planes(np.arange(1, len(sig[:572]) + 1).astype(np.uint64))]))
+    assert list(j._group_task([alone])) == []
+
+
+def test_a_shards_pairs_are_let_go_before_they_are_ordered():
+    sig, node = [np.array([7, 1, 7], np.uint64), np.array([3, 9], np.uint64)], [np.array([5, 4, 6]), np.array([8, 2])]
+    found, nodes = j._met(sig, node)
+    assert (found.tolist(), sorted(nodes.tolist()), sig, node) == ([7, 7], [5, 6], [], [])

@@ -6,6 +6,8 @@ import random
 
 import pytest
 
+from caselens.llm import piece_codec, textcore
+
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 
@@ -43,3 +45,20 @@ def test_empty_table(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_worker_gives_up_what_another_operator_kept():
+    first, second = textcore.worker_cache("test_first"), textcore.worker_cache("test_second")
+    try:
+        first[0] = second[0] = "kept"
+        assert list(textcore.released(iter, "test_first")([1, 2])) == [1, 2]
+        assert (first, second) == ({0: "kept"}, {})
+        assert list(textcore.released(iter)([])) == [] and first == {}
+    finally:
+        textcore._caches.pop("test_first"), textcore._caches.pop("test_second")
+
+
+def test_an_encoder_goes_once_another_stage_uses_the_worker():
+    encoder = piece_codec.word_encoder(piece_codec.model_file(), 0)
+    assert list(textcore.released(iter, "piece_codec")([])) == [] and encoder in piece_codec._encoders.values()
+    assert list(textcore.released(iter)([])) == [] and not piece_codec._encoders
